@@ -9,6 +9,8 @@ from cosmotab.llm import common, stages
 #: In order: each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("language_id", stages.language_id),
+    ("line_dedup", stages.line_dedup),
+    ("near_dedup", stages.near_dedup),
     ("decontamination", stages.decontamination),
     ("bpe", stages.bpe_encoding),
 ]

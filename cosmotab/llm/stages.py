@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmotab.llm import bpe, decontam, langid
+from cosmotab.llm import bpe, decontam, langid, lines, minhash
 from cosmotab.llm.queries import tokenizer_path
 
 #: Documents whose language is less sure than this are rejected, with those that have no letters.
@@ -18,6 +18,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that stand earlier too; one of which nothing is left goes."""
+    found = lines.dedup_lines(docs)
+    found = found.filter((F.col("n_removed") == 0) | (F.trim(F.translate("new_text", "\n\t\r", "   ")) != ""))
+    return found.select(*[F.col("new_text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), the smallest id."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.filter(~F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that aren't contaminated by the benchmark."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
