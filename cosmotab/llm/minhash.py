@@ -8,7 +8,6 @@ are bound to agree in some chunk up to one lane (pigeonhole), so every pair unde
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -195,50 +194,100 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.filter("a != b").distinct())
 
 
-def _compare(rows: Iterator[pa.RecordBatch], apart: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels in each block group of a sorted stream whose sizes and signatures allow a link."""
+def _deal(members: DataFrame) -> DataFrame:
+    """members (hub, node, label, major, ...) dealt to block pairs (i, j) of their hub's group, so that every pair of
+    members with different labels meets in one of them. i is a block of the group's other members; j a block of its
+    majority (the hub's component; from 0 up) or of its other members (below 0). Groups of the majority alone go."""
+    facts = members.groupBy("hub").agg(F.count_if("major").alias("majors"), F.count_if(~F.col("major")).alias("others")).filter("others > 0")
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("major"), blocks("majors")).otherwise(blocks("others"))).cast("int")
+    rows = members.join(facts, "hub").withColumn("own", own)
+    every = F.sequence(F.lit(0), blocks("others") - 1)
+    as_major = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    with_major = F.transform(F.sequence(F.lit(0), blocks("majors") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    with_others = F.transform(every, lambda i: F.struct(F.least(i, F.col("own")).alias("i"), (-1 - F.greatest(i, F.col("own"))).alias("j")))
+    places = F.when(F.col("major"), as_major).otherwise(F.concat(with_major, with_others))
+    return rows.select(*members.columns, F.explode(places).alias("at")).select(*members.columns, F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+
+
+def _alive(rows: Iterator[pa.RecordBatch], apart: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(hub, node) of the members that have, in a block pair of a sorted stream, a partner of another label whose size and
+    signature allow a link."""
+    keys = ("hub", "i", "j")
     rest: pa.Table | None = None
-    kind = None
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-        same = np.concatenate([[False], (group[:, 1:] == group[:, :-1]).all(axis=0)])
-        g = np.cumsum(~same)
+    def partners(t: pa.Table) -> pa.RecordBatch:
+        group = np.stack([t[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in keys])
+        g = np.cumsum(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
         label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-        n, major = t["n"].to_numpy(), t["major"].to_numpy(zero_copy_only=False)
+        n, major = t["n"].to_numpy(), t["major"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, LANES)
-        left, right = [], []
-        d = 1
-        while d < len(g):
+        found = np.zeros(len(g), bool)
+        for d in range(1, len(g)):
             x = np.flatnonzero(g[d:] == g[:-d])
             if not len(x):
                 break
-            y = x + d
-            small, great = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            ok = (label[x] != label[y]) & ~(major[x] & major[y]) & (small * den >= great * num)
-            x, y = x[ok], y[ok]
-            near = (sig[x] != sig[y]).sum(axis=1) <= apart
-            left.append(x[near])
-            right.append(y[near])
-            d += 1
-        node = t["node"].combine_chunks()
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else a
-        return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+            x = x[(label[x] != label[x + d]) & ~(major[x] & major[x + d]) & (np.minimum(n[x], n[x + d]) * den >= np.maximum(n[x], n[x + d]) * num)]
+            x = x[(sig[x] != sig[x + d]).sum(axis=1) <= apart]
+            found[x] = found[x + d] = True
+        return t.select(["hub", "node"]).filter(pa.array(found)).combine_chunks()
 
     for batch in rows:
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]) if rest is not None else t
         if not t.num_rows:
             continue
-        last = [t[c][-1].as_py() for c in ("key", "i", "j")]
-        group = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-        cut = int(np.flatnonzero(~(group == np.array(last)[:, None]).all(axis=0)).max(initial=-1)) + 1
+        same = np.ones(t.num_rows, bool)
+        for c in keys:
+            codes = t[c].combine_chunks().dictionary_encode().indices.to_numpy()
+            same &= codes == codes[-1]
+        cut = int(np.flatnonzero(~same).max(initial=-1)) + 1
         rest = t.slice(cut)
         if cut:
-            yield pairs(t.slice(0, cut))
+            yield from partners(t.slice(0, cut)).to_batches()
     if rest is not None and rest.num_rows:
-        yield pairs(rest)
+        yield from partners(rest).to_batches()
+
+
+def _links(t: pa.Table, num: int, den: int) -> pa.Table:
+    """Links (a, b) that join different labels in one block pair: all pairs are compared on their full sets, by products
+    of 0/1 matrices over the shingles that occur twice; of the links a spanning forest of the labels goes out."""
+    rows = t.num_rows
+    sizes = np.diff(t["shingles"].combine_chunks().offsets.to_numpy())
+    shingle = t["shingles"].combine_chunks().flatten().to_numpy()
+    of = np.repeat(np.arange(rows), sizes)
+    _, code, times = np.unique(shingle, return_inverse=True, return_counts=True)
+    fresh = np.cumsum(times > 1) - 1
+    again = times[code] > 1
+    code, of = fresh[code[again]], of[again]
+    common = np.zeros((rows, rows), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, of = code[order], of[order]
+    width = 4096
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, [first, first + width])
+        held = np.zeros((rows, width), np.float32)
+        held[of[lo:hi], code[lo:hi] - first] = 1
+        common += held @ held.T
+    inter = common.astype(np.int64)
+    label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    linked = (inter * den >= (sizes[:, None] + sizes[None, :] - inter) * num) & (label[:, None] != label[None, :])
+    root = list(range(int(label.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left, right = [], []
+    for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        p, q = find(label[x]), find(label[y])
+        if p != q:
+            root[p] = q
+            left.append(x)
+            right.append(y)
+    node = t["node"].combine_chunks()
+    return pa.table({"a": node.take(pa.array(left, pa.int64())), "b": node.take(pa.array(right, pa.int64()))})
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -249,10 +298,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are one document; a null id takes part in no link. Copies collapse first: of each distinct set one row goes on.
 
     Candidates come from the Hamming index in two rounds. First each set meets the most popular member (hub) of the
-    buckets it shares most with, which joins groups of near copies at the cost of one comparison a member. Then only
-    buckets that still hold several components are compared, in blocks of BLOCK members split over the tasks; a pair goes
-    out only if it joins two components and its sizes and LANES lanes allow the link. Every candidate is confirmed on
-    full sets. No bucket is capped, and no task or row holds a bucket as a whole.
+    buckets it shares most with, which joins groups of near copies at the cost of one comparison a member. Buckets of one
+    hub then count as one group. Groups that still hold several components are compared in pairs of blocks of about BLOCK
+    members, split over the tasks: first by sizes and LANES lanes, to find the members with a possible partner, then by
+    their full sets. Of the links a block pair gives only those that join components, so no step makes the pairs of a
+    group as rows. No bucket is capped, and no task or row holds a bucket as a whole.
     """
     similarity = num / den
     chunks = chunks_for(similarity)
@@ -272,39 +322,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = written(_confirmed(first, sets, num, den))
     labels = components(edges)
 
-    node_label = reps.select("node", "n", "sig").join(shared.select("node").distinct(), "node", "left_semi").join(labels, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"))
-    small = node_label.select("node", "label")
-    hub_label = shared.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_semi").join(small, "node").groupBy("key").agg(F.first("label").alias("hub_label"))
-    open_keys = (
-        shared.join(small, "node")
-        .join(hub_label, "key")
-        .groupBy("key")
-        .agg(F.count("*").alias("c"), F.count_if(F.col("label") != F.col("hub_label")).alias("others"), F.first("hub_label").alias("hub_label"))
-        .filter("others > 0")
-    )
-    blocks_all = F.ceil(F.col("c") / BLOCK).cast("int")
-    blocks_others = F.ceil(F.col("others") / BLOCK).cast("int")
-    spread = F.xxhash64("node")
-    rows = (
-        shared.select("key", "node").join(open_keys, "key").join(node_label, "node")
-        .withColumn("major", F.col("label") == F.col("hub_label"))
-        .withColumn("own", F.pmod(spread, F.when(F.col("major"), blocks_all).otherwise(blocks_others)).cast("int"))
-    )
-    # i: a block of the bucket's other members; j: a block of its majority (from 0 up) or of its other members (below 0)
-    to_all = F.transform(F.sequence(F.lit(0), blocks_others - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-    to_majority = F.transform(F.sequence(F.lit(0), blocks_all - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-    to_others = F.transform(F.sequence(F.lit(0), blocks_others - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), (-1 - F.greatest(i, F.col("own"))).alias("j")))
-    dealt = rows.select(
-        "key", "node", "n", "sig", "label", "major", F.explode(F.when(F.col("major"), to_all).otherwise(F.concat(to_majority, to_others))).alias("at")
-    ).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "node", "n", "sig", "label", "major")
+    members = shared.join(hubs, "key").select("hub", "node").distinct()
+    label_of = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    hub_label = label_of.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    members = written(members.join(label_of, "node").join(hub_label, "hub").select("hub", "node", "label", (F.col("label") == F.col("hub_label")).alias("major")))
     apart = lanes_apart(similarity)
     id_type = docs.schema[id_col].dataType.simpleString()
-    second = (
-        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(lambda rows: _compare(rows, apart, num, den), f"a {id_type}, b {id_type}")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    edges = edges.unionByName(written(_confirmed(second, sets, num, den)))
+    dealt = _deal(members.join(reps.select("node", "n", "sig"), "node"))
+    alive = (
+        dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "node", "n", "sig", "label", "major")
+        .mapInArrow(lambda rows: _alive(rows, apart, num, den), f"hub {id_type}, node {id_type}").distinct()
+    )
+    open_members = _deal(members.join(written(alive), ["hub", "node"], "left_semi"))
+    second = open_members.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(lambda t: _links(t, num, den), f"a {id_type}, b {id_type}").distinct()
+    edges = edges.unionByName(written(second))
     labels = components(edges)
     by_set = reps.select("n", "set_a", "set_b", "node").join(labels, "node", "left").select("n", "set_a", "set_b", F.coalesce("label", "node").alias("component"))
     out = sigs.select("doc", "n", "set_a", "set_b").join(by_set, ["n", "set_a", "set_b"], "left")
