@@ -14,8 +14,8 @@ from cosmotab.llm.common import map_texts, written
 MIN_WORDS = 50
 
 
-def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, hash, first line, last line) of the text's windows of lines.
+def windows(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(fingerprint, hash, first line, last line, next line with words) of the text's windows of lines.
 
     From each line with words a window runs forwards, and one backwards, just until it holds min_words words; lines
     without words are passed over. Its fingerprint is its minimum: the line with the most words, the lowest hash among
@@ -41,7 +41,7 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
     for i, j in sorted(spans):
         low = min(order[i : j + 1])[1]
         whole = xxhash.xxh64_intdigest(b"".join(digest[i : j + 1]), seed=1)
-        out.append((int.from_bytes(low, "big", signed=True), whole - (1 << 63), at[i], at[j]))
+        out.append((int.from_bytes(low, "big", signed=True), whole - (1 << 63), at[i], at[j], at[j + 1] if j + 1 < n else at[j] + 1))
     return out
 
 
@@ -50,6 +50,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A line goes if it lies in a run of consecutive lines (those without words aside) of min_words words or more in all
     that stands earlier too: in a document of a smaller id, or further up in its own. Lines are equal if their words are.
+    Wordless lines between two deleted ones that follow each other go with them.
     removed lists the deleted stretches of lines (from 0, end inclusive). Null ids come before all others; rows with the
     same id and text are one document and get the same result; rows of one id with different texts are told apart. A null
     text stays null; texts with fewer than min_words words, and empty ones, stay as they are.
@@ -62,24 +63,26 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def make():
         def work(texts: pa.Array) -> list:
             found = [windows(t, min_words) for t in texts.to_pylist()]
-            return [[[{"fp": a, "wh": b, "i": c, "j": d} for a, b, c, d in f] for f in found]]
+            return [[[{"fp": a, "wh": b, "i": c, "j": d, "k": e} for a, b, c, d, e in f] for f in found]]
 
         return work
 
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    made = map_texts(keyed, "text", make, "w array<struct<fp: bigint, wh: bigint, i: int, j: int>>", ["doc", "h"], budget=2 << 20)
+    made = map_texts(keyed, "text", make, "w array<struct<fp: bigint, wh: bigint, i: int, j: int, k: int>>", ["doc", "h"], budget=2 << 20)
     lists = written(made.filter(F.size("w") > 0).select("row.doc", "row.h", "w"))
-    places = lists.select("doc", "h", F.explode("w").alias("w")).select("doc", "h", "w.fp", "w.wh", "w.i", "w.j")
+    places = lists.select("doc", "h", F.explode("w").alias("w")).select("doc", "h", "w.fp", "w.wh", "w.i", "w.j", "w.k")
     here = F.struct("doc", "h", "i")
     first = places.groupBy("fp", "wh").agg(F.min(here).alias("first"), F.max(here).alias("final")).filter("first < final").select("fp", "wh", "first")
     later = places.join(first, ["fp", "wh"]).filter(here > F.col("first"))
-    per_doc = later.groupBy("doc", "h").agg(F.collect_set(F.struct("i", "j")).alias("cuts"))
+    per_doc = later.groupBy("doc", "h").agg(F.collect_set(F.struct("i", "j", "k")).alias("cuts"))
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+    joined = lambda p, x: F.struct(p["i"].alias("i"), F.greatest(p["j"], x["j"]).alias("j"), F.greatest(p["k"], x["k"]).alias("k"))
     merged = F.aggregate(
-        F.array_sort("cuts"),
-        F.array().cast("array<struct<i: int, j: int>>"),
-        lambda done, x: F.when((F.size(done) > 0) & (x["i"] <= F.try_element_at(done, F.lit(-1))["j"] + 1),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["i"].alias("i"), F.greatest(F.try_element_at(done, F.lit(-1))["j"], x["j"]).alias("j")))),
+        F.array_sort("cuts"), F.array().cast("array<struct<i: int, j: int, k: int>>"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (x["i"] <= last(done)["k"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined(last(done), x)))
         ).otherwise(F.concat(done, F.array(x))),
+        lambda done: F.transform(done, lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))),
     )
     per_doc = per_doc.select(F.col("doc").alias("d"), F.col("h").alias("g"), merged.alias("cuts"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))

@@ -1,0 +1,218 @@
+"""Operators that map over texts, held against public libraries, brute force or held-out rows."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cosmotab.llm import bpe, decontam, langid, pii, toxicity, unigram
+from cosmotab.llm.queries import tokenizer_path
+
+ODD = ["", None, "a", "   ", "\n\n", "x" * 30000, "aaaa bbbb  \n\n x", "<|endoftext|>hi<|endoftext|>  there", "été 日本語 🙂 ½²", " it's  we'll \t\n x", "'", "''s", "Ünïcode\u0085z"]
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, "own", "row") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, score string, row string")
+
+
+def noise(n, letters="ab' \n\t1é½日.,!<|>  ", size=80, seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(size))) for _ in range(n)]
+
+
+def test_bpe_equals_the_public_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ODD + noise(300)
+    public = Tokenizer.from_file(tokenizer_path())
+    rows = bpe.encode_decode(frame(spark, texts), tokenizer_path(), carry=["doc_id", "score"]).select("row.*", "n_tokens", "ids", "decoded").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = public.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == want and r.n_tokens == len(want) and r.score == "own"
+        assert r.decoded == public.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_digests_and_a_full_cache(spark):
+    texts = ODD + noise(50)
+    rows = bpe.encode_decode(frame(spark, texts), tokenizer_path(), carry=["doc_id"], digests=True).select("row.doc_id", "ids_sha256", "decoded_sha256").collect()
+    small = bpe.Encoder(bpe.Vocabulary(open(tokenizer_path(), encoding="utf-8").read()), cache_words=3)
+    for r in rows:
+        ids, _ = small.encode([texts[r.doc_id] or ""])
+        assert r.ids_sha256 == hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def brute_windows(doc, items, window=13):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = words(doc), set(), set()
+    for item, text in items:
+        v = words(text)
+        parts = [v[i : i + window] for i in range(len(v) - window + 1)] if len(v) >= window else [v] if v else []
+        for part in parts:
+            for j in range(len(w) - len(part) + 1):
+                if w[j : j + len(part)] == part:
+                    hit |= set(range(j, j + len(part)))
+                    found.add(item)
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_decontamination_equals_brute_force(spark, block_bytes):
+    rng = random.Random(5)
+    item = lambda n: " ".join(rng.choice(["a", "b", "c", "dé"]) for _ in range(n))
+    items = [(str(i), item(rng.choice([1, 5, 12, 13, 14, 40]))) for i in range(12)] + [("null", None), ("x", "..."), ("7", "a a a a a a a a a a a a a a a")]
+    docs = [item(rng.randrange(60)) + rng.choice([" ", ", ", "\n"]) + rng.choice([t for _, t in items if t]) for _ in range(60)] + ODD + ["a " * 400]
+    bench = spark.createDataFrame([(i if i != "null" else None, t) for i, t in items], "item_id string, text string")
+    rows = decontam.decontaminate(frame(spark, docs), bench, block_bytes=block_bytes).select("row.doc_id", "n_words", "n_hit", "items", "spans").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_windows(docs[r.doc_id], items)
+        text = docs[r.doc_id] or ""
+        assert sum(len(decontam.normal_words(text[s.start : s.end])) for s in r.spans) == r.n_hit
+
+
+def test_decontamination_with_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert [r.n_hit for r in decontam.decontaminate(frame(spark, ["a b"]), none).collect()] == [0]
+    assert decontam.decontaminate(frame(spark, []), none).count() == 0
+
+
+def test_language_id(spark):
+    rng = random.Random(1)
+    stems = {"en": ["the", "and", "ing", "tion"], "de": ["ung", "keit", "sch", "ü"], "fr": ["eau", "tion", "è", "que"]}
+    make = lambda lang: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(20))
+    data = [(i, make(lang), lang) for i, lang in enumerate(list(stems) * 60)] + [(999, None, "en"), (1000, "text", None)]
+    train = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    model = langid.fit(train)
+    fresh = [make(lang) for lang in stems for _ in range(20)]
+    got = langid.identify(frame(spark, fresh), model, carry=["doc_id"]).orderBy("row.doc_id").collect()
+    assert [r.lang_pred for r in got] == [lang for lang in stems for _ in range(20)]
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = langid.identify(frame(spark, [None, "", "123 !?", "€ 🙂", "q", "日本"]), model).orderBy("row.doc_id").collect()
+    assert [r.lang_pred for r in odd[:4]] == ["und"] * 4 and all(r.lang_pred in stems for r in odd[4:])
+    assert langid.identify(frame(spark, ["the"]), langid.fit(train.limit(0))).first().lang_pred == "und"
+
+
+def test_ngram_filters_hold_all_their_languages():
+    gram = np.arange(1000, dtype=np.uint32) * np.uint32(7919)
+    table = np.zeros(1 << 14, np.uint8)
+    for slot in langid.probes(gram[:500], 14):
+        table[slot] |= 1
+    inside = np.ones(1000, bool)
+    for slot in langid.probes(gram, 14):
+        inside &= table[slot] > 0
+    assert inside[:500].all() and inside[500:].mean() < 0.05
+
+
+def test_unigram_counts_equal_the_public_library(spark):
+    from tokenizers import Tokenizer, models
+
+    vocabulary = [("▁", -2.0), ("▁a", -2.5), ("a", -3.0), ("b", -3.0), ("ab", -6.0), ("▁ab", -5.5), ("ba", -4.0), ("aba", -7.0), ("é", -5.0), ("bb", -6.0)]
+    extra = [("<unk>", -50.0)] + [(f"<0x{i:02X}>", -40.0) for i in range(256)]
+    lowest = min(s for _, s in vocabulary)
+    public = Tokenizer(models.Unigram([("<unk>", lowest)] + [(p, s) for p, s in vocabulary], 0, False))
+    counter = unigram.Counter(vocabulary)
+    rng = random.Random(2)
+    for _ in range(500):
+        word = "".join(rng.choice("abé") for _ in range(rng.randrange(1, 12)))
+        assert counter.count(word)[0] == len(public.encode("▁" + word, add_special_tokens=False).ids), word
+    assert counter.count("日")[0] == 1 + 3 and extra  # an unknown character falls back to its bytes
+    rows = unigram.count_tokens(frame(spark, ["ab ba", None, "", "  ", "ab  ab\nab"]), vocabulary, carry=["doc_id"]).orderBy("row.doc_id").collect()
+    one = lambda w: counter.count(w)[0]
+    assert [r.n_tokens for r in rows] == [one("ab") + one("ba"), 0, 0, 0, 3 * one("ab")]
+
+
+def brute_best(counter, vocabulary, text):
+    """Best score over all segmentations, by enumeration."""
+    scores = dict(vocabulary)
+    best = {0: 0.0}
+    for e in range(1, len(text) + 1):
+        best[e] = max([best[s] + scores[text[s:e]] for s in range(e) if text[s:e] in scores] + ([best[e - 1] + counter.unknown] if text[e - 1] not in scores else []))
+    return best[len(text)]
+
+
+def test_unigram_score_is_the_best(spark):
+    vocabulary = unigram.read_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    counter = unigram.Counter(vocabulary)
+    for word in ("the", "Thereupon", "éclair", "x1y2", "日本語"):
+        assert counter.count(word)[1] == brute_best(counter, vocabulary, "▁" + word)
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_rules(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((*m.span(), kind))
+    return sorted(out, key=lambda s: (s[0], list(BASE).index(s[2])))
+
+
+def test_rules_equal_the_plain_patterns():
+    texts = noise(4000, "01259.@+-() aB%_", 60, 8) + ["4111 1111 1111 1111", "a@b.c@d.e", "x.y@z", "+1 (234) 555-6789.", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.4", "é 10.0.0.1 日 a@b.co"]
+    for t in texts:
+        assert pii.rule_spans(t) == plain_rules(t), t
+
+
+def test_field_decodes_like_plain_viterbi_and_finds_secrets(spark):
+    labelled = spark.createDataFrame(pii.labelled_rows(200), "text string, spans array<struct<start: int, end: int>>")
+    model = pii.fit(labelled)
+    decoder = pii.Decoder(model)
+
+    def plain(codes):
+        e = pii.features(codes) @ model.emission
+        score, back = model.begin + e[0], []
+        for t in range(1, len(codes)):
+            paths = score[:, None] + model.move
+            back.append(paths.argmax(0))
+            score = paths.max(0) + e[t]
+        states = [int((score + model.finish).argmax())]
+        for b in back[::-1]:
+            states.append(int(b[states[-1]]))
+        return states[::-1]
+
+    for text, _ in pii.labelled_rows(150, seed=99):
+        _, _, starts, _, codes = pii.words_and_codes(pa.array([text]))
+        if len(codes):
+            assert decoder.decode(codes, np.zeros(len(codes), int)).tolist() == plain(codes)
+    right = [[x[:2] for x in pii.added_spans(pa.array([t]), decoder)[0]] == s for t, s in pii.labelled_rows(200, seed=7)]
+    assert np.mean(right) > 0.95
+    texts = [None, "", "é password=e3b3ed3cc8548923d6 x", "mail a@b.co", "plain words only"] + ODD
+    rows = pii.find(frame(spark, texts), model, carry=["doc_id"]).orderBy("row.doc_id").collect()
+    assert [[(s.kind, s.start, s.end) for s in r.spans] for r in rows[:5]] == [[], [], [("secret", 11, 29)], [("email", 5, 11)], []]
+    assert len(rows) == len(texts)
+
+
+def test_toxicity_separates_held_out_rows(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice(["th", "er", "an", "on", "tion", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    bad = ["moron", "scum", "worthless", "idiot", "pathetic"]
+    def text(toxic):
+        words = [rng.choice(plain) for _ in range(60)]
+        return " ".join([*words, *(rng.sample(bad, 3) if toxic else [])]).replace(" ", rng.choice([" ", "  "]))
+    docs = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(900)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, toxic int")
+    labels = d.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5000, None)], "doc_id bigint, toxic int"))
+    model = toxicity.fit(d.select("doc_id", "text"), labels)
+    fresh = [text(i % 2 == 0) for i in range(100)]
+    rows = toxicity.score(frame(spark, fresh), model, carry=["doc_id"]).orderBy("row.doc_id").collect()
+    assert np.mean([(r.score >= 0.3) == (r.row.doc_id % 2 == 0) for r in rows]) > 0.95
+    odd = toxicity.score(frame(spark, ODD), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    nothing = toxicity.fit(d.select("doc_id", "text").limit(0), labels.limit(0))
+    assert all(r.score < 0.3 for r in toxicity.score(frame(spark, fresh[:5]), nothing).collect())
