@@ -16,8 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIMENSIONS = 8
-LEAF = 32
+LEAF = 64
 STOP = 0.99
+#: More than what matrix products and the exact measure may differ by.
+ROUNDING = 1e-9
 #: Vectors of one block; each block is one kd-tree, the memory of one task.
 BLOCK_ROWS = 8192
 #: Queries that one task holds against one block.
@@ -30,6 +32,14 @@ def chi_square_cdf(x: np.ndarray | float, dimensions: int) -> np.ndarray | float
     return 1 - np.exp(-half) * sum(half**i / factorial(i) for i in range(dimensions // 2))
 
 
+def chi_square_quantile(share: float, dimensions: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_cdf(middle, dimensions) < share else (low, middle)
+    return high
+
+
 class Tree:
     """A kd-tree over projected points: `order` holds the points leaf by leaf; lo and hi are the leaves' boxes."""
 
@@ -71,24 +81,36 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     inverse = inverse.ravel()
     by_id = np.lexsort((ids, inverse))
     first = np.searchsorted(inverse[by_id], np.arange(len(distinct) + 1))
-    copies = [ids[by_id[a : min(b, a + k + 1)]] for a, b in zip(first[:-1], first[1:], strict=True)]  # of equal vectors the smallest ids win
+    units = unit(distinct)
     projection = np.random.default_rng(seed).standard_normal((vectors.shape[1], DIMENSIONS))
-    tree = Tree(unit(distinct) @ projection)
+    tree = Tree(units @ projection)
+    units = units[tree.order]  # leaf by leaf, so that a leaf is one stretch of memory
+    enough = chi_square_quantile(stop, DIMENSIONS)
+    starts = tree.starts.tolist()
     out: list[tuple[int, int, float]] = []
-    for qid, q, p in zip(query_ids, queries, unit(queries) @ projection, strict=True):
+    asked = unit(queries)
+    for qid, q, u, p in zip(query_ids, queries, asked, asked @ projection, strict=True):
         leaves, bounds = tree.leaves_by_distance(p)
-        best: list[tuple[float, int]] = []
-        for leaf, bound in zip(leaves, bounds, strict=True):
-            if len(best) == k:
-                worst = max(2 - 2 * -best[-1][0], 0.0)  # squared distance of unit vectors at the k-th best cosine
-                if worst < 1e-12 and bound > 1e-9 or worst >= 1e-12 and chi_square_cdf(bound / worst, DIMENSIONS) >= stop:
-                    break
-            rows = tree.order[tree.starts[leaf] : tree.starts[leaf + 1]]
-            score = cosine(distinct[rows], q)
-            for r in np.flatnonzero(score >= -best[-1][0]) if len(best) == k else range(len(rows)):
-                best += [(-score[r], int(i)) for i in copies[rows[r]] if i != qid]
-            best = sorted(best)[:k]
-        out += [(qid, i, -s) for s, i in best]
+        top = np.zeros(0)  # the best k + 1 cosines of different vectors: the query's own may be among them
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+        least = -2.0
+        for leaf, bound in zip(leaves.tolist(), bounds.tolist(), strict=True):
+            if bound > enough * max(2 - 2 * least, 1e-12):  # squared distance of unit vectors at cosine `least`
+                break
+            a, b = starts[leaf], starts[leaf + 1]
+            score = units[a:b] @ u
+            hits = np.flatnonzero(score >= least - ROUNDING)
+            if len(hits):
+                near.append((hits + a, score[hits]))
+                top = np.concatenate([top, score[hits]])
+                if len(top) > k:
+                    top = np.partition(top, len(top) - k - 1)[-k - 1 :]
+                    least = float(top[0])
+        rows, scores = (np.concatenate(x) for x in zip(*near, strict=True))
+        rows = tree.order[rows[scores >= least - ROUNDING]]
+        exact = cosine(distinct[rows], q)
+        best = [(-s, int(i)) for r, s in zip(rows, exact, strict=True) for i in ids[by_id[first[r] : min(first[r + 1], first[r] + k + 1)]] if i != qid]  # of equal vectors the smallest ids win
+        out += [(qid, i, -s) for s, i in sorted(best)[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
