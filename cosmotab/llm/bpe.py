@@ -151,7 +151,7 @@ class Encoder:
         return ids, offsets[np.array([0, *ends])]
 
 
-def encode_decode(docs: DataFrame, vocabulary_file: str, *, text_col: str = "text", carry: list[str] | None = None, digests: bool = False, budget: int = 4 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_file: str, *, text_col: str = "text", carry: list[str] | None = None, digests: bool = False, budget: int = 2 << 20) -> DataFrame:
     """For each row of docs: struct `row` of the carried columns, then its token ids and the text decoded from them.
 
     Columns n_tokens, ids (array<int>) and decoded; with digests=True n_tokens, ids_sha256 (of the ids as little-endian

@@ -23,6 +23,8 @@ MIN_COUNT = 3
 #: Most n-grams a language may put into its filter: the most frequent ones.
 MAX_GRAMS = 200_000
 UNDETERMINED = "und"
+#: Text whose n-grams a task holds at once: they take some fifty times that.
+WORK_BYTES = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -113,7 +115,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def count(batches):
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for part in slices(batch, sizes):
+            for part in slices(batch, sizes, WORK_BYTES):
                 of = part.column(0).to_numpy(zero_copy_only=False)
                 gram, ends = grams(part.column(1))
                 key = np.repeat(of.astype(np.int64), np.diff(ends)) << 32 | gram
@@ -157,4 +159,4 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", carry: li
 
         return work
 
-    return map_texts(docs, text_col, make, "lang_pred string, score double", carry)
+    return map_texts(docs, text_col, make, "lang_pred string, score double", carry, WORK_BYTES)
