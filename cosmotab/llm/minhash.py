@@ -12,7 +12,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts, utf8_view, written
@@ -177,21 +177,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def components(edges: DataFrame) -> DataFrame:
     """node and the smallest node reachable from it (label) for all nodes of the edges (a, b): large-star and small-star
-    steps until nothing changes. A step is an aggregation and a join by node; nothing of a group meets in one row."""
-    edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    steps until nothing changes. A step is two aggregations and joins by node; nothing of a group meets in one row."""
+    edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = None
     while True:
-        facts = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if facts == state:
+        seen = Observation()
+        edges = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+        if seen.get == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        state = facts
+        state = seen.get
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = written(small.filter("a != b").distinct())
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("low").alias("b"))
+        edges = large.join(low, "a").select(F.explode(F.array(pair("a"), pair("b"))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """node and the root of its tree (label) for a forest of parents (a, b), b above a: pointers double in each step."""
+    state = written(parents.select(F.col("a").alias("node"), F.col("b").alias("label")))
+    while True:
+        above = state.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        seen = Observation()
+        moved = state.join(above, "label", "left").observe(seen, F.count("above").alias("moved"))
+        state = written(moved.select("node", F.coalesce("above", "label").alias("label")))
+        if not seen.get["moved"]:
+            return state
 
 
 def _deal(members: DataFrame) -> DataFrame:
@@ -250,8 +262,8 @@ def _alive(rows: Iterator[pa.RecordBatch], apart: int, num: int, den: int) -> It
 
 
 def _links(t: pa.Table, num: int, den: int) -> pa.Table:
-    """Links (a, b) that join different labels in one block pair: all pairs are compared on their full sets, by products
-    of 0/1 matrices over the shingles that occur twice; of the links a spanning forest of the labels goes out."""
+    """Pairs of labels (a, b) that links join in one block pair: all members' pairs are compared on their full sets, by products
+    of 0/1 matrices over the shingles that occur twice; a spanning forest of the labels goes out."""
     rows = t.num_rows
     sizes = np.diff(t["shingles"].combine_chunks().offsets.to_numpy())
     shingle = t["shingles"].combine_chunks().flatten().to_numpy()
@@ -286,8 +298,8 @@ def _links(t: pa.Table, num: int, den: int) -> pa.Table:
             root[p] = q
             left.append(x)
             right.append(y)
-    node = t["node"].combine_chunks()
-    return pa.table({"a": node.take(pa.array(left, pa.int64())), "b": node.take(pa.array(right, pa.int64()))})
+    name = t["label"].combine_chunks()
+    return pa.table({"a": name.take(pa.array(left, pa.int64())), "b": name.take(pa.array(right, pa.int64()))})
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -319,8 +331,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = shared.join(hubs, "key").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
     first = met.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("b")).select(F.col("node").alias("a"), "b")
     sets = written(_sets(docs, shared.select("node").distinct(), id_col=id_col, text_col=text_col, k=k))
-    edges = written(_confirmed(first, sets, num, den))
-    labels = components(edges)
+    labels = roots(_confirmed(first, sets, num, den))  # a hub stands above its members in (popularity, id): no cycles
 
     members = shared.join(hubs, "key").select("hub", "node").distinct()
     label_of = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
@@ -335,8 +346,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     open_members = _deal(members.join(written(alive), ["hub", "node"], "left_semi"))
     second = open_members.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(lambda t: _links(t, num, den), f"a {id_type}, b {id_type}").distinct()
-    edges = edges.unionByName(written(second))
-    labels = components(edges)
-    by_set = reps.select("n", "set_a", "set_b", "node").join(labels, "node", "left").select("n", "set_a", "set_b", F.coalesce("label", "node").alias("component"))
+    merged = components(second).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    of_set = reps.select("n", "set_a", "set_b", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_set = of_set.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label"))
+    least = of_set.groupBy("label").agg(F.min("node").alias("component"))
+    by_set = of_set.join(least, "label").select("n", "set_a", "set_b", "component")
     out = sigs.select("doc", "n", "set_a", "set_b").join(by_set, ["n", "set_a", "set_b"], "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
