@@ -52,6 +52,12 @@ def shared(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a table and read again: for what a query uses several times."""
+    df.write.parquet(path := shared(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def power(s, d):
     return table(s, d, "fx_power")
 
@@ -73,7 +79,9 @@ def tails(s, d, names=SHOWN_FITS):
 
 
 def all_curves(s, d):
-    return compare.metric_curves(power(s, d), table(s, d, "fx_growth"), slopes(s, d), tails(s, d))
+    slope = stored(slopes(s, d))
+    tail = stored(hmf.hmf_cumulative(hmf.hmf(slope, table(s, d, "fx_run"), SHOWN_FITS)))
+    return compare.metric_curves(power(s, d), table(s, d, "fx_growth"), slope, tail)
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------------------
@@ -450,7 +458,7 @@ MISFIT = "cv AS (SELECT * FROM curves WHERE NOT (run_id = 1 AND fit = 'Tinker 20
 
 
 def compared_curves(s, d):
-    return all_curves(s, d).filter(~((c("run_id") == BASELINE) & (c("fit") == "Tinker 2008")))
+    return stored(all_curves(s, d).filter(~((c("run_id") == BASELINE) & (c("fit") == "Tinker 2008"))))
 
 
 @query(o.sql("curves", "SELECT metric, run_id, window_type, fit, z, base_window, base_fit FROM mt", MISFIT))
@@ -657,7 +665,7 @@ def latest_runs(s, d):
 
 @query(o.sql("curves", "SELECT metric, run_id, window_type, fit, count(*) AS samples FROM (SELECT * FROM curves JOIN (SELECT metric, run_id, window_type, fit, row_number() OVER (PARTITION BY metric ORDER BY run_id, window_type, fit) AS place FROM (SELECT DISTINCT metric, run_id, window_type, fit FROM curves) a) b USING (metric, run_id, window_type, fit) WHERE place <= 36) q GROUP BY ALL"))
 def curve_cap(s, d):
-    return compare.curve_cap(all_curves(s, d)).groupBy("metric", "run_id", "window_type", "fit").agg(F.count("*").alias("samples"))
+    return compare.curve_cap(stored(all_curves(s, d))).groupBy("metric", "run_id", "window_type", "fit").agg(F.count("*").alias("samples"))
 
 
 PARSED = "p AS (SELECT event_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM fx_event_text), v AS (SELECT event_id, list_filter(list_transform(parts, lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x >= 0) AS vals, list_filter(list_transform(parts, lambda x: CASE WHEN TRY_CAST(x AS DOUBLE) IS NULL THEN 'Could not parse redshift value ''' || x || '''.' WHEN TRY_CAST(x AS DOUBLE) < 0 THEN 'Ignored negative redshift value ' || x || '.' END), lambda x: x IS NOT NULL) AS issues FROM p)"
