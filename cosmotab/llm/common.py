@@ -30,8 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read again: it cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df written once as a table in the shared folder and read again: it cuts the lineage and outlives lost executors.
+
+    All tables of an application lie in one folder of its id, to be removed after it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
