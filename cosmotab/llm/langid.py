@@ -102,7 +102,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each language.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    named = labelled.select(F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")  # counted without reading the texts
+    counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], 10, [], np.zeros(0), 0, 0.0)
