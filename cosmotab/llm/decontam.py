@@ -64,7 +64,7 @@ class Matcher:
         matches = list(self.trie.iter(text))
         if not matches:
             return [], set()
-        own = text.split()
+        own = [w.decode() for w in words]  # not text.split(), which also breaks at white space beyond ASCII
         at = [1]  # where each word starts in the normalised text
         for w in own:
             at.append(at[-1] + len(w) + 1)

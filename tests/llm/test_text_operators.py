@@ -77,6 +77,20 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         assert sum(len(decontam.normal_words(text[s.start : s.end])) for s in r.spans) == r.n_hit
 
 
+@pytest.mark.parametrize("space", ["\u00a0", "\u202f", "\u3000", "\u2028", "\u0085"])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 50])
+def test_decontamination_keeps_white_space_beyond_ascii_inside_words(spark, space, block_bytes):
+    passage = " ".join(f"w{i}" for i in range(13))
+    items = [("plain", passage), ("spaced", " ".join(f"v{i}{space}x" for i in range(20))), ("short", f"q{space}r s")]
+    docs = [f"a{space}b {passage}", f"{passage} a{space}b", f"a{space}b {passage} c{space}{space}d e", f"z{space}z {items[1][1]}", f"{items[1][1]} {space} {passage}", f"y{space} q{space}r s", f"q r s {space}"]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = decontam.decontaminate(frame(spark, docs), bench, block_bytes=block_bytes).select("row.doc_id", "n_words", "n_hit", "items", "spans").orderBy("doc_id").collect()
+    for r in rows:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_windows(docs[r.doc_id], items)
+    cut = [[docs[r.doc_id][s.start : s.end] for s in r.spans] for r in rows]
+    assert cut == [[passage], [passage], [passage], [items[1][1]], [items[1][1], passage], [items[2][1]], []]
+
+
 def test_decontamination_with_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.n_hit for r in decontam.decontaminate(frame(spark, ["a b"]), none).collect()] == [0]
