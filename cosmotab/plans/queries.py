@@ -299,6 +299,21 @@ def series_error(s, d):
     return y_grid(s, d).filter("y > 1").select("p_partkey", (F.round(F.log10(error), 4) + 0.0).alias("log_error"))
 
 
+#: Below this, or below the rounding of the exact form (4e-15 / y^2, as its numerator cancels), an error counts as this much.
+ERROR_FLOOR = 1e-9
+WIDE_Y = "SELECT p_partkey, pow(1e1, -7e0+(p_partkey*37 % 900)/100e0) AS y FROM part"
+
+
+@query(f"SELECT p_partkey, {o.r8('log10(y)')} AS log_y, (round(log10(greatest(abs({SERIES_SQL}-{EXACT})/greatest(abs({EXACT}), 1e-30), 1e-9, 4e-15/(y*y))), 4) + 0e0) AS log_error FROM ({WIDE_Y}) q")
+def series_error_whole(s, d):
+    """Every y from 1e-7 to 1e2: all of the figure's range, on both sides of the switch to the series."""
+    rows = table(s, d, "part").select("p_partkey", F.pow(F.lit(10.0), -7.0 + (c("p_partkey") * 37 % 900) / 100.0).alias("y"))
+    e = windows.top_hat_exact(c("y"))
+    error = F.abs(windows.top_hat_series(c("y")) - e) / F.greatest(F.abs(e), F.lit(1e-30))
+    shown = F.greatest(error, F.lit(ERROR_FLOOR), 4e-15 / (c("y") * c("y")))
+    return rows.select("p_partkey", r8(F.log10("y")).alias("log_y"), (F.round(F.log10(shown), 4) + 0.0).alias("log_error"))
+
+
 INTEGRAND = " UNION ALL ".join(f"SELECT p.run_id, z, '{n}' AS window_type, {o.rl('k')} AS ln_k, {o.rl(f'greatest(k*k*k*p/{o.PI2}*{o.w(chr(107) + chr(42) + chr(114), n)}*{o.w(chr(107) + chr(42) + chr(114), n)}, 1e-300)').replace(', 8)', ', 6)')} AS ln_i FROM fx_power p JOIN rr USING (run_id) WHERE z = 0 AND k*r < 3" for n in windows.WINDOWS)
 
 
