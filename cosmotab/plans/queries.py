@@ -325,6 +325,20 @@ def sigma_integrand(s, d):
     return rows.select("run_id", "z", "window_type", rl("k").alias("ln_k"), (F.round(F.ln("integrand"), 6) + 0.0).alias("ln_i"))
 
 
+#: As INTEGRAND, over every k.
+INTEGRAND_WHOLE = " UNION ALL ".join(f"SELECT p.run_id, z, '{n}' AS window_type, {o.rl('k')} AS ln_k, (round(ln(greatest(k*k*k*p/{o.PI2}*{o.w('k*r', n)}*{o.w('k*r', n)}, 1e-300)), 6) + 0e0) AS ln_i FROM fx_power p JOIN rr USING (run_id) WHERE z = 0" for n in windows.WINDOWS)
+AT_MASS = "rr AS (SELECT a.run_id, exp(ln(a.r)+(ln(b.r)-ln(a.r))*(ln(1e12)-ln(a.m_h))/(ln(b.m_h)-ln(a.m_h))) AS r FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY m_h DESC) AS o FROM rad WHERE m_h <= 1e12) a JOIN (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY m_h) AS o FROM rad WHERE m_h > 1e12) b ON a.run_id = b.run_id AND a.o = 1 AND b.o = 1)"
+
+
+@query(o.sql("rad", INTEGRAND_WHOLE, AT_MASS))
+def sigma_integrand_whole(s, d):
+    """Every k: the oscillating top-hat part, the Gaussian tail and the sharp-k range that is cut to the floor too."""
+    ask = runs(s, d).select("run_id", F.lit(1e12).alias("at"))
+    at = curves.interpolate(ask, radii(s, d), ["run_id"], "at", "m_h", "r", "r", log=True).select("run_id", "r")
+    rows = sigma.sigma_integrand(power(s, d).filter("z = 0"), at)
+    return rows.select("run_id", "z", "window_type", rl("k").alias("ln_k"), (F.round(F.ln("integrand"), 6) + 0.0).alias("ln_i"))
+
+
 @query(o.on("fx_sigma", f"SELECT l_orderkey, l_linenumber, {o.r8('1686e-3/greatest(sigma, 1e-30)')} AS nu FROM fx_sigma"))
 def peak_height(s, d):
     return table(s, d, "fx_sigma").select("l_orderkey", "l_linenumber", r8(fits.peak_height(c("sigma"))).alias("nu"))

@@ -18,3 +18,11 @@ def test_series_error_over_the_whole_range(spark):
     small = [r for r in rows if r.log_y < -1]
     assert min(r.log_y for r in rows) < -6.9 and max(r.log_y for r in rows) > 1.8 and len(small) > len(rows) / 2
     assert all(r.log_error <= max(-9, -14.3979 - 2 * r.log_y) + 1e-3 for r in small)
+
+
+def test_sigma_integrand_at_every_k(spark):
+    rows = Q["sigma_integrand_whole"](spark, str(DATA)).collect()
+    samples = Q["export_power"](spark, str(DATA)).count()  # of P(k) at z = 0
+    by_window = {w: [r.ln_i for r in rows if r.window_type == w] for w in ("Top-hat", "Gaussian", "Sharp-k")}
+    assert [len(v) for v in by_window.values()] == [samples] * 3
+    assert sum(v < -690 for v in by_window["Sharp-k"]) > samples / 4 and min(by_window["Gaussian"]) < -690 < min(by_window["Top-hat"])
