@@ -91,6 +91,30 @@ def test_decontamination_keeps_white_space_beyond_ascii_inside_words(spark, spac
     assert cut == [[passage], [passage], [passage], [items[1][1]], [items[1][1], passage], [items[2][1]], []]
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    items = [(str(i), " ".join(f"w{i}x{j}" for j in range(20))) for i in range(40)]
+    docs = [f"a {t} b" for _, t in items] + [f"{items[0][1]} {items[1][1]}"] * 2 + [None, ""]
+    sent, live = [], []
+    real = type(spark.sparkContext).broadcast
+
+    def broadcast(sc, value):
+        assert not live, "an earlier block is still held"
+        b = real(sc, value)
+        sent.append(sum(len(t) for _, t in value))
+        live.append(b)
+        destroy = b.destroy
+        b.destroy = lambda *a: (live.remove(b), destroy(*a))
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    made = decontam.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id string, text string"), block_bytes=1000)
+    rows = made.select("row.doc_id", "n_words", "n_hit", "items").collect()
+    assert not live and len(sent) > 3 and sum(sent) == sum(len(t) for _, t in items) and max(sent) < sum(sent) / 2
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_windows(docs[r.doc_id], items)
+
+
 def test_decontamination_with_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.n_hit for r in decontam.decontaminate(frame(spark, ["a b"]), none).collect()] == [0]
