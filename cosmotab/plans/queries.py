@@ -355,6 +355,22 @@ def calibration_label(s, d):
     return hmf.calibration_label(rows, hmf.fit_catalog(s)).select("run_id", "z", "fit", rl("m_h").alias("ln_m_h"), "calibrated")
 
 
+#: As IN_RANGE, for all rows of the catalogue.
+ALL_RANGES = {
+    "Press-Schechter 1974": "true", "Sheth-Tormen 2001": "true", "Jenkins 2001": "-ln(sigma) > -12e-1 AND -ln(sigma) < 105e-2 AND z <= 5", "Reed 2003": "-ln(sigma) > -17e-1 AND -ln(sigma) < 9e-1 AND z <= 15",
+    "Warren 2006": "log10(m) > 10 AND log10(m) < 15 AND z = 0", "Reed 2007": "-ln(sigma) > -17e-1 AND -ln(sigma) < 9e-1 AND z <= 30", "Tinker 2008": "-ln(sigma) > -6e-1 AND -ln(sigma) < 4e-1 AND z <= 25e-1",
+    "Crocce 2010": "log10(m) > 105e-1 AND log10(m) < 155e-1 AND z <= 2", "Courtin 2010": "-ln(sigma) > -8e-1 AND -ln(sigma) < 7e-1 AND z = 0", "Bhattacharya 2011": "log10(m) > 118e-1 AND log10(m) < 155e-1 AND z <= 2",
+    "Angulo 2012": "log10(m) > 8 AND log10(m) < 16 AND z = 0", "Watson FOF 2013": "-ln(sigma) > -55e-2 AND -ln(sigma) < 131e-2 AND z <= 30", "Watson SO 2013": "z <= 30",
+}
+
+
+@query(o.sql("slo", " UNION ALL ".join(f"SELECT run_id, z, '{n}' AS fit, {o.rl('m_h')} AS ln_m_h, {r} AS calibrated FROM slo" for n, r in ALL_RANGES.items())))
+def calibration_label_whole(s, d):
+    """All fits of the catalogue."""
+    rows = hmf.hmf(slopes(s, d), table(s, d, "fx_run"), list(fits.FITS))
+    return hmf.calibration_label(rows, hmf.fit_catalog(s)).select("run_id", "z", "fit", rl("m_h").alias("ln_m_h"), "calibrated")
+
+
 # --- multiplicity functions ----------------------------------------------------------------------------------------
 
 SIG = "sigma"

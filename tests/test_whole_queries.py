@@ -26,3 +26,12 @@ def test_sigma_integrand_at_every_k(spark):
     by_window = {w: [r.ln_i for r in rows if r.window_type == w] for w in ("Top-hat", "Gaussian", "Sharp-k")}
     assert [len(v) for v in by_window.values()] == [samples] * 3
     assert sum(v < -690 for v in by_window["Sharp-k"]) > samples / 4 and min(by_window["Gaussian"]) < -690 < min(by_window["Top-hat"])
+
+
+def test_calibration_label_of_every_fit(spark):
+    rows = Q["calibration_label_whole"](spark, str(DATA)).collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.fit, set()).add(r.calibrated)
+    assert len(seen) == 13
+    assert all(seen[n] == {True, False} for n in ("Warren 2006", "Crocce 2010", "Bhattacharya 2011", "Angulo 2012", "Watson FOF 2013"))
