@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: windows that a toxic dictionary compresses much better than an ordinary one."""
+"""Toxicity by compression distance: windows that a dictionary trained on toxic text compresses better than one trained on ordinary text."""
 
 from __future__ import annotations
 
@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts, written
 
-#: Bound of the fit: about so many labelled documents of each class are read for it.
-FIT_DOCS = 10_000
-DICTIONARY_BYTES = 8192
+#: Bound of the fit: about so many bytes of labelled documents of each class are read for it ...
+FIT_BYTES = 4_000_000
+#: ... and none that is longer than this.
+FIT_LONGEST = 100_000
+#: Most windows of a class that the dictionary trainer sees.
+TRAIN_WINDOWS = 60_000
+#: Words of a window and of a wide window; the next one begins with the last word of the one before.
+WORDS, WIDE = 2, 8
+ORDINARY_BYTES = 32_768
+TOXIC_BYTES = 4_096
+#: Parameters of the dictionary trainer: bytes of the segments it picks, and of the strings it counts.
+SEGMENT, STRING = 16, 6
+#: Rounds of training the toxic dictionary on the windows that the last one told from ordinary text.
+ROUNDS = 3
 LEVEL = 3
-#: Toxic text for the dictionary: words in this share of the toxic documents, and so many times their share of others.
-MIN_SHARE = 0.005
-MIN_RATIO = 10.0
 #: Of the windows at or under a threshold, so many times more must come from toxic documents than from others.
 ODDS = 4.0
-MOST_HITS = 4
-CACHE_WORDS = 400_000
 
 #: zstandard stores very short inputs as they are and matches nothing in their last bytes: a window is compressed after a
 #: lead that both dictionaries end with, and before a tail that neither has, so that lengths show what its own bytes cost.
@@ -34,142 +40,225 @@ _TAIL = b"QRSTUVWXYZ"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+def words_of(text: str) -> list[bytes]:
+    return [x.encode() for x in _LETTERS.findall(text.lower())]
 
 
-def dictionary(words: list[str]) -> bytes:
-    """Raw dictionary content: the words, the most telling ones last, where they cost least, then the lead."""
-    return f" {' '.join(words)} ".encode()[-DICTIONARY_BYTES:].rjust(DICTIONARY_BYTES, b"#") + _LEAD
+def windows(words: list[bytes], size: int = WORDS) -> list[bytes]:
+    """All windows of `size` words between spaces; fewer words, but not none, are one window."""
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words) - 1), size - 1)] if words else []
+
+
+def train_dictionary(samples: list[bytes], size: int) -> bytes:
+    """The public trainer's dictionary of the samples; a smaller one if they don't fill it, none if they're too few."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=SEGMENT, d=STRING).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            size //= 2
+    return b""
 
 
 @dataclass
 class Model:
-    """The two dictionaries; for each length under the ordinary one, the largest length under the toxic one that counts
-    as a hit; and the score of a text by its number of hits (the last entry: that many or more)."""
+    """The ordinary dictionary and the toxic text put before it; thresholds and evidence of windows; the last calibration.
+
+    thresholds[a] is the largest length with the toxic dictionary at which a window of ordinary length a is a hit;
+    evidence[a, b] the log odds of such a window; weights those of a logistic regression on (1, total log odds, strongest
+    window's, log of the number of words, thousands of words).
+    """
 
-    toxic: bytes
     ordinary: bytes
+    toxic: bytes
     thresholds: dict[int, int] = field(default_factory=dict)
-    scores: list[float] = field(default_factory=list)
+    evidence: dict[tuple[int, int], float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0, 0.0, 0.0]))
 
 
 class Scorer:
+    """Compresses windows with both dictionaries: they differ only in what stands before the ordinary one, trained text or filler."""
+
     def __init__(self, model: Model):
         self.model = model
         shape = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=4, write_content_size=0, write_dict_id=0, write_checksum=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
-        self.compressors = [zstandard.ZstdCompressor(dict_data=d, compression_params=shape) for d in held]
-        self.cache: dict[str, int] = {}
-
-    def lengths(self, word: str) -> tuple[int, int]:
-        """Compressed lengths of the window (a word between spaces) with the ordinary and the toxic dictionary."""
-        window = _LEAD + f" {word} ".encode() + _TAIL
-        ordinary, toxic = self.compressors
-        return len(ordinary.compress(window)), len(toxic.compress(window))
-
-    def is_hit(self, word: str) -> bool:
-        a, b = self.lengths(word)
-        return b <= self.model.thresholds.get(a, -1)
-
-    def hits(self, text: str) -> int:
-        """Windows of the whole text under their threshold."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        total = 0
-        for token in text.lower().split():
-            n = self.cache.get(token)
-            if n is None:
-                n = self.cache[token] = sum(map(self.is_hit, _LETTERS.findall(token)))
-            total += n
-        return total
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
-    """A model from about fit_docs labelled documents of each class, chosen by hashed id.
-
-    Labels or texts that are null teach nothing; a document with several labels is toxic if one says so. Half of the
-    sample gives the dictionaries' text, the other half the thresholds and scores; near copies fall into one half and
-    count once, as they share the smallest of their words' hashes. The sampled labels (bounded) are broadcast to the
-    documents; counts are gathered in Spark, and only the words of the two dictionaries and the cells of the calibration
-    come to the driver.
-    """
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in marks.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
-    cut = {t: min(1 << 20, fit_docs * (1 << 20) // n + 1) for t, n in counts.items()}
-    marks = marks.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    marks = marks.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, cut.get(True, 0)).otherwise(cut.get(False, 0)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(marks), "id")
+        both = (b"#" * len(model.toxic) + model.ordinary + _LEAD, model.toxic + model.ordinary + _LEAD)
+        held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in both]
+        self.ordinary, self.toxic = (zstandard.ZstdCompressor(dict_data=d, compression_params=shape).compress for d in held)
+
+    def lengths(self, window: bytes) -> tuple[int, int]:
+        """Compressed lengths of a window with the ordinary and the toxic dictionary."""
+        whole = _LEAD + window + _TAIL
+        return len(self.ordinary(whole)), len(self.toxic(whole))
+
+    def searched(self, words: list[bytes]) -> set[bytes]:
+        """The distinct windows inside the wide windows that the toxic dictionary makes shorter."""
+        found: set[bytes] = set()
+        for i, wide in zip(range(0, len(words), WIDE - 1), windows(words, WIDE), strict=False):
+            a, b = self.lengths(wide)
+            if b < a:
+                found.update(windows(words[i : i + WIDE]))
+        return found
+
+    def features(self, text: str) -> tuple[float, float, float, float, int]:
+        """Total log odds of a whole text's hits, the strongest one's, log and thousands of its words; the number of hits."""
+        total = top = 0.0
+        hits = 0
+        words = words_of(text)
+        thresholds, evidence = self.model.thresholds, self.model.evidence
+        for w in self.searched(words):
+            a, b = self.lengths(w)
+            if b <= thresholds.get(a, -1):
+                e = evidence.get((a, b), 0.0)
+                total += e
+                top = max(top, e)
+                hits += 1
+        return total, top, float(np.log1p(len(words))), len(words) / 1000, hits
+
+    def score(self, text: str) -> tuple[float, int]:
+        *x, hits = self.features(text)
+        return float(probability(np.array([1.0, *x]), self.model.weights)), hits
+
+
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+
+
+def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps; the first column is the constant and isn't shrunk."""
+    w = np.zeros(x.shape[1])
+    shrink = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
+    for _ in range(30):
+        p = probability(x, w)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + shrink
+        w = w + np.linalg.solve(curve, x.T @ (weight * (y - p)) - shrink @ w)
+    return w
+
+
+def thresholds_of(toxic: Counter, ordinary: Counter) -> dict[int, int]:
+    """For each ordinary length the largest toxic length up to which windows (a, b) speak ODDS to one for toxic text."""
+    n, m = max(1, sum(toxic.values())), max(1, sum(ordinary.values()))
+    out = {}
+    for a in {k[0] for k in toxic}:
+        t = p = 0
+        for b in sorted({k[1] for c in (toxic, ordinary) for k in c if k[0] == a}):
+            t, p = t + toxic[a, b], p + ordinary[a, b]
+            if t >= 3 and t * m >= ODDS * (p + 0.5) * n:
+                out[a] = b
+    return out
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_bytes: int) -> tuple[DataFrame, dict[int, float]]:
+    """toxic, half and text of the sampled documents, and each class's documents for one in the sample."""
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic is not null")
+    marks = marks.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text").between(1, FIT_LONGEST)).join(marks, "id")
+    sizes = {r[0]: (r[1], r[2]) for r in texts.groupBy("toxic").agg(F.sum(F.octet_length("text")), F.count("*")).collect()}
+    share = {t: min(1.0, fit_bytes / size) for t, (size, _) in sizes.items()}
+    cut = F.when(F.col("toxic") == 1, int(share.get(1, 0) * (1 << 20))).otherwise(int(share.get(0, 0) * (1 << 20)))
+    texts = texts.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) <= cut)
 
     def make():
-        def work(found: pa.Array) -> list:
-            lists = [sorted(set(words_of(t))) for t in found.to_pylist()]
-            return [[min((xxhash.xxh64_intdigest(w) >> 1 for w in ws), default=0) for ws in lists], lists]
+        return lambda found: [[min((xxhash.xxh64_intdigest(w) >> 1 for w in windows(words_of(t))), default=0) for t in found.to_pylist()]]
 
-        return work
+    marked = map_texts(texts, "text", make, "cluster bigint", ["toxic", "text"]).select("row.toxic", "row.text", "cluster")
+    sample = written(marked.dropDuplicates(["toxic", "cluster"]).withColumn("half", (F.col("cluster") % 2).cast("int")).repartition(24, "cluster"))
+    taken = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    return sample, {t: sizes[t][1] / n for t, n in taken.items()}
 
-    sample = written(map_texts(texts, "text", make, "cluster bigint, words array<string>", ["toxic"]).select("row.toxic", "cluster", "words"))
-    first = sample.filter("cluster % 2 = 0")
-    clusters = {r[0]: r[1] for r in first.groupBy("toxic").agg(F.count_distinct("cluster")).collect()}
-    n_toxic, n_plain = clusters.get(1, 0), clusters.get(0, 0)
-    by_word = first.select("toxic", "cluster", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("p"))
-    most = DICTIONARY_BYTES // 2
-    telling = by_word.filter((F.col("t") >= max(3.0, MIN_SHARE * n_toxic)) & (F.col("t") / max(1, n_toxic) >= MIN_RATIO * (F.col("p") + 0.5) / max(1, n_plain)))
-    toxic = [r[0] for r in telling.orderBy(F.desc("t"), "word").limit(most).collect()][::-1]
-    plain = [r[0] for r in by_word.filter("p > 0").orderBy(F.desc("p"), "word").limit(most).collect()][::-1]
-    model = Model(dictionary(toxic), dictionary(plain))
-
-    second = sample.filter("cluster % 2 = 1")
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def cells(batches):
-        scorer, seen = Scorer(held.value), Counter()
-        for batch in batches:
-            for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((toxic, *scorer.lengths(w)) for w in words)
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["toxic", "a", "b", "n"])
-
-    table: Counter = Counter()
-    for r in second.select("toxic", "words").mapInArrow(cells, "toxic int, a int, b int, n bigint").groupBy("toxic", "a", "b").agg(F.sum("n")).collect():
-        table[r[0], r[1], r[2]] = r[3]
-    for a in {k[1] for k in table}:
-        t = p = 0
-        for b in sorted({k[2] for k in table if k[1] == a}):
-            t, p = t + table[1, a, b], p + table[0, a, b]
-            if t >= 3 and t >= ODDS * p:
-                model.thresholds[a] = b
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_bytes: int = FIT_BYTES) -> Model:
+    """A model from about fit_bytes bytes of labelled documents of each class, chosen by hashed id.
 
-    tuned = docs.sparkSession.sparkContext.broadcast(model)
+    Labels or texts that are null, empty texts and texts of more than FIT_LONGEST bytes teach nothing; a document with
+    several labels is toxic if one says so. Near copies share the smallest of their windows' hashes and count once.
 
-    def hits(batches):
-        scorer, seen = Scorer(tuned.value), Counter()
+    The public trainer makes one dictionary of ordinary windows and one of toxic documents' windows. Most of those are
+    ordinary too, so the toxic one is trained again, ROUNDS times, on the windows that it tells from ordinary text. Each
+    dictionary is judged on the half of the sample that it wasn't trained from, so it can't prefer what it has merely
+    seen; thresholds, log odds and the last calibration come from such a half as well. Windows are compressed in tasks;
+    the driver holds windows of the bounded sample.
+    """
+    spark = docs.sparkSession
+    sample, each = _sample(docs, labels, id_col, text_col, label_col, fit_bytes)
+    if not each.get(1) or not each.get(0):
+        return Model(b"", b"")
+
+    def drawn(toxic: int) -> list[bytes]:
+        """Windows of the class in the first half, TRAIN_WINDOWS at most, by hash."""
+
+        def rows(batches):
+            for batch in batches:
+                found = [w for t in batch.column(0).to_pylist() for w in sorted(set(windows(words_of(t))))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([xxhash.xxh64_intdigest(w) >> 1 for w in found], pa.int64())], names=["w", "h"])
+
+        some = sample.filter(f"toxic = {toxic} and half = 0").select("text").mapInArrow(rows, "w binary, h bigint")
+        return [bytes(r[0]) for r in some.orderBy("h", "w").limit(TRAIN_WINDOWS).collect()]
+
+    model = Model(train_dictionary(drawn(0), ORDINARY_BYTES), train_dictionary(drawn(1), TOXIC_BYTES))
+
+    def compared(held, half: int, last: bool) -> tuple[Counter, Counter, list[tuple[bytes, int, int]]]:
+        """Cells of both classes' distinct windows in one half, and the toxic documents' windows with theirs; at last of
+        the windows alone that scoring searches."""
+
+        def rows(batches):
+            scorer = Scorer(held.value)
+            for batch in batches:
+                plain: Counter = Counter()
+                out = []
+                for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = words_of(text)
+                    own = scorer.searched(words) if last else set(windows(words))
+                    if toxic:
+                        out += [(w, *scorer.lengths(w), 1) for w in own]
+                    else:
+                        plain.update(map(scorer.lengths, own))
+                out += [(None, a, b, n) for (a, b), n in plain.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.binary(), pa.int32(), pa.int32(), pa.int64())], names=["w", "a", "b", "n"])
+
+        toxic, ordinary, found = Counter(), Counter(), []
+        for w, a, b, n in sample.filter(f"half = {half}").select("toxic", "text").mapInArrow(rows, "w binary, a int, b int, n bigint").groupBy("w", "a", "b").agg(F.sum("n")).collect():
+            (ordinary if w is None else toxic)[a, b] += n
+            if w is not None:
+                found += [(bytes(w), a, b)] * n
+        return toxic, ordinary, found
+
+    half = 0
+    for k in range(ROUNDS + 1):
+        half = 1 - half
+        toxic, ordinary, found = compared(spark.sparkContext.broadcast(model), half, k == ROUNDS)
+        model.thresholds = thresholds_of(toxic, ordinary)
+        telling = [w for w, a, b in found if b <= model.thresholds.get(a, -1)]
+        if k == ROUNDS:
+            break
+        telling.sort(key=lambda w: (xxhash.xxh64_intdigest(w), w))
+        model = Model(model.ordinary, train_dictionary(telling[:TRAIN_WINDOWS], TOXIC_BYTES) or model.toxic)
+    n, m = sum(toxic.values()), sum(ordinary.values())
+    cells = [c for c in toxic.keys() | ordinary.keys() if c[1] <= model.thresholds.get(c[0], -1)]
+    model.evidence = {c: max(0.0, float(np.log((toxic[c] + 0.5) / (n + 1)) - np.log((ordinary[c] + 0.5) / (m + 1)))) for c in cells}
+    held = spark.sparkContext.broadcast(model)
+
+    def features(batches):
+        scorer = Scorer(held.value)
         for batch in batches:
-            for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic, min(MOST_HITS, sum(map(scorer.is_hit, words)))] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["toxic", "h", "n"])
-
-    by_hits: Counter = Counter()
-    for r in second.select("toxic", "words").mapInArrow(hits, "toxic int, h int, n bigint").groupBy("toxic", "h").agg(F.sum("n")).collect():
-        by_hits[r[0], r[1]] = r[2]
-    total = sum(by_hits.values())
-    base = (sum(by_hits[1, h] for h in range(MOST_HITS + 1)) + 1) / (total + 10)
-    raw = []
-    for h in range(MOST_HITS + 1):
-        t, p = by_hits[1, h], by_hits[0, h]
-        prior = base if h < 2 else 0.6  # several hits without calibration rows speak for a toxic text
-        raw.append((t + prior) / (t + p + 1))
-    model.scores = [float(x) for x in np.maximum.accumulate(raw)]
+            rows = [(t, *scorer.features(text)[:4]) for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(5)], names=["y", "total", "top", "size", "words"])
+
+    told = sample.filter(f"half = {half}").select("toxic", "text").mapInArrow(features, "y double, total double, top double, size double, words double").toPandas().to_numpy()
+    told = told[np.lexsort(told.T)]  # one order of adding up, whatever the tasks' order
+    y = told[:, 0]
+    x = np.column_stack([np.ones(len(y)), told[:, 1:]])
+    model.weights = regression(x, y, np.where(y > 0, each[1], each[0]))
     return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """For each row of docs: struct `row` of the carried columns (all if None), then score (0 to 1) and hits.
 
-    Every window of the whole text is compressed with both dictionaries; equal windows of a task once. Null, empty and
-    letterless texts have no hits and get the score of texts without hits; without toxic labels nothing is ever a hit.
-    Repeated rows get equal scores. A narrow map: no shuffle; the model (some KB) is broadcast.
+    The whole text, of any length, is compressed in wide windows with both dictionaries; of those that the toxic one makes
+    shorter every distinct window is compressed with both and held against its threshold. Null, empty and
+    letterless texts have no window and get the score of an empty text; without toxic labels nothing is ever a hit.
+    Repeated rows get equal scores, as do texts with the same windows (ties); an empty table gives an empty result; the
+    struct keeps carried columns of any name apart. A narrow map: no shuffle; the model (some 40 KB) is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,8 +266,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[
         scorer = Scorer(held.value)
 
         def work(texts: pa.Array) -> list:
-            hits = [scorer.hits(t) for t in texts.to_pylist()]
-            return [[held.value.scores[min(MOST_HITS, h)] for h in hits], hits]
+            return [list(x) for x in zip(*map(scorer.score, texts.to_pylist()), strict=True)]
 
         return work
 
