@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cosmotab.llm import ann, bpe, chat, common, decontam, langid, lines, minhash, pii, toxicity, unigram
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Its pieces and scores serve as the unigram vocabulary; no public unigram file is at hand.
+#: Its pieces are the unigram vocabulary; their log probabilities are those of the documents.
 PIECES = "piece_bpe_32k.model"
 
 
@@ -41,7 +41,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = unigram.count_tokens(docs, unigram.read_vocabulary(tokenizer_path(PIECES)), carry=["doc_id"])
+    found = unigram.count_tokens(docs, unigram.estimate(docs, tokenizer_path(PIECES)), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_tokens", F.round("score", 6).alias("score"))
 
 

@@ -2,32 +2,87 @@
 
 from __future__ import annotations
 
+from collections import Counter as Counts
+
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts
 
 SPACE = "▁"
 #: Words that a worker remembers at most with their counts.
 CACHE_WORDS = 400_000
+#: What the public tokenizer takes off the lowest score for a character without a piece.
+UNKNOWN_PENALTY = 10.0
+_UNITS = regex.compile(r"[^\p{White_Space}▁]+|▁[^\p{White_Space}▁]*")
+
+
+def units(text: str) -> list[str]:
+    """What is segmented by itself: words between white space, led by a space mark; marks of the text's own split it too."""
+    if SPACE not in text and text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [SPACE + w for w in text.split()]
+    return [u if u[0] == SPACE else SPACE + u for u in _UNITS.findall(text)]
 
 
-def read_vocabulary(model_file: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file, without control, unknown, unused and byte pieces."""
+def read_pieces(model_file: str) -> list[str]:
+    """The pieces of a public tokenizer file, all of them, in order."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    odd = (sp.is_control, sp.is_unknown, sp.is_unused, sp.is_byte)
-    return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not any(f(i) for f in odd)]
+    return [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+
+
+def estimate(docs: DataFrame, model_file: str, *, text_col: str = "text") -> list[tuple[str, float]]:
+    """The pieces of a public tokenizer file, each with its log probability in docs.
+
+    A piece's probability is its share, plus one, of all pieces that the public tokenizer makes of all texts of docs:
+    the pieces are the file's own, and nothing of them is trained. Null and empty texts add nothing; of an empty table
+    all pieces are equally likely. Tasks count words, then tokenize each word once and send one row a piece; the driver
+    holds one number a piece.
+    """
+    import sentencepiece
+
+    with open(model_file, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
+    pieces = read_pieces(model_file)
+
+    def count(batches):
+        sp = sentencepiece.SentencePieceProcessor(model_proto=held.value)
+        total = np.zeros(len(pieces), np.int64)
+        words: Counts = Counts()
+
+        def spend() -> None:
+            each = list(words)
+            for n, ids in zip(words.values(), sp.encode(each, num_threads=1), strict=True):
+                np.add.at(total, ids, n)
+            words.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(text.split())
+                if len(words) > CACHE_WORDS:
+                    spend()
+        spend()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "n"])
+
+    used = docs.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''").mapInArrow(count, "piece int, n bigint")
+    n = np.ones(len(pieces))
+    for piece, times in used.groupBy("piece").agg(F.sum("n")).collect():
+        n[piece] += times
+    return list(zip(pieces, np.log(n / n.sum()).tolist(), strict=True))
 
 
 class Counter:
-    """Best score and piece count of words, by the rules of the public unigram tokenizer with byte fallback.
+    """Best score and piece count of units, by the rules of the public unigram tokenizer with byte fallback.
 
     A path may use vocabulary pieces, and for a character that is no piece itself an unknown piece of the lowest score
-    less 10, which falls back to one byte piece for each UTF-8 byte. Among paths of equal score to a position the one
-    whose last piece starts first (the longest piece) stays, and a piece wins over an unknown character.
+    less UNKNOWN_PENALTY, which falls back to one byte piece for each UTF-8 byte. Among paths of equal score to a
+    position the one whose last piece starts first (the longest piece) stays, and a piece wins over an unknown character.
     """
 
     def __init__(self, vocabulary: list[tuple[str, float]], cache_words: int = CACHE_WORDS):
@@ -37,54 +92,57 @@ class Counter:
         if vocabulary:
             self.trie.make_automaton()
         self.single = {p for p, _ in vocabulary if len(p) == 1}
-        self.unknown = min((s for _, s in vocabulary), default=0.0) - 10.0
+        self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, tuple[int, float]] = {}
         self.cache_words = cache_words
 
-    def count(self, word: str) -> tuple[int, float]:
-        """Piece count and score of one word, without its leading space."""
-        text = SPACE + word
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if self.single or len(self.trie):
-            for end, found in self.trie.iter(text):  # at one end the longest comes first
-                ends[end].append(found)
+    def count(self, unit: str) -> tuple[int, float]:
+        """Piece count and score of one unit. Memory grows with its length, time too: a piece ends where its match does,
+        and no more of them end at one place than the longest piece has letters."""
+        n = len(unit)
         best, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
+        found = self.trie.iter(unit) if len(self.trie) else iter(())
+        end, match = next(found, (n, None))
+        for at in range(n):
             top, many = None, 0
-            for length, score in ends[end - 1]:
-                total = best[end - length] + score
+            while end == at:  # at one end the longest comes first
+                length, score = match
+                total = best[at + 1 - length] + score
                 if top is None or total > top:
-                    top, many = total, pieces[end - length] + 1
-            if text[end - 1] not in self.single:
-                total = best[end - 1] + self.unknown
+                    top, many = total, pieces[at + 1 - length] + 1
+                end, match = next(found, (n, None))
+            if unit[at] not in self.single:
+                total = best[at] + self.unknown
                 if top is None or total > top:
-                    top, many = total, pieces[end - 1] + len(text[end - 1].encode())
-            best[end], pieces[end] = top, many
+                    top, many = total, pieces[at] + len(unit[at].encode())
+            best[at + 1], pieces[at + 1] = top, many
         return pieces[n], best[n]
 
     def of_text(self, text: str) -> tuple[int, int, float]:
-        """Words, pieces and score of a text."""
+        """Units, pieces and score of a text."""
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        words = text.split()
+        found = units(text)
+        cache = self.cache
         total, score = 0, 0.0
-        for w in words:
-            found = self.cache.get(w)
-            if found is None:
-                found = self.cache[w] = self.count(w)
-            total += found[0]
-            score += found[1]
-        return len(words), total, score
+        for u in found:
+            one = cache.get(u)
+            if one is None:
+                one = cache[u] = self.count(u)
+            total += one[0]
+            score += one[1]
+        return len(found), total, score
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """For each row of docs: struct `row` of the carried columns (all if None), then n_words, n_tokens and score.
 
     The text is split at white space; each word, led by a space mark, is one unit of the tokenizer (no piece crosses a
-    space). n_tokens is the piece count of the best segmentation of all words, score its log probability. Null, empty and
-    blank texts have no tokens; texts of any length are counted whole; repeated rows one by one. A narrow map: no shuffle;
-    the vocabulary (a file of a few MB) is broadcast.
+    space; a space mark inside a text begins a unit too). n_tokens is the piece count of the best segmentation of all
+    units, score the sum of its pieces' scores: its log probability, if the scores are. Ties follow the public tokenizer
+    (see Counter). Null, empty and blank texts have no tokens; texts of any length are counted whole; repeated rows one
+    by one; an empty table gives an empty result; carried columns of any name stay apart in the struct. A narrow map: no
+    shuffle; the vocabulary (a file of a few MB) is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 

@@ -148,22 +148,42 @@ def test_ngram_filters_hold_all_their_languages():
     assert inside[:500].all() and inside[500:].mean() < 0.05
 
 
+def public_unigram(vocabulary, byte_fallback=True):
+    """The public library's unigram tokenizer of whole texts with these pieces."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    unknown = next(i for i, (p, _) in enumerate(vocabulary) if p == "<unk>")
+    public = Tokenizer(models.Unigram(vocabulary, unknown, byte_fallback))
+    public.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always")])
+    return public
+
+
+BYTES = [(f"<0x{i:02X}>", -40.0) for i in range(256)]
+UNITS = ["a▁b ▁c▁▁", "▁", "a\u00a0b\u3000c\u2028d", "a\x1cb\x1fc", "<unk> <0x41>", "<s>x</s>", "é日🙂", "x" * 5000]
+
+
 def test_unigram_counts_equal_the_public_library(spark):
-    from tokenizers import Tokenizer, models
+    vocabulary = [("<unk>", -50.0), *BYTES, ("▁", -2.0), ("▁a", -2.5), ("a", -3.0), ("b", -3.0), ("ab", -6.0), ("▁ab", -5.5), ("ba", -4.0), ("aba", -7.0), ("é", -5.0), ("bb", -6.0)]
+    public = public_unigram(vocabulary)
+    texts = noise(400, "aabbé ▁日\t\n", 30) + UNITS + ODD
+    rows = unigram.count_tokens(frame(spark, texts), vocabulary, carry=["doc_id", "score"]).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.n_tokens == len(public.encode(texts[r.row.doc_id] or "", add_special_tokens=False).ids), texts[r.row.doc_id]
+        assert r.row.score == "own"
+    assert unigram.count_tokens(frame(spark, []), vocabulary).count() == 0
+    assert [r.n_tokens for r in unigram.count_tokens(frame(spark, ["aé"]), []).collect()] == [3 + 1 + 2]  # bytes alone
 
-    vocabulary = [("▁", -2.0), ("▁a", -2.5), ("a", -3.0), ("b", -3.0), ("ab", -6.0), ("▁ab", -5.5), ("ba", -4.0), ("aba", -7.0), ("é", -5.0), ("bb", -6.0)]
-    extra = [("<unk>", -50.0)] + [(f"<0x{i:02X}>", -40.0) for i in range(256)]
-    lowest = min(s for _, s in vocabulary)
-    public = Tokenizer(models.Unigram([("<unk>", lowest)] + [(p, s) for p, s in vocabulary], 0, False))
-    counter = unigram.Counter(vocabulary)
-    rng = random.Random(2)
-    for _ in range(500):
-        word = "".join(rng.choice("abé") for _ in range(rng.randrange(1, 12)))
-        assert counter.count(word)[0] == len(public.encode("▁" + word, add_special_tokens=False).ids), word
-    assert counter.count("日")[0] == 1 + 3 and extra  # an unknown character falls back to its bytes
-    rows = unigram.count_tokens(frame(spark, ["ab ba", None, "", "  ", "ab  ab\nab"]), vocabulary, carry=["doc_id"]).orderBy("row.doc_id").collect()
-    one = lambda w: counter.count(w)[0]
-    assert [r.n_tokens for r in rows] == [one("ab") + one("ba"), 0, 0, 0, 3 * one("ab")]
+
+def test_unigram_probabilities_and_counts_of_the_given_texts(spark):
+    texts = [t for t in noise(200, "the and idea of é日 ,.", 60) if t] + ["the idea of the thing", None, ""] + UNITS
+    vocabulary = unigram.estimate(frame(spark, texts), tokenizer_path("piece_bpe_32k.model"))
+    assert abs(sum(np.exp(s) for _, s in vocabulary) - 1) < 1e-9 and dict(vocabulary)["▁the"] > dict(vocabulary)["▁zero"]
+    public = public_unigram(vocabulary)
+    for r in unigram.count_tokens(frame(spark, texts), vocabulary, carry=["doc_id"]).collect():
+        assert r.n_tokens == len(public.encode(texts[r.row.doc_id] or "", add_special_tokens=False).ids), texts[r.row.doc_id]
+    none = unigram.estimate(frame(spark, []), tokenizer_path("piece_bpe_32k.model"))
+    assert len({s for _, s in none}) == 1
 
 
 def brute_best(counter, vocabulary, text):
@@ -175,11 +195,12 @@ def brute_best(counter, vocabulary, text):
     return best[len(text)]
 
 
-def test_unigram_score_is_the_best(spark):
-    vocabulary = unigram.read_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+def test_unigram_score_is_the_best():
+    pieces = unigram.read_pieces(tokenizer_path("piece_bpe_32k.model"))
+    vocabulary = [(p, -float(np.log(i + 2))) for i, p in enumerate(pieces)]
     counter = unigram.Counter(vocabulary)
-    for word in ("the", "Thereupon", "éclair", "x1y2", "日本語"):
-        assert counter.count(word)[1] == brute_best(counter, vocabulary, "▁" + word)
+    for unit in ("▁the", "▁Thereupon", "▁éclair", "▁x1y2", "▁日本語"):
+        assert counter.count(unit)[1] == brute_best(counter, vocabulary, unit)
 
 
 BASE = {
