@@ -1,8 +1,9 @@
-"""Byte-level BPE encoding and decoding: numpy merge rounds over the symbols of many words at once."""
+"""Byte-level BPE encoding and decoding: numpy merge rounds over the symbols of many words in one flat array."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -17,6 +18,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words that a worker remembers at most with their ids; then it forgets them all and goes on.
 CACHE_WORDS = 400_000
 NONE = np.iinfo(np.int64).max
+#: Bytes from which on a word is merged rank by rank: a round then costs its merges, not the word's length.
+LONG_WORD = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,8 +53,87 @@ class Vocabulary:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.bytes = np.frombuffer(b"".join(raw.get(i, b"") for i in range(n)), np.uint8)
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols, NONE without one, by binary search over the sorted pair keys."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one flat array, and the n + 1 offsets of the words in it.
+        """Ids of all words in one flat array, and the n + 1 offsets of the words in it."""
+        long = [w for w in words if len(w) >= LONG_WORD]
+        flat, ends = self.encode_by_rounds([w for w in words if len(w) < LONG_WORD])
+        if not long:
+            return flat, ends
+        long_flat, long_ends = self.encode_by_ranks(long)
+        is_long = np.fromiter((len(w) >= LONG_WORD for w in words), bool, len(words))
+        sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        sizes[~is_long], sizes[is_long] = np.diff(ends), np.diff(long_ends)
+        starts[~is_long], starts[is_long] = ends[:-1], long_ends[:-1] + len(flat)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate([flat, long_flat])[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])], offsets
+
+    def encode_by_ranks(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_words(), for long words: each round merges all pairs of the lowest rank that any word still holds.
+
+        That is the lowest rank of every word that holds it, so words stay independent. Places wait in one list for each
+        rank; a merge looks up the ranks of its two new neighbours only. Symbols are linked to the next and the one
+        before, as merged ones drop out.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(symbol)
+        begins = np.cumsum(sizes) - sizes
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[begins + sizes - 1] = n  # no next symbol
+        before[begins] = n
+        rank = np.full(n + 1, NONE)  # of the pair that begins at each place
+        alive = np.ones(n + 1, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            """Ranks of the pairs that begin at these places, which wait for their turn from now on."""
+            rank[places] = NONE
+            places = places[after[places] < n]
+            found = self.pair_ranks(symbol[places], symbol[after[places]])
+            rank[places] = found
+            places, found = places[found != NONE], found[found != NONE]
+            by = np.argsort(found, kind="stable")
+            places, found = places[by], found[by]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for some, r in zip(np.split(places, cuts), found[np.concatenate([[0], cuts])].tolist() if len(found) else [], strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(some)
+
+        look(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            i = np.unique(np.concatenate(waiting.pop(r)))
+            i = i[alive[i] & (rank[i] == r)]
+            if not len(i):
+                continue
+            # in a stretch of overlapping equal pairs (aaaa) every second one merges, from the left
+            place = np.arange(len(i))
+            fresh = np.concatenate([[True], after[i[:-1]] != i[1:]])
+            i = i[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+            gone = after[i]
+            symbol[i] = self.merged[r]
+            alive[gone] = False
+            rank[gone] = NONE
+            after[i] = after[gone]
+            linked = after[i] < n
+            before[after[i][linked]] = i[linked]
+            left = before[i]
+            look(np.unique(np.concatenate([i, left[left < n]])))
+        keep = alive[:n]
+        kept = np.add.reduceat(keep.astype(np.int64), begins) if n else np.zeros(0, np.int64)
+        return symbol[keep], np.concatenate([[0], np.cumsum(kept)])
+
+    def encode_by_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_words(), for short words.
 
         Each round finds, by binary search over the sorted pair keys, the rank of every neighbouring pair of one word,
         and merges the pairs of the word's lowest rank from left to right; a word without a pair is done.
@@ -62,10 +144,7 @@ class Vocabulary:
         done_symbols, done_words = [], []
         while len(symbols):
             rank = np.full(len(symbols), NONE)
-            key = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (word[1:] == word[:-1])
-            rank[:-1][hit] = self.ranks[at[hit]]
+            rank[:-1] = np.where(word[1:] == word[:-1], self.pair_ranks(symbols[:-1], symbols[1:]), NONE)
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             low = np.minimum.reduceat(rank, first)
             length = np.diff(np.append(first, len(word)))
@@ -113,16 +192,22 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int64), 0  # ids of all known words; the arrays grow by doubling
+        self.sizes, self.starts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         for token, i in self.vocabulary.added.items():
-            self.index[token] = len(self.index)
-            self._learn(np.array([i]), np.array([1]))
+            self._learn([token], np.array([i]), np.array([1]))
 
-    def _learn(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+    def _learn(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        known, n, m = len(self.index), len(words), len(flat)
+        while known + n > len(self.sizes):
+            self.sizes, self.starts = np.concatenate([self.sizes, self.sizes]), np.concatenate([self.starts, self.starts])
+        while self.used + m > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.sizes[known : known + n] = sizes
+        self.starts[known : known + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + m] = flat
+        self.used += m
+        self.index.update(zip(words, range(known, known + n), strict=True))
 
     def words(self, text: str) -> list[str]:
         if self.split_added is not None and any(t in text for t in self.vocabulary.added):
@@ -142,8 +227,7 @@ class Encoder:
         new = [w for w in dict.fromkeys(words) if w not in self.index]
         if new:
             flat, offsets = self.vocabulary.encode_words([w.encode() for w in new])
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self._learn(flat, np.diff(offsets))
+            self._learn(new, flat, np.diff(offsets))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[at]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -157,7 +241,8 @@ def encode_decode(docs: DataFrame, vocabulary_file: str, *, text_col: str = "tex
     Columns n_tokens, ids (array<int>) and decoded; with digests=True n_tokens, ids_sha256 (of the ids as little-endian
     unsigned 32-bit integers) and decoded_sha256 (of the decoded UTF-8) instead. Whole texts are encoded, of any length;
     a null or empty text has no tokens and decodes to an empty text; the strings of added tokens become those tokens.
-    Repeated rows are encoded one by one. A narrow map: no shuffle; the vocabulary (a few MB) is broadcast.
+    Repeated rows (ties) are encoded one by one; an empty table gives an empty result; carried columns of any name stay
+    apart in the struct. A narrow map: no shuffle; the vocabulary (a few MB) is broadcast.
     """
     with open(vocabulary_file, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

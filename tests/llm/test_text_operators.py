@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,24 @@ def test_bpe_equals_the_public_library(spark):
         assert r.decoded == public.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words_equals_the_public_library(spark):
+    from tokenizers import Tokenizer
+
+    public = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(21)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [word(5000, "abcdefghijklmnopqrstuvwxyz"), word(3000, "ab"), "a" * 1001, "the" * 900, word(2000, "日本語東京"), f"{word(300, 'etaoin')} {word(255, 'etaoin')} x {word(256, 'etaoin')}", "=" * 4097]
+    encoder = bpe.Encoder(bpe.Vocabulary(open(tokenizer_path(), encoding="utf-8").read()))
+    flat, ends = encoder.encode(texts)
+    for k, text in enumerate(texts):
+        assert flat[ends[k] : ends[k + 1]].tolist() == public.encode(text, add_special_tokens=False).ids
+    began = time.perf_counter()
+    huge = word(1_000_000, "etaoinshrdlucmfw")
+    ids, _ = encoder.encode([huge])
+    assert encoder.vocabulary.decode(ids)[0].tobytes() == huge.encode()
+    assert time.perf_counter() - began < 30  # near linear: some seconds a MB
+
+
 def test_bpe_digests_and_a_full_cache(spark):
     texts = ODD + noise(50)
     rows = bpe.encode_decode(frame(spark, texts), tokenizer_path(), carry=["doc_id"], digests=True).select("row.doc_id", "ids_sha256", "decoded_sha256").collect()
