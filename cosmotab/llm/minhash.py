@@ -12,7 +12,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts, utf8_view, written
@@ -21,8 +21,12 @@ LANES = 64
 CHUNK = 4
 #: The chunks are so many that a pair right at the similarity threshold is missed with at most this probability.
 MISS = 2e-6
-#: Members of one bucket that a block of the second round compares with those of another block.
-BLOCK = 256
+#: Members of one group that a block compares with those of another block: by signature, and by full sets.
+SIGNATURE_BLOCK, BLOCK = 2048, 256
+#: Bucket entries of a hub for each share of its group: what a hub's members need of it is sent to every share.
+SHARE = 16_384
+#: Most lanes that an index can have.
+MOST_LANES = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -30,8 +34,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240229)
 _OF_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
-_MULTIPLY = _rng.integers(0, 1 << 63, LANES, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 64, LANES, np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, MOST_LANES, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 64, MOST_LANES, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -102,7 +106,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 def chunks_for(similarity: float) -> int:
     """So many chunks that a pair at this similarity misses all of them with probability MISS at most."""
     missed = 1 - sum(comb(CHUNK, i) * (1 - similarity) ** i * similarity ** (CHUNK - i) for i in range(2))
-    return min(LANES // CHUNK, max(1, int(np.ceil(np.log(MISS) / np.log(missed)))))
+    chunks = 1 if missed <= 0 else max(1, int(np.ceil(np.log(MISS) / np.log(missed))))
+    if chunks * CHUNK > MOST_LANES:
+        raise ValueError(f"an index for similarity {similarity} would need {chunks * CHUNK} lanes")
+    return chunks
 
 
 def lanes_apart(similarity: float) -> int:
@@ -116,60 +123,101 @@ def lanes_apart(similarity: float) -> int:
     return LANES
 
 
+def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sixteen bytes for each set of shingle hashes, equal for equal sets (two independent sums of its hashes)."""
+    keys = np.zeros((len(at) - 1, 2), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        keys[some, 0] = np.add.reduceat(_mix(h + np.uint64(1)), at[some])
+        keys[some, 1] = np.add.reduceat(_mix(h + np.uint64(2)), at[some])
+    return keys
+
+
+def lanes_of(h: np.ndarray, begin: np.ndarray, lanes: int) -> np.ndarray:
+    """The MinHash lanes, 16 bits each, of the sets that begin at these places of h."""
+    sig = np.zeros((len(begin), lanes), np.uint16)
+    for lane in range(lanes):
+        sig[:, lane] = np.minimum.reduceat((h * _MULTIPLY[lane] + _ADD[lane]) >> np.uint64(24), begin) & np.uint64(0xFFFF)
+    return sig
+
+
+def index_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
+    """For each signature chunks * CHUNK keys: of each chunk without one of its lanes."""
+    keys, wide = np.zeros((len(sig), chunks * CHUNK), np.int64), sig.astype(np.uint64)
+    for c in range(chunks):
+        for wild in range(CHUNK):
+            key = np.full(len(sig), c * CHUNK + wild + 1, np.uint64)
+            for lane in range(CHUNK):
+                if lane != wild:
+                    key = _mix((key << np.uint64(16)) ^ wide[:, c * CHUNK + lane] ^ (key >> np.uint64(48)))
+            keys[:, c * CHUNK + wild] = key.view(np.int64)
+    return keys
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows' bytes."""
+    width = rows.dtype.itemsize * rows.shape[1]
+    offsets = pa.array(np.arange(len(rows) + 1) * width, pa.int32())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, chunks: int) -> DataFrame:
-    """doc, n (set size), set_a and set_b (two hashes of the whole set), sig (LANES lanes) and keys of each row."""
+    """doc, n (set size), node (key of the whole set), sig (LANES lanes) and keys (of the index) of each row."""
 
     def make():
         def work(texts: pa.Array) -> list:
             h, at = shingle_sets(texts, k)
             n = np.diff(at)
             some = np.flatnonzero(n)
-            set_a, set_b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            lanes = lanes_of(h, at[some], max(LANES, chunks * CHUNK)) if len(some) else np.zeros((0, LANES), np.uint16)
             sig = np.zeros((len(n), LANES), np.uint16)
-            keys = np.zeros((len(n), chunks * CHUNK), np.int64)
-            if len(some):
-                begin = at[some]
-                set_a[some] = np.add.reduceat(_mix(h + np.uint64(1)), begin)
-                set_b[some] = np.bitwise_xor.reduceat(_mix(h + np.uint64(2)), begin)
-                for lane in range(LANES):
-                    sig[some, lane] = np.minimum.reduceat((h * _MULTIPLY[lane] + _ADD[lane]) >> np.uint64(24), begin) & np.uint64(0xFFFF)
-                wide = sig.astype(np.uint64)
-                for c in range(chunks):
-                    for wild in range(CHUNK):
-                        key = np.full(len(n), c * CHUNK + wild + 1, np.uint64)
-                        for lane in range(CHUNK):
-                            if lane != wild:
-                                key = _mix((key << np.uint64(16)) ^ wide[:, c * CHUNK + lane] ^ (key >> np.uint64(48)))
-                        keys[:, c * CHUNK + wild] = key.view(np.int64)
+            sig[some] = lanes[:, :LANES]
             rows = np.concatenate([[0], np.cumsum(n > 0)])
-            lists = pa.ListArray.from_arrays(pa.array(rows * chunks * CHUNK, pa.int32()), pa.array(keys[some].ravel()))
-            packed = sig.tobytes()
-            return [n, set_a.view(np.int64), set_b.view(np.int64), pa.array([packed[2 * LANES * i : 2 * LANES * (i + 1)] for i in range(len(n))], pa.binary()), lists]
+            lists = pa.ListArray.from_arrays(pa.array(rows * chunks * CHUNK, pa.int32()), pa.array(index_keys(lanes, chunks).ravel()))
+            return [n, _binary(set_keys(h, at)), _binary(sig), lists]
 
         return work
 
-    made = map_texts(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", make, "n bigint, set_a bigint, set_b bigint, sig binary, keys array<bigint>", ["doc"], budget=1 << 20)
-    return made.select("row.doc", "n", "set_a", "set_b", "sig", "keys")
+    made = map_texts(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", make, "n bigint, node binary, sig binary, keys array<bigint>", ["doc"], budget=1 << 20)
+    return made.select("row.doc", "n", "node", "sig", "keys")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
-    """node and its full shingle set (array of hashes) for the documents among nodes."""
+    """node and its full shingle set (array of hashes) for the rows of nodes (node, doc): of doc's texts the one with that set."""
 
     def make():
         def work(texts: pa.Array) -> list:
             h, at = shingle_sets(texts, k)
-            return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))]
+            return [_binary(set_keys(h, at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))]
 
         return work
 
-    wanted = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
-    made = map_texts(wanted, "text", make, "shingles array<bigint>", ["node"], budget=1 << 20)
-    return made.select("row.node", "shingles").dropDuplicates(["node"])
+    wanted = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(nodes, "doc")
+    made = map_texts(wanted, "text", make, "found binary, shingles array<bigint>", ["node"], budget=1 << 20)
+    return made.filter("found = row.node").select("row.node", "shingles").dropDuplicates(["node"])
+
+
+def _shares(weight: str = "weight") -> Column:
+    """Into how many shares the group of a hub of this weight is split: its weight bounds its number of members."""
+    return F.ceil((F.col(weight) + 1) / SHARE).cast("int")
+
+
+def _share(node: str) -> Column:
+    """The share of a member, from its hub's weight alone: no count has to be looked up."""
+    return F.pmod(F.xxhash64(node), _shares()).cast("int").alias("share")
+
+
+def _every_share(hubs: DataFrame) -> DataFrame:
+    """A row of hubs for each share of its group."""
+    return hubs.withColumn("share", F.explode(F.sequence(F.lit(0), _shares() - 1)))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs (a, b, weight) of members a and their hubs b whose full sets have den * intersection >= num * union. A hub's
+    set goes once to each share of its group."""
+    hubs = _every_share(pairs.select("b", "weight").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").withColumn("share", _share("a"))
+    both = both.join(hubs.drop("weight"), ["b", "share"])
     common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     union = F.size("sa") + F.size("sb") - common
     return both.filter(common * den >= union * num).select("a", "b")
@@ -206,14 +254,15 @@ def roots(parents: DataFrame) -> DataFrame:
             return state
 
 
-def _deal(members: DataFrame) -> DataFrame:
-    """members (hub, node, label, major, ...) dealt to block pairs (i, j) of their hub's group, so that every pair of
+def _deal(members: DataFrame, block: int) -> DataFrame:
+    """members (hub, weight, node, label, major, ...) dealt to block pairs (i, j) of their hub's group, so that every pair of
     members with different labels meets in one of them. i is a block of the group's other members; j a block of its
     majority (the hub's component; from 0 up) or of its other members (below 0). Groups of the majority alone go."""
-    facts = members.groupBy("hub").agg(F.count_if("major").alias("majors"), F.count_if(~F.col("major")).alias("others")).filter("others > 0")
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    facts = members.groupBy("hub", "weight").agg(F.count_if("major").alias("majors"), F.count_if(~F.col("major")).alias("others")).filter("others > 0")
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("major"), blocks("majors")).otherwise(blocks("others"))).cast("int")
-    rows = members.join(facts, "hub").withColumn("own", own)
+    facts = _every_share(facts).drop("weight")
+    rows = members.withColumn("share", _share("node")).join(facts, ["hub", "share"]).withColumn("own", own)
     every = F.sequence(F.lit(0), blocks("others") - 1)
     as_major = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
     with_major = F.transform(F.sequence(F.lit(0), blocks("majors") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
@@ -306,50 +355,58 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc, n_shingles and component (smallest id reachable over links, itself included), one row per row of docs.
 
     Documents are linked if den * |intersection| >= num * |union| of their sets of distinct k-word shingles (a text with
-    fewer words is one shingle). Null, empty and blank texts have empty sets and are linked with nothing; rows of one id
-    are one document; a null id takes part in no link. Copies collapse first: of each distinct set one row goes on.
+    fewer words is one shingle). Null, empty and blank texts have empty sets and are linked with nothing; a null id takes
+    part in no link. Every row is a document: rows of one id with different texts are linked each by its own text, and
+    repeated rows are copies of each other. Texts of any length are taken whole; an empty table gives an empty result;
+    columns of docs beside id and text, of any name, aren't read. Ties can't arise: a component has one smallest id.
+    Copies collapse first: of each distinct set one row goes on.
 
     Candidates come from the Hamming index in two rounds. First each set meets the most popular member (hub) of the
     buckets it shares most with, which joins groups of near copies at the cost of one comparison a member. Buckets of one
-    hub then count as one group. Groups that still hold several components are compared in pairs of blocks of about BLOCK
-    members, split over the tasks: first by sizes and LANES lanes, to find the members with a possible partner, then by
-    their full sets. Of the links a block pair gives only those that join components, so no step makes the pairs of a
-    group as rows. No bucket is capped, and no task or row holds a bucket as a whole.
+    hub then count as one group. Groups that still hold several components are compared in pairs of blocks, split over
+    the tasks: first by sizes and LANES lanes in blocks of about SIGNATURE_BLOCK, to find the members with a possible
+    partner, then those by their full sets in blocks of BLOCK. A group of n members makes n * n / SIGNATURE_BLOCK rows
+    with signatures only where it holds about n sets that no hub joins. Of the links a block pair gives only those that
+    join components, so no step makes the pairs of a group as rows. No bucket is capped, no task or row holds a bucket as
+    a whole, and what members need of their hub is sent to shares of its group of bounded size.
     """
     similarity = num / den
     chunks = chunks_for(similarity)
     sigs = written(signatures(docs, id_col=id_col, text_col=text_col, k=k, chunks=chunks))
     reps = written(
-        sigs.filter("n > 0 and doc is not null").groupBy("n", "set_a", "set_b").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+        sigs.filter("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     )
     postings = reps.select("node", F.explode("keys").alias("key"))
     full = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     shared = written(postings.join(full, "key"))
 
     popular = shared.groupBy("node").agg(F.sum("c").alias("popularity"))
-    hubs = shared.join(popular, "node").groupBy("key").agg(F.max(F.struct("popularity", "node")).getField("node").alias("hub"))
-    met = shared.join(hubs, "key").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
-    first = met.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("b")).select(F.col("node").alias("a"), "b")
-    sets = written(_sets(docs, shared.select("node").distinct(), id_col=id_col, text_col=text_col, k=k))
-    labels = roots(_confirmed(first, sets, num, den))  # a hub stands above its members in (popularity, id): no cycles
-
-    members = shared.join(hubs, "key").select("hub", "node").distinct()
-    label_of = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    hub_label = label_of.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    members = written(members.join(label_of, "node").join(hub_label, "hub").select("hub", "node", "label", (F.col("label") == F.col("hub_label")).alias("major")))
+    hubs = shared.join(popular, "node").groupBy("key").agg(F.max(F.struct("popularity", "node")).alias("top"))
+    hubs = hubs.select("key", F.col("top.node").alias("hub"), F.col("top.popularity").alias("weight"))  # a group's members are in its hub's buckets
+    met = shared.join(hubs, "key").filter("node != hub").groupBy("node", "hub", "weight").agg(F.count("*").alias("times"))
+    first = met.groupBy("node").agg(F.max(F.struct("times", "hub", "weight")).alias("b")).select(F.col("node").alias("a"), F.col("b.hub").alias("b"), "b.weight")
+    nodes = reps.select("node", "doc").join(shared.select("node").distinct(), "node")
+    sets = written(_sets(docs, nodes, id_col=id_col, text_col=text_col, k=k))
+    labels = roots(_confirmed(first, sets, num, den))  # a hub stands above its members in (popularity, key): no cycles
+
+    members = shared.join(hubs, "key").select("hub", "weight", "node").distinct()
+    label_of = shared.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    hub_label = members.select("hub", "weight").distinct().join(label_of.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
+    members = members.join(label_of, "node").withColumn("share", _share("node")).join(_every_share(hub_label).drop("weight"), ["hub", "share"])
+    members = written(members.select("hub", "weight", "node", "label", (F.col("label") == F.col("hub_label")).alias("major")))
     apart = lanes_apart(similarity)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    dealt = _deal(members.join(reps.select("node", "n", "sig"), "node"))
+    dealt = _deal(members.join(reps.select("node", "n", "sig"), "node"), SIGNATURE_BLOCK)
     alive = (
         dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "node", "n", "sig", "label", "major")
-        .mapInArrow(lambda rows: _alive(rows, apart, num, den), f"hub {id_type}, node {id_type}").distinct()
+        .mapInArrow(lambda rows: _alive(rows, apart, num, den), "hub binary, node binary").distinct()
     )
-    open_members = _deal(members.join(written(alive), ["hub", "node"], "left_semi"))
-    second = open_members.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(lambda t: _links(t, num, den), f"a {id_type}, b {id_type}").distinct()
-    merged = components(second).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    of_set = reps.select("n", "set_a", "set_b", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_set = of_set.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label"))
-    least = of_set.groupBy("label").agg(F.min("node").alias("component"))
-    by_set = of_set.join(least, "label").select("n", "set_a", "set_b", "component")
-    out = sigs.select("doc", "n", "set_a", "set_b").join(by_set, ["n", "set_a", "set_b"], "left")
+    open_members = _deal(members.join(written(alive), ["hub", "node"], "left_semi"), BLOCK)
+    second = written(open_members.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(lambda t: _links(t, num, den), "a binary, b binary").distinct())
+    of_set = reps.select("node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if second.take(1):
+        merged = components(second).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+        of_set = of_set.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label"))
+    least = of_set.groupBy("label").agg(F.min("doc").alias("component"))
+    by_set = of_set.join(least, "label").select("node", "component")
+    out = sigs.filter("n > 0").select("doc", "n", "node").join(by_set, "node", "left").unionByName(sigs.filter("n = 0").select("doc", "n", "node"), allowMissingColumns=True)
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def test_near_duplicates_in_one_large_group(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
     got = {r.doc: (r.n_shingles, r.component) for r in minhash.near_duplicates(df, k=3, num=85).collect()}
     want = brute_components(docs, 3, 85, 100)
-    assert sum(got[d] != want[d] for d in want) <= 2  # each link is missed with a probability of some millionths
+    assert got == want
 
 
 def test_near_duplicates_edge_rows(spark):
@@ -81,15 +82,40 @@ def test_near_duplicates_edge_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_links(spark):
+    rng = random.Random(4)
+    x, y = ([f"{c}{rng.randrange(90)}" for _ in range(60)] for c in "xy")
+    near = lambda w: " ".join([*w[:-1], "z"])
+    rows = [(1, " ".join(x), "s"), (1, " ".join(y), "s"), (2, near(x), "s"), (3, near(y), "s"), (9, "alone here", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n string").withColumn("component", F.lit("own")).withColumn("node", F.lit(1))
+    got = sorted((r.doc, r.component) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (9, 9)]
+
+
 def test_index_guarantee():
+    """Signatures that differ in fewer than two lanes a chunk share a key of the index itself, and others seldom do."""
     rng = np.random.default_rng(3)
-    chunks = 6
-    for _ in range(300):
-        a = rng.integers(0, 1 << 16, chunks * 4)
+    for chunks in (6, minhash.chunks_for(0.85), minhash.chunks_for(0.5)):
+        a = rng.integers(0, 1 << 16, (300, chunks * 4)).astype(np.uint16)
         b = a.copy()
-        b[rng.choice(chunks * 4, 2 * chunks - 1, replace=False)] += 1
-        key = lambda s: {(c, w, *[s[c * 4 + i] for i in range(4) if i != w]) for c in range(chunks) for w in range(4)}
-        assert key(a) & key(b)
+        for row in b:
+            row[rng.choice(chunks * 4, 2 * chunks - 1, replace=False)] += 1
+        x, y = minhash.index_keys(a, chunks), minhash.index_keys(b, chunks)
+        assert (x == y).any(axis=1).all() and not (x == np.roll(y, 1, axis=0)).any()
+    with pytest.raises(ValueError):
+        minhash.chunks_for(0.05)
+
+
+def test_lanes_agree_as_often_as_sets_are_similar():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    a = [rng.choice(words) for _ in range(2000)]
+    b = a[:1700] + [rng.choice(words) for _ in range(300)]
+    h, at = minhash.shingle_sets(pa.array([" ".join(a), " ".join(b)]), 1)
+    sets = [set(h[i:j]) for i, j in itertools.pairwise(at)]
+    want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    lanes = minhash.lanes_of(h, at[:-1], 512)
+    assert abs((lanes[0] == lanes[1]).mean() - want) < 0.06
 
 
 def test_components_of_chains_and_stars(spark):
