@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts, written
 
-#: Bound of the fit: about so many bytes of labelled documents of each class are read for it ...
-FIT_BYTES = 4_000_000
+#: Bound of the fit: about so many labelled documents of each class are read for it ...
+FIT_DOCS = 3000
 #: ... and none that is longer than this.
 FIT_LONGEST = 100_000
 #: Most windows of a class that the dictionary trainer sees.
@@ -147,15 +147,15 @@ def thresholds_of(toxic: Counter, ordinary: Counter) -> dict[int, int]:
     return out
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_bytes: int) -> tuple[DataFrame, dict[int, float]]:
-    """toxic, half and text of the sampled documents, and each class's documents for one in the sample."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int) -> tuple[DataFrame, dict[int, float]]:
+    """toxic, half and text of the sampled documents, and each class's labelled documents for one in the sample. The
+    sampled labels, bounded by fit_docs, are broadcast: documents aren't shuffled."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     marks = marks.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text").between(1, FIT_LONGEST)).join(marks, "id")
-    sizes = {r[0]: (r[1], r[2]) for r in texts.groupBy("toxic").agg(F.sum(F.octet_length("text")), F.count("*")).collect()}
-    share = {t: min(1.0, fit_bytes / size) for t, (size, _) in sizes.items()}
-    cut = F.when(F.col("toxic") == 1, int(share.get(1, 0) * (1 << 20))).otherwise(int(share.get(0, 0) * (1 << 20)))
-    texts = texts.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) <= cut)
+    sizes = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
+    cut = {t: int(min(1.0, fit_docs / n) * (1 << 20)) for t, n in sizes.items()}
+    marks = marks.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) <= F.when(F.col("toxic") == 1, cut.get(1, 0)).otherwise(cut.get(0, 0)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text").between(1, FIT_LONGEST)).join(F.broadcast(marks), "id")
 
     def make():
         return lambda found: [[min((xxhash.xxh64_intdigest(w) >> 1 for w in windows(words_of(t))), default=0) for t in found.to_pylist()]]
@@ -163,11 +163,11 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     marked = map_texts(texts, "text", make, "cluster bigint", ["toxic", "text"]).select("row.toxic", "row.text", "cluster")
     sample = written(marked.dropDuplicates(["toxic", "cluster"]).withColumn("half", (F.col("cluster") % 2).cast("int")).repartition(24, "cluster"))
     taken = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-    return sample, {t: sizes[t][1] / n for t, n in taken.items()}
+    return sample, {t: sizes[t] / n for t, n in taken.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_bytes: int = FIT_BYTES) -> Model:
-    """A model from about fit_bytes bytes of labelled documents of each class, chosen by hashed id.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
+    """A model from about fit_docs labelled documents of each class, chosen by hashed id.
 
     Labels or texts that are null, empty texts and texts of more than FIT_LONGEST bytes teach nothing; a document with
     several labels is toxic if one says so. Near copies share the smallest of their windows' hashes and count once.
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     the driver holds windows of the bounded sample.
     """
     spark = docs.sparkSession
-    sample, each = _sample(docs, labels, id_col, text_col, label_col, fit_bytes)
+    sample, each = _sample(docs, labels, id_col, text_col, label_col, fit_docs)
     if not each.get(1) or not each.get(0):
         return Model(b"", b"")
 
@@ -196,9 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     model = Model(train_dictionary(drawn(0), ORDINARY_BYTES), train_dictionary(drawn(1), TOXIC_BYTES))
 
-    def compared(held, half: int, last: bool) -> tuple[Counter, Counter, list[tuple[bytes, int, int]]]:
-        """Cells of both classes' distinct windows in one half, and the toxic documents' windows with theirs; at last of
-        the windows alone that scoring searches."""
+    def compared(held, half: int, last: bool) -> DataFrame:
+        """w, a, b, n: the toxic documents' distinct windows in one half with their lengths, and with w null how many windows
+        of the others have these lengths; at last of the windows alone that scoring searches."""
 
         def rows(batches):
             scorer = Scorer(held.value)
@@ -213,25 +213,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     else:
                         plain.update(map(scorer.lengths, own))
                 out += [(None, a, b, n) for (a, b), n in plain.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.binary(), pa.int32(), pa.int32(), pa.int64())], names=["w", "a", "b", "n"])
+                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["w", "a", "b", "n"])
 
-        toxic, ordinary, found = Counter(), Counter(), []
-        for w, a, b, n in sample.filter(f"half = {half}").select("toxic", "text").mapInArrow(rows, "w binary, a int, b int, n bigint").groupBy("w", "a", "b").agg(F.sum("n")).collect():
-            (ordinary if w is None else toxic)[a, b] += n
-            if w is not None:
-                found += [(bytes(w), a, b)] * n
-        return toxic, ordinary, found
+        return written(sample.filter(f"half = {half}").select("toxic", "text").mapInArrow(rows, "w binary, a int, b int, n bigint"))
 
     half = 0
     for k in range(ROUNDS + 1):
         half = 1 - half
-        toxic, ordinary, found = compared(spark.sparkContext.broadcast(model), half, k == ROUNDS)
+        found = compared(spark.sparkContext.broadcast(model), half, k == ROUNDS)
+        toxic, ordinary = Counter(), Counter()
+        for ours, a, b, n in found.groupBy(F.col("w").isNotNull(), "a", "b").agg(F.sum("n")).collect():
+            (toxic if ours else ordinary)[a, b] = n
         model.thresholds = thresholds_of(toxic, ordinary)
-        telling = [w for w, a, b in found if b <= model.thresholds.get(a, -1)]
         if k == ROUNDS:
             break
-        telling.sort(key=lambda w: (xxhash.xxh64_intdigest(w), w))
-        model = Model(model.ordinary, train_dictionary(telling[:TRAIN_WINDOWS], TOXIC_BYTES) or model.toxic)
+        bound = F.lit(-1)
+        for a, b in model.thresholds.items():
+            bound = F.when(F.col("a") == a, b).otherwise(bound)
+        telling = found.filter(F.col("w").isNotNull() & (F.col("b") <= bound)).orderBy(F.xxhash64("w"), "w").limit(TRAIN_WINDOWS)
+        better = train_dictionary([bytes(r[0]) for r in telling.select("w").collect()], TOXIC_BYTES)
+        model = Model(model.ordinary, better or model.toxic)
     n, m = sum(toxic.values()), sum(ordinary.values())
     cells = [c for c in toxic.keys() | ordinary.keys() if c[1] <= model.thresholds.get(c[0], -1)]
     model.evidence = {c: max(0.0, float(np.log((toxic[c] + 0.5) / (n + 1)) - np.log((ordinary[c] + 0.5) / (m + 1)))) for c in cells}
