@@ -14,6 +14,9 @@ CURVE = ["metric", "run_id", "window_type", "fit", "z"]
 METRICS = ("P(k)", "Delta2(k)", "Growth", "sigma(M)", "sigma slope", "HMF", "Cumulative HMF")
 #: A baseline value of at most this size divides nothing.
 NOTHING = 1e-300
+#: Samples that a baseline may have to be broadcast (some 100 bytes each); beyond it, its curves are salted.
+BROADCAST_ROWS = 200_000
+SALTS = 32
 
 
 def metric_curves(power: DataFrame, growth: DataFrame, sigma: DataFrame, hmf: DataFrame) -> DataFrame:
@@ -43,17 +46,26 @@ def metric_curves(power: DataFrame, growth: DataFrame, sigma: DataFrame, hmf: Da
     return out
 
 
-def baseline_match(curves: DataFrame, baseline_id: object) -> DataFrame:
+def _is_small(baseline: DataFrame) -> bool:
+    """Whether one run's samples may be broadcast: they are counted, up to the bound."""
+    return baseline.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def baseline_match(curves: DataFrame, baseline_id: object, small: bool | None = None) -> DataFrame:
     """One row for each curve: the window and fit of the baseline's curve it is compared with (base_window, base_fit).
 
     That is the baseline's curve of the same metric, z, window and fit; without one, the baseline's first curve of the
-    metric and z in order of window and fit. Only the list of curves meets the baseline's list, both without samples.
+    metric and z in order of window and fit. Only the list of curves meets the baseline's list, both without samples; the
+    baseline's list, of one run, is broadcast if its samples are few enough (small; counted if not given).
     """
+    if small is None:
+        small = _is_small(curves.filter(F.col("run_id") == baseline_id))
+    sent = F.broadcast if small else lambda df: df
     keys = curves.select(*CURVE).distinct()
     base = keys.filter(F.col("run_id") == baseline_id).select("metric", "z", "window_type", "fit")
     same = base.withColumns({"base_window": F.col("window_type"), "base_fit": F.col("fit")})
     first = base.groupBy("metric", "z").agg(F.min(F.struct("window_type", "fit")).alias("first"))
-    rows = keys.join(same, ["metric", "z", "window_type", "fit"], "left").join(first, ["metric", "z"], "left")
+    rows = keys.join(sent(same), ["metric", "z", "window_type", "fit"], "left").join(sent(first), ["metric", "z"], "left")
     return rows.select(*CURVE, F.coalesce("base_window", "first.window_type").alias("base_window"), F.coalesce("base_fit", "first.fit").alias("base_fit"))
 
 
@@ -62,21 +74,52 @@ def compare(curves: DataFrame, baseline_id: object, mode: str) -> DataFrame:
     (y / base - 1), percent (100 times that); null where |base| is at most 1e-300 or there is no baseline curve.
 
     The baseline's samples are dealt to the curves that use them (as many rows as the curves have themselves, if the grids
-    are alike), and each curve is interpolated on its own: the baseline is no hot key.
+    are alike), and each curve is interpolated on its own. All runs share a few hundred curve keys, so the samples are
+    broadcast where their counted number allows it, else sent to SALTS shares of the runs.
     """
     if mode == "overlay":
         return curves.withColumn("value", F.col("y"))
     base = curves.filter(F.col("run_id") == baseline_id).select("metric", "z", F.col("window_type").alias("base_window"), F.col("fit").alias("base_fit"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    dealt = baseline_match(curves, baseline_id).join(base, ["metric", "z", "base_window", "base_fit"]).select(*CURVE, "bx", "by")
+    small = _is_small(base)
+    matched, on = baseline_match(curves, baseline_id, small), ["metric", "z", "base_window", "base_fit"]
+    if small:
+        dealt = matched.join(F.broadcast(base), on).select(*CURVE, "bx", "by")
+    else:
+        base = base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = matched.withColumn("_salt", F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).cast("int")).join(base, [*on, "_salt"]).select(*CURVE, "bx", "by")
     rows = interpolate(curves, dealt, CURVE, "x", "bx", "by", "_base")
     ratio = F.when(F.abs("_base") > NOTHING, F.col("y") / F.col("_base"))
     value = {"ratio": ratio, "fractional": ratio - 1.0, "percent": 100.0 * (ratio - 1.0)}[mode]
     return rows.withColumn("value", value).drop("_base")
 
 
+def quantile(rows: DataFrame, by: list[str], value: str, share: float, out: str) -> DataFrame:
+    """by, out: the exact quantile of the non-negative values of each key, interpolated between neighbouring ranks; null
+    where a key has no value.
+
+    A histogram of logarithms finds the one or two bins that hold the ranks; only their distinct values, with counts, are
+    ordered. No buffer holds a key's values.
+    """
+    v = F.col(value)
+    rows = rows.filter(v.isNotNull()).select(*by, v.cast("double").alias("_v"), F.when(v > 0, F.floor(F.ln(v) * 64)).otherwise(F.lit(-(1 << 40))).alias("_bin"))
+    up_to = lambda order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    bins = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(up_to("_bin"))).withColumn("_all", F.sum("_n").over(W.partitionBy(*by)))
+    rank = share * (F.col("_all") - 1)
+    wanted = bins.filter((F.col("_upto") > F.floor(rank)) & (F.col("_upto") - F.col("_n") <= F.ceil(rank))).select(*by, "_bin", (F.col("_upto") - F.col("_n")).alias("_below"), rank.alias("_rank"))
+    values = rows.join(wanted, [*by, "_bin"]).groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"), F.first("_below").alias("_below"), F.first("_rank").alias("_rank"))
+    inside = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    values = values.withColumn("_upto", F.col("_below") + F.sum("_n").over(inside))
+    holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r)
+    low, high = F.floor("_rank"), F.ceil("_rank")
+    ends = values.groupBy(*by).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_lo"), F.max(F.when(holds(high), F.col("_v"))).alias("_hi"), F.first("_rank").alias("_rank"))
+    return ends.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - low)).alias(out))
+
+
 def residual_extent(compared: DataFrame) -> DataFrame:
     """metric, extent: 99th percentile of |value|, 1e-4 at least."""
-    return compared.groupBy("metric").agg(F.greatest(F.percentile(F.abs("value"), F.lit(0.99)), F.lit(1e-4)).alias("extent"))
+    metrics = compared.select("metric").distinct()
+    found = quantile(compared.select("metric", F.abs("value").alias("value")), ["metric"], "value", 0.99, "extent")
+    return metrics.join(found, "metric", "left").select("metric", F.greatest("extent", F.lit(1e-4)).alias("extent"))
 
 
 def common_z(samples: DataFrame) -> DataFrame:
@@ -88,7 +131,7 @@ def common_z(samples: DataFrame) -> DataFrame:
 
 def nearest_z(requests: DataFrame, samples: DataFrame) -> DataFrame:
     """requests (run_id, z) with z_used, the run's nearest sampled redshift; ties go to the lowest."""
-    return nearest(requests, samples, ["run_id"], "z", "z", "z_used") if "z_used" not in requests.columns else requests
+    return nearest(requests.drop("z_used"), samples, ["run_id"], "z", "z", "z_used")
 
 
 def growth_check(sigma8: DataFrame, growth: DataFrame) -> DataFrame:

@@ -9,29 +9,48 @@ from pyspark.sql import functions as F
 UNTITLED = "Untitled run"
 
 
+def running_sum(rows: DataFrame, by: list[str], block: str, order: list, add: str, out: str) -> DataFrame:
+    """rows with out: the sum of `add` over the rows of the same keys up to and with this one, in order.
+
+    `block` numbers stretches of the order. Sums run inside a block, on top of the sums of the blocks before, so a window
+    holds one block of a key, or a key's list of blocks; keys of any size split.
+    """
+    sums = rows.groupBy(*by, block).agg(F.sum(add).alias("_sum"))
+    before = W.partitionBy(*by).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*by, block, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*by, block).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(sums, [*by, block]).withColumn(out, F.col("_before") + F.sum(add).over(inside)).drop("_before")
+
+
 def unique_names(wanted: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """wanted (run_id, name, created_at) with unique_name.
 
     White space collapses, a blank name becomes `Untitled run`. The first of a name (by created_at, run_id) keeps it, the
     others get ` (2)`, ` (3)`, ... in order, passing over names that are in `taken` (name) or wanted by others as they are.
+
+    The k-th free number of a base is 1 + k plus as many as its used numbers u1 < u2 < ... have ui - i <= k. Both counts
+    are running sums over blocks, of days and of numbers: no row holds a list, and one name on all runs splits.
     """
     clean = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", " "))
-    rows = wanted.withColumn("base", F.when(clean == "", UNTITLED).otherwise(clean))
-    names = rows.select(F.col("base").alias("name")).distinct()
-    fixed = names.withColumn("given", F.lit(False))
+    rows = wanted.withColumn("_base", F.when(clean == "", UNTITLED).otherwise(clean))
+    fixed = rows.select(F.col("_base").alias("name")).distinct().withColumn("given", F.lit(False))
     if taken is not None:
         fixed = fixed.unionByName(taken.select("name").distinct().withColumn("given", F.lit(True)))
     # numbers of a base that are names already: `base (n)` splits into base and n
-    parts = fixed.select(F.regexp_extract("name", r"^(.*) \((\d+)\)$", 1).alias("base"), F.regexp_extract("name", r"^(.*) \((\d+)\)$", 2).alias("n")).filter("n <> '' and length(n) < 10 and n not like '0%'")
-    used = parts.groupBy("base").agg(F.collect_set(F.col("n").cast("bigint")).alias("used"))
-    held = fixed.filter("given").select(F.col("name").alias("base"), F.lit(1).alias("held")).distinct()
-    place = F.row_number().over(W.partitionBy("base").orderBy("created_at", "run_id"))
-    rows = rows.withColumn("place", place).join(used, "base", "left").join(held, "base", "left")
-    ordinal = F.col("place") - F.when(F.col("held").isNull(), 1).otherwise(0)  # 0 keeps the name; k takes the k-th free number
-    # among the numbers from 2 on without the used ones, the k-th is at most 1 + k + their count
-    free = F.array_except(F.sequence(F.lit(2).cast("bigint"), (ordinal + 2 + F.size(F.coalesce("used", F.array().cast("array<bigint>")))).cast("bigint")), F.coalesce("used", F.array().cast("array<bigint>")))
-    name = F.when(ordinal == 0, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.element_at(free, F.greatest(ordinal, F.lit(1)).cast("int")).cast("string"), F.lit(")")))
-    return rows.withColumn("unique_name", name).select(*wanted.columns, "unique_name")
+    part = lambda i: F.regexp_extract("name", r"^(.*) \(([1-9]\d{0,8})\)$", i)
+    used = fixed.select(part(1).alias("_base"), part(2).try_cast("bigint").alias("n")).filter("n >= 2").distinct().withColumn("_one", F.lit(1))
+    used = running_sum(used.withColumn("_block", F.expr("n div 65536")), ["_base"], "_block", ["n"], "_one", "_i").select("_base", (F.col("n") - F.col("_i")).alias("_k"))
+    held = fixed.filter("given").select(F.col("name").alias("_base"), F.lit(1).alias("_held")).distinct()
+    rows = rows.withColumns({"_one": F.lit(1), "_day": F.coalesce(F.expr("unix_seconds(cast(created_at as timestamp)) div 86400"), F.lit(-(1 << 40)))})
+    rows = running_sum(rows, ["_base"], "_day", ["created_at", "run_id"], "_one", "_place").join(held, "_base", "left")
+    rows = rows.withColumn("_k", F.col("_place") - F.when(F.col("_held").isNull(), 1).otherwise(0))  # 0 keeps the name
+    nothing = F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType)
+    events = rows.select("_base", F.col("_k").cast("bigint").alias("_k"), F.struct("*").alias("_row"), F.lit(0).alias("_used"))
+    events = events.unionByName(used.select("_base", F.col("_k").cast("bigint").alias("_k"), nothing.alias("_row"), F.lit(1).alias("_used")))
+    counted = running_sum(events.withColumn("_block", F.expr("_k div 65536")), ["_base"], "_block", ["_k", F.desc("_used")], "_used", "_passed").filter("_row is not null")
+    number = (F.col("_k") + 1 + F.col("_passed")).cast("string")
+    name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit(" ("), number, F.lit(")")))
+    return counted.select(*[F.col("_row").getField(x).alias(x) for x in wanted.columns], name.alias("unique_name"))
 
 
 def run_numbering(runs: DataFrame, colors: int = 5) -> DataFrame:

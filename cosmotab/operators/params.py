@@ -38,6 +38,21 @@ SLOW_KEYS = (
 )
 
 
+#: The messages of the rules that parameters can break, in the rules' order.
+MESSAGES = (
+    "Omega_b must be smaller than Omega_m so Omega_cdm remains positive.",
+    "The k range must satisfy 0 < k_min < k_max.",
+    "At least 50 k samples are required.",
+    "The minimum halo mass must be below the maximum halo mass.",
+    "At least 20 mass samples are required.",
+    "The inspection mass must lie inside the selected halo-mass range.",
+    "Redshifts must be non-negative.",
+    "f_EDE must lie between 0 and 0.3.",
+)
+#: What is said of a part of a redshift list that is no number, or a negative one: before and after the part.
+NOT_PARSED, NEGATIVE = ("Could not parse redshift value '", "'."), ("Ignored negative redshift value ", ".")
+
+
 def _lit(v: object) -> Column:
     return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
 
@@ -49,19 +64,19 @@ def merge_defaults(runs: DataFrame, defaults: dict[str, object] = DEFAULTS) -> D
 
 
 def violations() -> Column:
-    """The messages of the rules that a complete parameter row breaks (fixed texts), as an array."""
+    """The messages of the rules that a complete parameter row breaks, as an array."""
     c = F.col
     rules = (
-        (c("Omega_b") >= c("Omega_m"), "Omega_b must be smaller than Omega_m so Omega_cdm remains positive."),
-        ((c("k_min") <= 0) | (c("k_max") <= c("k_min")), "The k range must satisfy 0 < k_min < k_max."),
-        (c("k_points") < 50, "At least 50 k samples are required."),
-        (c("mass_min_exp") >= c("mass_max_exp"), "The minimum halo mass must be below the maximum halo mass."),
-        (c("mass_points") < 20, "At least 20 mass samples are required."),
-        ((c("selected_mass_exp") < c("mass_min_exp")) | (c("selected_mass_exp") > c("mass_max_exp")), "The inspection mass must lie inside the selected halo-mass range."),
-        (F.exists("z_values", lambda z: z < 0), "Redshifts must be non-negative."),
-        (c("enable_ede") & ((c("f_EDE") < 0) | (c("f_EDE") > 0.3)), "f_EDE must lie between 0 and 0.3."),
+        c("Omega_b") >= c("Omega_m"),
+        (c("k_min") <= 0) | (c("k_max") <= c("k_min")),
+        c("k_points") < 50,
+        c("mass_min_exp") >= c("mass_max_exp"),
+        c("mass_points") < 20,
+        (c("selected_mass_exp") < c("mass_min_exp")) | (c("selected_mass_exp") > c("mass_max_exp")),
+        F.exists("z_values", lambda z: z < 0),
+        c("enable_ede") & ((c("f_EDE") < 0) | (c("f_EDE") > 0.3)),
     )
-    return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in zip(rules, MESSAGES, strict=True)]))
 
 
 def validate_params(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +121,8 @@ def parse_redshifts(text: str | Column) -> tuple[Column, Column]:
     number = lambda p: p.try_cast("double")
     values = F.filter(F.transform(parts, number), lambda v: v >= 0)
     message = lambda p: (
-        F.when(number(p).isNull(), F.concat(F.lit("Could not parse redshift value '"), p, F.lit("'.")))
-        .when(number(p) < 0, F.concat(F.lit("Ignored negative redshift value "), p, F.lit(".")))
+        F.when(number(p).isNull(), F.concat(F.lit(NOT_PARSED[0]), p, F.lit(NOT_PARSED[1])))
+        .when(number(p) < 0, F.concat(F.lit(NEGATIVE[0]), p, F.lit(NEGATIVE[1])))
     )
     return F.coalesce(values, F.array().cast("array<double>")), F.coalesce(F.array_compact(F.transform(parts, message)), F.array().cast("array<string>"))
 
@@ -119,12 +134,20 @@ def combined_redshifts(presets: Column, custom: Column, single: Column | None =
 
 
 def short_number(x: Column) -> Column:
-    """A double without a fraction's trailing zeros: 0.5, 1, 10."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), "\\.$", "")
+    """A double with 12 significant digits, without a fraction's trailing zeros: 0.5, 1, 10, 0.12345678, 1e-07."""
+    digits = F.format_string("%.12g", x)
+    return F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
+def plain_number(x: Column) -> Column:
+    """As short_number(), with .0 where it would look like a whole number: 200.0, 0.0001, 2e-06."""
+    short = short_number(x)
+    return F.when(short.rlike("[.e]"), short).otherwise(F.concat(short, F.lit(".0")))
 
 
 def solver_settings() -> Column:
-    """Map of settings for the external solver; the keys of early dark energy only where it is on."""
+    """Map of settings for the external solver; the keys of early dark energy only where it is on. Keys and constant
+    settings are fixed values, the solver's own."""
     c, text = F.col, lambda x: x.cast("string")
     zs = combined_redshifts(c("z_values"), F.array().cast("array<double>"), c("single_z"))
     pairs = {
@@ -141,7 +164,8 @@ def solver_settings() -> Column:
 
 
 def auto_name(number: Column) -> Column:
-    """`Run 007 — ` and what differs from the defaults: up to two parts, or `Custom Cosmology`."""
+    """`Run 007 — ` and what differs from the defaults: up to two parts, or `Custom Cosmology` (the parts' texts and the
+    differences that count are fixed values)."""
     c, d = F.col, DEFAULTS
     parts = F.array_compact(F.array(
         F.when(F.abs(c("A_s") - d["A_s"]) / d["A_s"] > 0.03, F.when(c("A_s") > d["A_s"], "High A_s").otherwise("Low A_s")),

@@ -11,26 +11,26 @@ from pyspark.sql import functions as F
 #: name -> (text, tables it reads)
 TEXTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "fx_run": (
-        """SELECT s_suppkey AS run_id, s_name AS name, 55e0+(s_suppkey*7919 % 2501)/100e0 AS H0, 2e-1+(s_suppkey*104729 % 251)/1000e0 AS Omega_m,
-  35e-3+(s_suppkey*1299709 % 301)/10000e0 AS Omega_b, 9e-1+(s_suppkey*15485863 % 151)/1000e0 AS n_s, (5e-1+(s_suppkey*32452843 % 301)/100e0)*1e-9 AS A_s,
+        """SELECT s_suppkey AS run_id, s_name AS name, 55e0+(s_suppkey*7919 % 2501)/100e0 AS H0, 0.2e0+(s_suppkey*104729 % 251)/1000e0 AS Omega_m,
+  0.035e0+(s_suppkey*1299709 % 301)/10000e0 AS Omega_b, 0.9e0+(s_suppkey*15485863 % 151)/1000e0 AS n_s, (0.5e0+(s_suppkey*32452843 % 301)/100e0)*1e-9 AS A_s,
   s_nationkey % 2 = 0 AS enable_ede, 1704067200 + s_suppkey*60 AS created_s FROM {supplier}""",
         ("supplier",),
     ),
     "fx_dirty": (
         """SELECT c_custkey AS run_id, CASE WHEN c_custkey % 29 = 0 THEN '   ' WHEN c_custkey % 7 = 0 THEN concat('  ', c_mktsegment, '   x ') WHEN c_custkey % 31 = 0 THEN concat(c_mktsegment, ' (3)') ELSE c_mktsegment END AS name,
-  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (3e-1+(c_custkey*7919 % 400)/100e0)*1e-9 END AS A_s, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 88e-2+(c_custkey*104729 % 200)/1000e0 END AS n_s,
-  50e0+(c_custkey*15485863 % 3500)/100e0 AS H0, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 15e-2+(c_custkey*1299709 % 350)/1000e0 END AS Omega_m,
-  2e-2+(c_acctbal+1000e0)/40000e0 AS Omega_b, c_custkey % 2 = 0 AS enable_ede, (c_custkey*31 % 45)/100e0 AS f_EDE, -5e0+(c_custkey*37 % 300)/100e0 AS log10_a_c,
-  CASE WHEN c_custkey % 19 = 0 THEN 0e0 ELSE 1e-4 END AS k_min, CASE WHEN c_custkey % 23 = 0 THEN 5e-5 ELSE 2e2 END AS k_max, CAST(20+(c_custkey*41 % 3200) AS INT) AS k_points,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (0.3e0+(c_custkey*7919 % 400)/100e0)*1e-9 END AS A_s, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 0.88e0+(c_custkey*104729 % 200)/1000e0 END AS n_s,
+  50e0+(c_custkey*15485863 % 3500)/100e0 AS H0, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 0.15e0+(c_custkey*1299709 % 350)/1000e0 END AS Omega_m,
+  0.02e0+(c_acctbal+1000e0)/40000e0 AS Omega_b, c_custkey % 2 = 0 AS enable_ede, (c_custkey*31 % 45)/100e0 AS f_EDE, -5e0+(c_custkey*37 % 300)/100e0 AS log10_a_c,
+  CASE WHEN c_custkey % 19 = 0 THEN 0e0 ELSE 1e-4 END AS k_min, CASE WHEN c_custkey % 23 = 0 THEN 5e-5 ELSE 200e0 END AS k_max, CAST(20+(c_custkey*41 % 3200) AS INT) AS k_points,
   8e0+(c_custkey % 9) AS mass_min_exp, 12e0+(c_custkey % 5) AS mass_max_exp, CAST(10+(c_custkey*43 % 260) AS INT) AS mass_points, 7e0+(c_custkey % 11) AS selected_mass_exp,
   -1e0+(c_custkey % 7) AS single_z, (c_custkey % 5)-1e0 AS z_extra, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'OK' END AS class_status, 1704067200 + c_custkey*60 AS created_s FROM {customer}""",
         ("customer",),
     ),
-    "fx_k": ("SELECT p_partkey AS ki, pow(1e1, -4e0+p_partkey*(log10(2e2)+4e0)/64e0) AS k FROM {part} WHERE p_partkey < 65", ("part",)),
-    "fx_mass": ("SELECT pow(1e1, 8e0+n_nationkey*7e0/24e0) AS m_h FROM {nation}", ("nation",)),
-    "fx_z": ("SELECT run_id, z FROM {fx_run} CROSS JOIN (VALUES (0, 0e0), (1, 5e-1), (2, 1e0), (3, 2e0), (4, 5e0), (5, 1e1)) AS t(i, z) WHERE i = 0 OR run_id % 7 <> i", ("fx_run",)),
+    "fx_k": ("SELECT p_partkey AS ki, pow(10e0, -4e0+p_partkey*(log10(200e0)+4e0)/64e0) AS k FROM {part} WHERE p_partkey < 65", ("part",)),
+    "fx_mass": ("SELECT pow(10e0, 8e0+n_nationkey*7e0/24e0) AS m_h FROM {nation}", ("nation",)),
+    "fx_z": ("SELECT run_id, z FROM {fx_run} CROSS JOIN (VALUES (0, 0e0), (1, 0.5e0), (2, 1e0), (3, 2e0), (4, 5e0), (5, 10e0)) AS t(i, z) WHERE i = 0 OR run_id % 7 <> i", ("fx_run",)),
     "fx_power": (
-        "SELECT r.run_id, r.z, ki, k, 25e3*(A_s/21e-10)*pow(k/2e-2, n_s)/pow(1e0+pow(k/2e-2, 2e0), 2e0)/pow(1e0+z, 2e0) AS p FROM {fx_z} r JOIN {fx_run} u ON r.run_id = u.run_id CROSS JOIN {fx_k}",
+        "SELECT r.run_id, r.z, ki, k, 25000e0*(A_s/2.1e-9)*pow(k/0.02e0, n_s)/pow(1e0+pow(k/0.02e0, 2e0), 2e0)/pow(1e0+z, 2e0) AS p FROM {fx_z} r JOIN {fx_run} u ON r.run_id = u.run_id CROSS JOIN {fx_k}",
         ("fx_z", "fx_run", "fx_k"),
     ),
     "fx_power_dirty": (
@@ -39,7 +39,7 @@ TEXTS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("fx_power", "fx_k"),
     ),
     "fx_growth": ("SELECT run_id, z, 1e0/(1e0+z) AS growth FROM {fx_z}", ("fx_z",)),
-    "fx_sigma": ("SELECT l_orderkey, l_linenumber, pow(1e1, -7e-1+((l_orderkey*7+l_linenumber) % 512)*12e-1/511e0) AS sigma, CASE WHEN l_linenumber % 4 = 0 THEN 0e0 WHEN l_linenumber % 4 = 1 THEN 5e-1 WHEN l_linenumber % 4 = 2 THEN 2e0 ELSE 7e0 END AS z FROM {lineitem}", ("lineitem",)),
+    "fx_sigma": ("SELECT l_orderkey, l_linenumber, pow(10e0, -0.7e0+((l_orderkey*7+l_linenumber) % 512)*1.2e0/511e0) AS sigma, CASE WHEN l_linenumber % 4 = 0 THEN 0e0 WHEN l_linenumber % 4 = 1 THEN 0.5e0 WHEN l_linenumber % 4 = 2 THEN 2e0 ELSE 7e0 END AS z FROM {lineitem}", ("lineitem",)),
     "fx_order_curve": ("SELECT o_custkey AS curve, CAST(o_orderkey+1 AS DOUBLE) AS x, o_totalprice AS y FROM {orders}", ("orders",)),
     "fx_event_point": ("SELECT event_id, user_id AS curve, CAST(event_id*3+1 AS DOUBLE) AS x, value FROM {events}", ("events",)),
     "fx_event_text": ("SELECT event_id, concat(CAST(event_id % 40 AS VARCHAR(9)), '.5, ', event_type, ' ,-', CAST(event_id % 9 + 1 AS VARCHAR(9)), ', ,', CAST(event_id % 13 AS VARCHAR(9))) AS text FROM {events}", ("events",)),

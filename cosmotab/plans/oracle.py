@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cosmotab.functions.fits import CATALOG
+from cosmotab.functions.fits import CATALOG, COEFFICIENTS
 from cosmotab.operators.params import DEFAULTS, PRESETS, RANGES
 from cosmotab.plans import fixtures
 
@@ -24,11 +24,11 @@ def d(x: float) -> str:
 
 def w(y: str, name: str) -> str:
     if name == "Gaussian":
-        return f"exp(-5e-1*({y})*({y}))"
+        return f"exp(-0.5e0*({y})*({y}))"
     if name == "Sharp-k":
         return f"(CASE WHEN {y} <= 1e0 THEN 1e0 ELSE 0e0 END)"
     series = f"(1e0 - pow({y},2)/10e0 + pow({y},4)/280e0 - pow({y},6)/15120e0 + pow({y},8)/1330560e0 - pow({y},10)/172972800e0)"
-    return f"(CASE WHEN abs({y}) < 1e-1 THEN {series} ELSE 3e0*(sin({y})-({y})*cos({y}))/(({y})*({y})*({y})) END)"
+    return f"(CASE WHEN abs({y}) < 0.1e0 THEN {series} ELSE 3e0*(sin({y})-({y})*cos({y}))/(({y})*({y})*({y})) END)"
 
 
 def weights(source: str, by: str, x: str) -> str:
@@ -58,37 +58,49 @@ FROM (SELECT *, {at} FROM (SELECT *, ln({x}) AS gu, ln(greatest({y}, 1e-300)) AS
 
 def tail(source: str, by: str, x: str, y: str, out: str) -> str:
     return f"""SELECT *, greatest(sum(strip) OVER (PARTITION BY {by} ORDER BY {x} DESC ROWS UNBOUNDED PRECEDING), 1e-300) AS {out}
-FROM (SELECT *, coalesce(5e-1*({y}+lead({y}) OVER (PARTITION BY {by} ORDER BY {x}))*(ln(lead({x}) OVER (PARTITION BY {by} ORDER BY {x}))-ln({x})), 0e0) AS strip FROM {source}) q"""
+FROM (SELECT *, coalesce(0.5e0*({y}+lead({y}) OVER (PARTITION BY {by} ORDER BY {x}))*(ln(lead({x}) OVER (PARTITION BY {by} ORDER BY {x}))-ln({x})), 0e0) AS strip FROM {source}) q"""
 
 
-def fit(name: str, s: str = "s", z: str = "z", dc: str = "1686e-3", om: str = "3e-1", dh: str = "200e0") -> str:
+def fit(name: str, s: str = "s", z: str = "z", dc: str = "1.686e0", om: str = "0.3e0", dh: str = "200e0") -> str:
     """f(sigma) of a fit over SQL expressions."""
     nu, zp = f"({dc}/{s})", f"(1e0+{z})"
-    st = lambda A, a, p: f"({A}*sqrt(2e0*{a}/pi())*(1e0+pow({a}*{nu}*{nu}, -{p}))*{nu}*exp(-5e-1*{a}*{nu}*{nu}))"
+    k = {n: d(v) for n, v in COEFFICIENTS.get(name, {}).items()}
+    st = lambda: f"({k['A']}*sqrt(2e0*{k['a']}/pi())*(1e0+pow({k['a']}*{nu}*{nu}, -{k['p']}))*{nu}*exp(-0.5e0*{k['a']}*{nu}*{nu}))"
     cut = lambda A, a, b, c: f"({A}*(pow({b}/{s}, {a})+1e0)*exp(-({c})/({s}*{s})))"
+    at = lambda n: f"({k[n]}*pow({zp}, {k[n + '_z']}))"
     up = f"(-ln({s}))"
-    cosh = f"((exp(2e0*{s})+exp(-2e0*{s}))/2e0)"
-    by_z = lambda a, b, c: f"(CASE WHEN {z} = 0 THEN {a} WHEN {z} >= 6 THEN {b} ELSE {om}*({c}) END)"
-    return {
-        "Press-Schechter 1974": f"(sqrt(2e0/pi())*{nu}*exp(-5e-1*{nu}*{nu}))",
-        "Sheth-Tormen 2001": st("3222e-4", "707e-3", "3e-1"),
-        "Jenkins 2001": f"(315e-3*exp(-pow(abs({up}+61e-2), 38e-1)))",
-        "Reed 2003": f"({st('3222e-4', '707e-3', '3e-1')}*exp(-7e-1/pow({s}*{cosh}, 5e0)))",
-        "Warren 2006": f"(7234e-4*(pow({s}, -1625e-3)+2538e-4)*exp(-11982e-4/({s}*{s})))",
-        "Reed 2007": f"(3222e-4*sqrt(2e0*707e-3/pi())*(1e0+pow(707e-3*{nu}*{nu}, -3e-1)+6e-1*exp(-({up}-4e-1)*({up}-4e-1)/72e-2)+4e-1*exp(-({up}-75e-2)*({up}-75e-2)/8e-2))*{nu}*exp(-5e-1*108e-2*707e-3*{nu}*{nu}-3e-2*pow({nu}, 6e-1)))",
-        "Tinker 2008": cut(f"(186e-3*pow({zp}, -14e-2))", f"(147e-2*pow({zp}, -6e-2))", f"(257e-2*pow({zp}, -pow(1e1, -pow(75e-2/log10({dh}/75e0), 12e-1))))", "119e-2"),
-        "Crocce 2010": f"(58e-2*pow({zp}, -13e-2)*(pow({s}, -(137e-2*pow({zp}, -15e-2)))+30e-2*pow({zp}, -84e-3))*exp(-1036e-3*pow({zp}, -24e-3)/({s}*{s})))",
-        "Courtin 2010": st("348e-3", "695e-3", "1e-1"),
-        "Bhattacharya 2011": f"(333e-3*pow({zp}, -11e-2)*sqrt(2e0/pi())*exp(-5e-1*788e-3*pow({zp}, -1e-2)*{nu}*{nu})*(1e0+pow(788e-3*pow({zp}, -1e-2)*{nu}*{nu}, -807e-3))*pow({nu}*sqrt(788e-3*pow({zp}, -1e-2)), 1795e-3))",
-        "Angulo 2012": cut("201e-3", "17e-1", "208e-2", "1172e-3"),
-        "Watson FOF 2013": cut("282e-3", "1406e-3", "2163e-3", "1210e-3"),
-        "Watson SO 2013": f"(exp(23e-3*({dh}/178e0-1e0))*pow({dh}/178e0, -456e-3*{om}-139e-3)*exp(72e-3*(1e0-{dh}/178e0)/pow({s}, 213e-2))*"
-        + cut(by_z("194e-3", "563e-3", f"1907e-3*pow({zp}, -3216e-3)+74e-3"), by_z("2267e-3", "874e-3", f"3136e-3*pow({zp}, -3058e-3)+2349e-3"), by_z("1805e-3", "381e-2", f"5907e-3*pow({zp}, -3599e-3)+2344e-3"), f"(CASE WHEN {z} = 0 THEN 1287e-3 WHEN {z} >= 6 THEN 1453e-3 ELSE 1318e-3 END)") + ")",
-    }[name]
-
-
-RHO = "(Omega_m*2775e8*(H0/100e0)*(H0/100e0))"
-OMEGA_R = "(2469e-8*pow(27255e-4/27255e-4, 4)*(1e0+22710731766e-11*3046e-3)/((H0/100e0)*(H0/100e0)))"
+    if name == "Press-Schechter 1974":
+        return f"(sqrt(2e0/pi())*{nu}*exp(-0.5e0*{nu}*{nu}))"
+    if name in ("Sheth-Tormen 2001", "Courtin 2010"):
+        return st()
+    if name == "Jenkins 2001":
+        return f"({k['A']}*exp(-pow(abs({up}+{k['b']}), {k['c']})))"
+    if name == "Reed 2003":
+        return f"({st()}*exp(-{k['c']}/pow({s}*((exp(2e0*{s})+exp(-2e0*{s}))/2e0), {k['q']})))"
+    if name == "Warren 2006":
+        return f"({k['A']}*(pow({s}, -{k['a']})+{k['b']})*exp(-{k['c']}/({s}*{s})))"
+    if name == "Reed 2007":
+        bump = lambda i: f"{k[f'g{i}']}*exp(-({up}-{k[f'at{i}']})*({up}-{k[f'at{i}']})/{k[f'width{i}']})"
+        shape = f"(1e0+pow({k['a']}*{nu}*{nu}, -{k['p']})+{bump(1)}+{bump(2)})"
+        return f"({k['A']}*sqrt(2e0*{k['a']}/pi())*{shape}*{nu}*exp(-0.5e0*{k['ca']}*{k['a']}*{nu}*{nu}-{k['n']}*pow({nu}, {k['q']})))"
+    if name == "Tinker 2008":
+        return cut(at("A"), at("a"), f"({k['b']}*pow({zp}, -pow(10e0, -pow({k['alpha']}/log10({dh}/{k['delta']}), {k['alpha_q']}))))", k["c"])
+    if name == "Crocce 2010":
+        return f"({at('A')}*(pow({s}, -{at('a')})+{at('b')})*exp(-{at('c')}/({s}*{s})))"
+    if name == "Bhattacharya 2011":
+        an2 = f"({at('a')}*{nu}*{nu})"
+        return f"({at('A')}*sqrt(2e0/pi())*exp(-0.5e0*{an2})*(1e0+pow({an2}, -{k['p']}))*pow({nu}*sqrt({at('a')}), {k['q']}))"
+    if name in ("Angulo 2012", "Watson FOF 2013"):
+        return cut(k["A"], k["a"], k["b"], k["c"])
+    by_z = lambda n: f"(CASE WHEN {z} = 0 THEN {k[n + '0']} WHEN {z} >= 6 THEN {k[n + '6']} ELSE {om}*({at(n)}+{k[n + '_add']}) END)"
+    c = f"(CASE WHEN {z} = 0 THEN {k['c0']} WHEN {z} >= 6 THEN {k['c6']} ELSE {k['c']} END)"
+    over = f"({dh}/{k['delta']})"
+    gamma = f"exp({k['g1']}*({over}-1e0))*pow({over}, -{k['g2']}*{om}-{k['g3']})*exp({k['g4']}*(1e0-{over})/pow({s}, {k['g5']}))"
+    return f"({gamma}*{cut(by_z('A'), by_z('a'), by_z('b'), c)})"
+
+
+RHO = "(Omega_m*2.775e11*(H0/100e0)*(H0/100e0))"
+OMEGA_R = "(2.469e-5*pow(2.7255e0/2.7255e0, 4)*(1e0+0.22710731766e0*3.046e0)/((H0/100e0)*(H0/100e0)))"
 OMZ = f"(Omega_m*pow(1e0+z, 3)/({OMEGA_R}*pow(1e0+z, 4)+Omega_m*pow(1e0+z, 3)+greatest(1e0-Omega_m-{OMEGA_R}, 0e0)))"
 BASE = ("fx_run", "fx_k", "fx_z", "fx_mass", "fx_power", "fx_growth")
 
@@ -106,7 +118,7 @@ STEPS = {
     "hm": "SELECT slo.run_id, window_type, z, fit, m_h, m, s AS sigma, greatest({rho}/m*f*abs(dlns)/pow(H0/100e0, 3), 1e-300) AS hmf FROM (SELECT * FROM ({fan}) q) slo JOIN fx_run ON slo.run_id = fx_run.run_id".format(
         rho=RHO,
         fan=" UNION ALL ".join(
-            f"SELECT slo.run_id, window_type, z, m_h, m, dlns, greatest(sigma, 1e-30) AS s, '{n}' AS fit, {fit(n, 'greatest(sigma, 1e-30)', 'z', '1686e-3', OMZ)} AS f FROM slo JOIN fx_run ON slo.run_id = fx_run.run_id"
+            f"SELECT slo.run_id, window_type, z, m_h, m, dlns, greatest(sigma, 1e-30) AS s, '{n}' AS fit, {fit(n, 'greatest(sigma, 1e-30)', 'z', '1.686e0', OMZ)} AS f FROM slo JOIN fx_run ON slo.run_id = fx_run.run_id"
             for n in ("Press-Schechter 1974", "Sheth-Tormen 2001", "Tinker 2008", "Watson SO 2013")
         ),
     ),

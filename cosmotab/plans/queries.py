@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +14,8 @@ from cosmotab.operators import compare, curves, field, hmf, ledger, params, sigm
 from cosmotab.plans import oracle as o
 from cosmotab.plans.fixtures import REDSHIFTS, cells, cte, runs, table
 from cosmotab.sources import io
+from cosmotab.sources.shared import new_folder as shared
+from cosmotab.sources.shared import stored
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,22 +42,6 @@ def rl(x: Column | str) -> Column:
     return F.round(F.ln(x), 8) + 0.0
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared folder; on a local master without one, a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as a table and read again: for what a query uses several times."""
-    df.write.parquet(path := shared(df.sparkSession))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def power(s, d):
     return table(s, d, "fx_power")
 
@@ -108,7 +92,7 @@ def write_runs(s, d):
 @query(o.sql("fx_power", f"SELECT run_id, {o.rl('k')} AS ln_k, {o.rl('p')} AS ln_p, {o.rl(f'k*k*k*p/{o.PI2}')} AS ln_d2 FROM fx_power WHERE z = 0"))
 def export_power(s, d):
     io.write_csv(io.export_power(power(s, d)), path := shared(s))
-    back = s.read.schema("k_Mpc_inv double, P_Mpc3 double, Delta2 double, run_id bigint").option("header", True).csv(path)
+    back = io.read_csv(s, path, "k_Mpc_inv double, P_Mpc3 double, Delta2 double")
     return back.select("run_id", rl("k_Mpc_inv").alias("ln_k"), rl("P_Mpc3").alias("ln_p"), rl("Delta2").alias("ln_d2"))
 
 
@@ -142,6 +126,13 @@ def export_hmf(s, d):
     return wide.select("run_id", rl("M_h_inv_Msun").alias("ln_m_h"), *[rl(x).alias(x) for x in wide.columns[2:]])
 
 
+@query(o.sql("hc", f"SELECT run_id, {o.rl('m_h')} AS ln_m_h, {HMF_WIDE} FROM hc WHERE z = 0 GROUP BY run_id, m_h"))
+def import_hmf(s, d):
+    io.write_csv(io.export_hmf(tails(s, d, SHOWN_FITS[:2])), path := shared(s))
+    back = io.import_hmf(s, path)
+    return back.select("run_id", rl("M_h_inv_Msun").alias("ln_m_h"), *[rl(x).alias(x) for x in back.columns[2:]])
+
+
 @query(o.sql("fx_power", "SELECT run_id, " + o.rl("k") + " AS ln_k, " + ", ".join(f"{o.rl(f'max(CASE WHEN z = {o.d(z)} THEN p END)')} AS {io.z_column(z, 'P_z', '_Mpc3')}" for z in REDSHIFTS) + " FROM fx_power GROUP BY run_id, k"))
 def export_power_wide(s, d):
     wide = io.export_power_wide(power(s, d), list(REDSHIFTS))
@@ -166,10 +157,12 @@ def export_completeness(s, d):
 
 @query(o.on("fx_dirty", """SELECT run_id, CASE WHEN trim(name) = '' THEN 'run' ELSE regexp_replace(regexp_replace(trim(name), '\\s+', '_', 'g'), '^_+|_+$', '', 'g') END AS stem,
   '# ' || name || chr(10) || chr(10) || chr(10) || chr(10) || '## Reproducibility' || chr(10) || chr(10) || '- Backend: ' || coalesce(class_status, 'UNKNOWN') || chr(10)
-  || printf('- k range: %.5f to %.1f Mpc^-1', k_min, k_max) || chr(10) || '- k samples: ' || k_points || chr(10) || printf('- mass range: 10^%.1f to 10^%.1f h^-1 Msun', mass_min_exp, mass_max_exp) || chr(10)
-  || '- mass samples: ' || mass_points || chr(10) || '- window: Top-hat' || chr(10) || '- integration: log-k Simpson rule on the sampled grid' || chr(10) AS summary FROM fx_dirty"""))
+  || '- k range: ' || k_min || ' to ' || k_max || ' Mpc^-1' || chr(10) || '- k samples: ' || k_points || chr(10) || '- mass range: 10^' || mass_min_exp || ' to 10^' || mass_max_exp || ' h^-1 Msun' || chr(10)
+  || '- mass samples: ' || mass_points || chr(10) || '- window: Top-hat' || chr(10) || '- integration: log-k Simpson rule on the sampled grid' || chr(10) || chr(10) || '## Notes' || chr(10) || CASE WHEN run_id % 2 = 0 THEN chr(10) || '- seen' || chr(10) || '- ' || run_id || chr(10) ELSE '' END AS summary FROM fx_dirty"""))
 def run_summary(s, d):
-    return io.run_summary(runs(s, d, "fx_dirty").withColumns({"notes": F.lit(None).cast("string"), "window_type": F.lit("Top-hat")}))
+    return io.run_summary(runs(s, d, "fx_dirty").withColumns({
+        "notes": F.lit(None).cast("string"), "window_type": F.lit("Top-hat"), "bullets": F.when(c("run_id") % 2 == 0, F.array(F.lit("seen"), c("run_id").cast("string"))),
+    }))
 
 
 # --- projections, filters, checks ----------------------------------------------------------------------------------
@@ -184,18 +177,12 @@ def merge_defaults(s, d):
     return params.merge_defaults(runs(s, d, "fx_dirty")).select("run_id", *FILLED, "quad_limit", "window_type")
 
 
-DIRTY = f"m AS (SELECT * REPLACE (coalesce(A_s, {o.d(2.1e-9)}) AS A_s, coalesce(n_s, 965e-3) AS n_s, coalesce(Omega_m, {o.d(params.DEFAULTS['Omega_m'])}) AS Omega_m) FROM fx_dirty)"
+DIRTY = f"m AS (SELECT * REPLACE (coalesce(A_s, {o.d(2.1e-9)}) AS A_s, coalesce(n_s, 0.965e0) AS n_s, coalesce(Omega_m, {o.d(params.DEFAULTS['Omega_m'])}) AS Omega_m) FROM fx_dirty)"
 RULES = (
     "Omega_b >= Omega_m", "k_min <= 0 OR k_max <= k_min", "k_points < 50", "mass_min_exp >= mass_max_exp", "mass_points < 20", "selected_mass_exp < mass_min_exp OR selected_mass_exp > mass_max_exp", "z_extra < 0",
-    "enable_ede AND (f_EDE < 0 OR f_EDE > 3e-1)",
-)
-TEXTS = (
-    "Omega_b must be smaller than Omega_m so Omega_cdm remains positive.", "The k range must satisfy 0 < k_min < k_max.", "At least 50 k samples are required.", "The minimum halo mass must be below the maximum halo mass.",
-    "At least 20 mass samples are required.", "The inspection mass must lie inside the selected halo-mass range.", "Redshifts must be non-negative.", "f_EDE must lie between 0 and 0.3.",
+    "enable_ede AND (f_EDE < 0 OR f_EDE > 0.3e0)",
 )
-
-
-@query(o.on("fx_dirty", "SELECT run_id, concat_ws(' ', " + ", ".join(f"CASE WHEN {r} THEN '{t}' END" for r, t in zip(RULES, TEXTS, strict=True)) + ") AS violations FROM m").replace(")\nSELECT", f"), {DIRTY}\nSELECT", 1))
+@query(o.on("fx_dirty", "SELECT run_id, concat_ws(' ', " + ", ".join(f"CASE WHEN {r} THEN '{t}' END" for r, t in zip(RULES, params.MESSAGES, strict=True)) + ") AS violations FROM m").replace(")\nSELECT", f"), {DIRTY}\nSELECT", 1))
 def validate_params(s, d):
     good, bad = params.validate_params(params.merge_defaults(runs(s, d, "fx_dirty")))
     return bad.select("run_id", F.array_join("violations", " ").alias("violations")).unionByName(good.select("run_id", F.lit("").alias("violations")))
@@ -210,12 +197,12 @@ def range_audit(s, d):
 
 
 @query(o.on("fx_run", f"""SELECT run_id, preset, preset_name, CASE WHEN preset = 'EDE' THEN true ELSE false END AS enable_ede, CASE WHEN preset = 'High amplitude' THEN {o.d(2.35e-9)} ELSE A_s END AS A_s,
-  CASE WHEN preset = 'Blue tilt' THEN 99e-2 ELSE n_s END AS n_s, 1e-1 AS f_EDE, -35e-1 AS log10_a_c, 3 AS n_EDE FROM fx_run CROSS JOIN (VALUES {", ".join(f"('{n}', '{t}')" for n, _, t in params.PRESETS)}) AS t(preset, preset_name)"""))
+  CASE WHEN preset = 'Blue tilt' THEN 0.99e0 ELSE n_s END AS n_s, 0.1e0 AS f_EDE, -3.5e0 AS log10_a_c, 3 AS n_EDE FROM fx_run CROSS JOIN (VALUES {", ".join(f"('{n}', '{t}')" for n, _, t in params.PRESETS)}) AS t(preset, preset_name)"""))
 def apply_presets(s, d):
     return params.apply_presets(runs(s, d)).select("run_id", "preset", "preset_name", "enable_ede", "A_s", "n_s", "f_EDE", "log10_a_c", "n_EDE")
 
 
-@query(o.on("fx_run", f"SELECT run_id, H0/100e0 AS h, {o.r8('Omega_m-Omega_b')} AS Omega_cdm, {o.r8(o.OMEGA_R)} AS Omega_r, {o.r8(f'1e0-Omega_m-{o.OMEGA_R}')} AS Omega_de, {o.rl('2775e8*(H0/100e0)*(H0/100e0)')} AS ln_rho_crit, {o.rl(o.RHO)} AS ln_rho0, {o.rl('pow(1e1, -35e-1)')} AS ln_a_c, {o.rl('1e0/pow(1e1, -35e-1)-1e0')} AS ln_z_c FROM fx_run"))
+@query(o.on("fx_run", f"SELECT run_id, H0/100e0 AS h, {o.r8('Omega_m-Omega_b')} AS Omega_cdm, {o.r8(o.OMEGA_R)} AS Omega_r, {o.r8(f'1e0-Omega_m-{o.OMEGA_R}')} AS Omega_de, {o.rl('2.775e11*(H0/100e0)*(H0/100e0)')} AS ln_rho_crit, {o.rl(o.RHO)} AS ln_rho0, {o.rl('pow(10e0, -3.5e0)')} AS ln_a_c, {o.rl('1e0/pow(10e0, -3.5e0)-1e0')} AS ln_z_c FROM fx_run"))
 def derived_quantities(s, d):
     r = params.derived_quantities(params.merge_defaults(runs(s, d)))
     return r.select("run_id", "h", *[r8(x).alias(x) for x in ("Omega_cdm", "Omega_r", "Omega_de")], *[rl(x).alias(f"ln_{x}") for x in ("rho_crit", "rho0", "a_c", "z_c")])
@@ -231,7 +218,7 @@ Z_LIST = "list_sort(list_distinct(list_filter([0e0, z_extra, single_z], lambda x
 SHORT = "regexp_replace(regexp_replace(printf('%.6f', {}), '0+$', ''), '\\.$', '')"
 
 
-@query(o.on("fx_dirty", f"SELECT run_id, list_aggregate(list_transform({Z_LIST}, lambda x: {SHORT.format('x')}), 'string_agg', ',') AS z_pk, {SHORT.format(f'list_max({Z_LIST})')} AS z_max_pk, CASE WHEN enable_ede THEN 'axion' END AS potential, CASE WHEN enable_ede THEN '3' END AS n_axion, CAST(CASE WHEN enable_ede THEN 25 ELSE 16 END AS BIGINT) AS keys, round(105e-2*k_max, 6) AS p_k_max FROM fx_dirty"))
+@query(o.on("fx_dirty", f"SELECT run_id, list_aggregate(list_transform({Z_LIST}, lambda x: {SHORT.format('x')}), 'string_agg', ',') AS z_pk, {SHORT.format(f'list_max({Z_LIST})')} AS z_max_pk, CASE WHEN enable_ede THEN 'axion' END AS potential, CASE WHEN enable_ede THEN '3' END AS n_axion, CAST(CASE WHEN enable_ede THEN 25 ELSE 16 END AS BIGINT) AS keys, round(1.05e0*k_max, 6) AS p_k_max FROM fx_dirty"))
 def solver_settings(s, d):
     r = params.merge_defaults(runs(s, d, "fx_dirty")).withColumn("m", params.solver_settings())
     get = lambda k: F.try_element_at("m", F.lit(k))
@@ -243,12 +230,12 @@ def power_quality(s, d):
     return sigma.power_quality(table(s, d, "fx_power_dirty"))
 
 
-@query(o.sql("sig", "SELECT run_id, window_type, z, count(*) AS masses, CASE WHEN count(*) >= 4 AND bool_and(m > 0 AND sigma > 0) AND count(DISTINCT m) = count(m) THEN 'pass' ELSE 'quarantine' END AS verdict FROM sig WHERE run_id % 9 <> 0 OR m_h < 15e7 GROUP BY run_id, window_type, z"))
+@query(o.sql("sig", "SELECT run_id, window_type, z, count(*) AS masses, CASE WHEN count(*) >= 4 AND bool_and(m > 0 AND sigma > 0) AND count(DISTINCT m) = count(m) THEN 'pass' ELSE 'quarantine' END AS verdict FROM sig WHERE run_id % 9 <> 0 OR m_h < 1.5e8 GROUP BY run_id, window_type, z"))
 def mass_grid_quality(s, d):
-    return sigma.mass_grid_quality(sigmas(s, d).filter("run_id % 9 <> 0 or m_h < 15e7"))
+    return sigma.mass_grid_quality(sigmas(s, d).filter("run_id % 9 <> 0 or m_h < 1.5e8"))
 
 
-@query(o.on("fx_run", f"SELECT run_id, i, {o.rl('A_s*pow(pow(1e1, -5e0+i*6e0/499e0)/5e-2, n_s-1e0)')} AS ln_p FROM fx_run CROSS JOIN (SELECT unnest(range(500)) AS i) t"))
+@query(o.on("fx_run", f"SELECT run_id, i, {o.rl('A_s*pow(pow(10e0, -5e0+i*6e0/499e0)/0.05e0, n_s-1e0)')} AS ln_p FROM fx_run CROSS JOIN (SELECT unnest(range(500)) AS i) t"))
 def primordial(s, d):
     r = runs(s, d).select("run_id", "A_s", "n_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(499).cast("bigint"))).alias("i"))
     return r.select("run_id", "i", rl(cos.primordial(F.pow(F.lit(10.0), -5.0 + c("i") * 6.0 / 499.0), c("A_s"), c("n_s"))).alias("ln_p"))
@@ -259,7 +246,7 @@ def delta2(s, d):
     return power(s, d).select("run_id", "z", rl("k").alias("ln_k"), rl(cos.delta2(c("k"), c("p"))).alias("ln_d2"))
 
 
-@query(o.sql("fx_power", f"SELECT run_id, z, {o.rl('k')} AS ln_k, {o.r8('t/norm')} AS shape FROM t JOIN n USING (run_id, z)", "t AS (SELECT run_id, z, k, p/pow(k, n_s) AS t FROM fx_power JOIN fx_run USING (run_id)), k0 AS (SELECT run_id, z, min(k) AS k0, arg_min(t, k) AS t0 FROM t GROUP BY ALL), n AS (SELECT run_id, z, coalesce(quantile_cont(CASE WHEN k <= greatest(5e0*k0, 3e-3) THEN t END, 5e-1), min(t0)) AS norm FROM t JOIN k0 USING (run_id, z) GROUP BY ALL)"))
+@query(o.sql("fx_power", f"SELECT run_id, z, {o.rl('k')} AS ln_k, {o.r8('t/norm')} AS shape FROM t JOIN n USING (run_id, z)", "t AS (SELECT run_id, z, k, p/pow(k, n_s) AS t FROM fx_power JOIN fx_run USING (run_id)), k0 AS (SELECT run_id, z, min(k) AS k0, arg_min(t, k) AS t0 FROM t GROUP BY ALL), n AS (SELECT run_id, z, coalesce(quantile_cont(CASE WHEN k <= greatest(5e0*k0, 0.003e0) THEN t END, 0.5e0), min(t0)) AS norm FROM t JOIN k0 USING (run_id, z) GROUP BY ALL)"))
 def processing_shape(s, d):
     return sigma.processing_shape(power(s, d), runs(s, d)).select("run_id", "z", rl("k").alias("ln_k"), r8("shape").alias("shape"))
 
@@ -275,7 +262,7 @@ def y_grid(s, d):
     return table(s, d, "part").select("p_partkey", F.pow(F.lit(10.0), -4.0 + (c("p_partkey") % 600) / 100.0).alias("y"))
 
 
-Y_GRID = "SELECT p_partkey, pow(1e1, -4e0+(p_partkey % 600)/100e0) AS y FROM part"
+Y_GRID = "SELECT p_partkey, pow(10e0, -4e0+(p_partkey % 600)/100e0) AS y FROM part"
 for _key, _f, _w in (("window_top_hat", windows.top_hat, "Top-hat"), ("window_gaussian", windows.gaussian, "Gaussian"), ("window_sharp_k", windows.sharp_k, "Sharp-k")):
     query(f"SELECT p_partkey, {o.r8(o.w('y', _w))} AS w FROM ({Y_GRID}) q", _key)(lambda s, d, f=_f: y_grid(s, d).select("p_partkey", r8(f(c("y"))).alias("w")))
 
@@ -301,12 +288,12 @@ def series_error(s, d):
 
 #: Below this, or below the rounding of the exact form (4e-15 / y^2, as its numerator cancels), an error counts as this much.
 ERROR_FLOOR = 1e-9
-WIDE_Y = "SELECT p_partkey, pow(1e1, -7e0+(p_partkey*37 % 900)/100e0) AS y FROM part"
+WIDE_Y = "SELECT p_partkey, pow(10e0, -7e0+(p_partkey*37 % 900)/100e0) AS y FROM part"
 
 
 @query(f"SELECT p_partkey, {o.r8('log10(y)')} AS log_y, (round(log10(greatest(abs({SERIES_SQL}-{EXACT})/greatest(abs({EXACT}), 1e-30), 1e-9, 4e-15/(y*y))), 4) + 0e0) AS log_error FROM ({WIDE_Y}) q")
 def series_error_whole(s, d):
-    """Every y from 1e-7 to 1e2: all of the figure's range, on both sides of the switch to the series."""
+    """Every y from 1e-7 to 100e0: all of the figure's range, on both sides of the switch to the series."""
     rows = table(s, d, "part").select("p_partkey", F.pow(F.lit(10.0), -7.0 + (c("p_partkey") * 37 % 900) / 100.0).alias("y"))
     e = windows.top_hat_exact(c("y"))
     error = F.abs(windows.top_hat_series(c("y")) - e) / F.greatest(F.abs(e), F.lit(1e-30))
@@ -339,13 +326,13 @@ def sigma_integrand_whole(s, d):
     return rows.select("run_id", "z", "window_type", rl("k").alias("ln_k"), (F.round(F.ln("integrand"), 6) + 0.0).alias("ln_i"))
 
 
-@query(o.on("fx_sigma", f"SELECT l_orderkey, l_linenumber, {o.r8('1686e-3/greatest(sigma, 1e-30)')} AS nu FROM fx_sigma"))
+@query(o.on("fx_sigma", f"SELECT l_orderkey, l_linenumber, {o.r8('1.686e0/greatest(sigma, 1e-30)')} AS nu FROM fx_sigma"))
 def peak_height(s, d):
     return table(s, d, "fx_sigma").select("l_orderkey", "l_linenumber", r8(fits.peak_height(c("sigma"))).alias("nu"))
 
 
 IN_RANGE = {
-    "Press-Schechter 1974": "true", "Sheth-Tormen 2001": "true", "Tinker 2008": "-ln(sigma) > -6e-1 AND -ln(sigma) < 4e-1 AND z <= 25e-1", "Watson SO 2013": "z <= 30",
+    "Press-Schechter 1974": "true", "Sheth-Tormen 2001": "true", "Tinker 2008": "-ln(sigma) > -0.6e0 AND -ln(sigma) < 0.4e0 AND z <= 2.5e0", "Watson SO 2013": "z <= 30",
 }
 
 
@@ -357,10 +344,10 @@ def calibration_label(s, d):
 
 #: As IN_RANGE, for all rows of the catalogue.
 ALL_RANGES = {
-    "Press-Schechter 1974": "true", "Sheth-Tormen 2001": "true", "Jenkins 2001": "-ln(sigma) > -12e-1 AND -ln(sigma) < 105e-2 AND z <= 5", "Reed 2003": "-ln(sigma) > -17e-1 AND -ln(sigma) < 9e-1 AND z <= 15",
-    "Warren 2006": "log10(m) > 10 AND log10(m) < 15 AND z = 0", "Reed 2007": "-ln(sigma) > -17e-1 AND -ln(sigma) < 9e-1 AND z <= 30", "Tinker 2008": "-ln(sigma) > -6e-1 AND -ln(sigma) < 4e-1 AND z <= 25e-1",
-    "Crocce 2010": "log10(m) > 105e-1 AND log10(m) < 155e-1 AND z <= 2", "Courtin 2010": "-ln(sigma) > -8e-1 AND -ln(sigma) < 7e-1 AND z = 0", "Bhattacharya 2011": "log10(m) > 118e-1 AND log10(m) < 155e-1 AND z <= 2",
-    "Angulo 2012": "log10(m) > 8 AND log10(m) < 16 AND z = 0", "Watson FOF 2013": "-ln(sigma) > -55e-2 AND -ln(sigma) < 131e-2 AND z <= 30", "Watson SO 2013": "z <= 30",
+    "Press-Schechter 1974": "true", "Sheth-Tormen 2001": "true", "Jenkins 2001": "-ln(sigma) > -1.2e0 AND -ln(sigma) < 1.05e0 AND z <= 5", "Reed 2003": "-ln(sigma) > -1.7e0 AND -ln(sigma) < 0.9e0 AND z <= 15",
+    "Warren 2006": "log10(m) > 10 AND log10(m) < 15 AND z = 0", "Reed 2007": "-ln(sigma) > -1.7e0 AND -ln(sigma) < 0.9e0 AND z <= 30", "Tinker 2008": "-ln(sigma) > -0.6e0 AND -ln(sigma) < 0.4e0 AND z <= 2.5e0",
+    "Crocce 2010": "log10(m) > 10.5e0 AND log10(m) < 15.5e0 AND z <= 2", "Courtin 2010": "-ln(sigma) > -0.8e0 AND -ln(sigma) < 0.7e0 AND z = 0", "Bhattacharya 2011": "log10(m) > 11.8e0 AND log10(m) < 15.5e0 AND z <= 2",
+    "Angulo 2012": "log10(m) > 8 AND log10(m) < 16 AND z = 0", "Watson FOF 2013": "-ln(sigma) > -0.55e0 AND -ln(sigma) < 1.31e0 AND z <= 30", "Watson SO 2013": "z <= 30",
 }
 
 
@@ -388,7 +375,7 @@ def fit_dispatch(s, d):
     return rows.select("l_orderkey", "l_linenumber", "fit", rl(F.greatest(fits.multiplicity(c("sigma"), c("fit"), z=c("z")), F.lit(1e-300))).alias("ln_f"))
 
 
-@query(o.on("fx_run", " UNION ALL ".join(f"SELECT run_id, i, '{n}' AS fit, {o.rl('f')} AS ln_f FROM (SELECT run_id, i, {o.fit(n, 's', '(run_id % 3)*1e0')} AS f FROM (SELECT run_id, i, pow(1e1, -11e-1+i*19e-1/499e0) AS s FROM fx_run CROSS JOIN (SELECT unnest(range(500)) AS i) t) q) q2 WHERE f > 1e-250" for n in SHOWN_FITS)))
+@query(o.on("fx_run", " UNION ALL ".join(f"SELECT run_id, i, '{n}' AS fit, {o.rl('f')} AS ln_f FROM (SELECT run_id, i, {o.fit(n, 's', '(run_id % 3)*1e0')} AS f FROM (SELECT run_id, i, pow(10e0, -1.1e0+i*1.9e0/499e0) AS s FROM fx_run CROSS JOIN (SELECT unnest(range(500)) AS i) t) q) q2 WHERE f > 1e-250" for n in SHOWN_FITS)))
 def fit_atlas(s, d):
     rows = runs(s, d).select("run_id", (c("run_id") % 3).cast("double").alias("z"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(499).cast("bigint"))).alias("i")).withColumn("s", F.pow(F.lit(10.0), -1.1 + c("i") * 1.9 / 499.0))
     fan = F.explode(F.array(*[F.struct(F.lit(n).alias("fit"), fits.multiplicity(c("s"), n, z=c("z")).alias("f")) for n in SHOWN_FITS]))
@@ -412,7 +399,7 @@ def z_requests(s, d):
     return runs(s, d).select("run_id", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.7, 1.0, 1.5, 4.0, 99.0)])).alias("z"))
 
 
-Z_ASK = "ask AS (SELECT run_id, z FROM fx_run CROSS JOIN (VALUES (0e0), (25e-2), (5e-1), (7e-1), (1e0), (15e-1), (4e0), (99e0)) AS t(z))"
+Z_ASK = "ask AS (SELECT run_id, z FROM fx_run CROSS JOIN (VALUES (0e0), (0.25e0), (0.5e0), (0.7e0), (1e0), (1.5e0), (4e0), (99e0)) AS t(z))"
 
 
 @query(o.sql("fx_z", "SELECT ask.run_id, ask.z, arg_min(s.z, [abs(s.z-ask.z), s.z]) AS z_used FROM ask JOIN fx_z s ON ask.run_id = s.run_id GROUP BY ask.run_id, ask.z", Z_ASK))
@@ -587,7 +574,7 @@ def sorted_growth(s, d):
     return table(s, d, "fx_growth").orderBy("run_id", "z").select("run_id", "z", r8("growth").alias("growth"))
 
 
-P_AT = "pa AS (SELECT a.run_id, a.z, a.p + (b.p-a.p)/(b.k-a.k)*(1e-2-a.k) AS p FROM (SELECT run_id, z, max(k) AS k, arg_max(p, k) AS p FROM fx_power WHERE k <= 1e-2 GROUP BY ALL) a JOIN (SELECT run_id, z, min(k) AS k, arg_min(p, k) AS p FROM fx_power WHERE k > 1e-2 GROUP BY ALL) b USING (run_id, z)), fp AS (SELECT run_id, z, sqrt(p/max(CASE WHEN z = 0 THEN p END) OVER (PARTITION BY run_id)) AS f FROM pa)"
+P_AT = "pa AS (SELECT a.run_id, a.z, a.p + (b.p-a.p)/(b.k-a.k)*(0.01e0-a.k) AS p FROM (SELECT run_id, z, max(k) AS k, arg_max(p, k) AS p FROM fx_power WHERE k <= 0.01e0 GROUP BY ALL) a JOIN (SELECT run_id, z, min(k) AS k, arg_min(p, k) AS p FROM fx_power WHERE k > 0.01e0 GROUP BY ALL) b USING (run_id, z)), fp AS (SELECT run_id, z, sqrt(p/max(CASE WHEN z = 0 THEN p END) OVER (PARTITION BY run_id)) AS f FROM pa)"
 
 
 @query(o.sql("s8", f"SELECT run_id, z, {o.rl('sigma8')} AS ln_sigma8, {o.r8('growth')} AS growth, {o.r8('f')} AS from_power, {o.r8('f/growth-1e0')} AS difference FROM fp JOIN s8 USING (run_id, z) JOIN fx_growth USING (run_id, z)", P_AT))
@@ -689,12 +676,12 @@ for _mode, _sql in VALUES.items():
     query(o.sql("curves", f"SELECT metric, run_id, window_type, fit, z, {X_SQL} AS ln_x, {round_relative(_sql)} AS value FROM ba", COMPARED), f"compare_{_mode}")(_compared)
 
 
-@query(o.sql("curves", "SELECT metric, round(ln(greatest(quantile_cont(abs(v), 99e-2), 1e-4)), 6) AS ln_extent FROM (SELECT metric, " + VALUES["fractional"] + " AS v FROM ba) q GROUP BY metric", COMPARED))
+@query(o.sql("curves", "SELECT metric, round(ln(greatest(quantile_cont(abs(v), 0.99e0), 1e-4)), 6) AS ln_extent FROM (SELECT metric, " + VALUES["fractional"] + " AS v FROM ba) q GROUP BY metric", COMPARED))
 def residual_extent(s, d):
     return compare.residual_extent(compare.compare(compared_curves(s, d), BASELINE, "fractional")).select("metric", F.round(F.ln("extent"), 6).alias("ln_extent"))
 
 
-@query(o.sql("s8", f"SELECT run_id, name, run_id = 1 AS baseline, H0, Omega_m, Omega_b, A_s, n_s, enable_ede, 1e-1 AS f_EDE, -35e-1 AS log10_a_c, {o.r8('sigma8')} AS sigma8 FROM fx_run JOIN (SELECT run_id, sigma8 FROM s8 WHERE z = 0) q USING (run_id)"))
+@query(o.sql("s8", f"SELECT run_id, name, run_id = 1 AS baseline, H0, Omega_m, Omega_b, A_s, n_s, enable_ede, 0.1e0 AS f_EDE, -3.5e0 AS log10_a_c, {o.r8('sigma8')} AS sigma8 FROM fx_run JOIN (SELECT run_id, sigma8 FROM s8 WHERE z = 0) q USING (run_id)"))
 def compare_table(s, d):
     now = sigma.sigma8(power(s, d).filter("z = 0"), table(s, d, "fx_run")).select("run_id", "sigma8")
     return compare.compare_table(params.merge_defaults(runs(s, d)), now, BASELINE).withColumn("sigma8", r8("sigma8"))
@@ -733,7 +720,7 @@ def parse_redshifts(s, d):
     return table(s, d, "fx_event_text").select("event_id", numbers(values).alias("redshifts"), F.array_join(issues, " ").alias("issues"))
 
 
-@query(parsed_sql(f"SELECT event_id, {NUMBERS.format('list_sort(list_distinct(list_concat(vals, [0e0, 5e-1, 1e0, 2e0, 5e0, 1e1])))')} AS redshifts FROM v"))
+@query(parsed_sql(f"SELECT event_id, {NUMBERS.format('list_sort(list_distinct(list_concat(vals, [0e0, 0.5e0, 1e0, 2e0, 5e0, 10e0])))')} AS redshifts FROM v"))
 def combined_redshifts(s, d):
     values, _ = params.parse_redshifts("text")
     presets = F.array(*map(F.lit, REDSHIFTS))
@@ -747,8 +734,8 @@ def missing_redshifts(s, d):
 
 # --- names, ledger, fields -----------------------------------------------------------------------------------------
 
-PARTS = f"""list_filter([CASE WHEN abs(A_s-21e-10)/21e-10 > 3e-2 THEN CASE WHEN A_s > 21e-10 THEN 'High A_s' ELSE 'Low A_s' END END, CASE WHEN abs(n_s-965e-3) > 1e-2 THEN CASE WHEN n_s > 965e-3 THEN 'Blue Tilt' ELSE 'Red Tilt' END END,
-  CASE WHEN enable_ede THEN printf('EDE f%.2f zc%d', f_EDE, CAST(round(pow(1e1, -log10_a_c)-1e0) AS BIGINT)) END, CASE WHEN abs(Omega_m-{o.d(params.DEFAULTS['Omega_m'])}) > 15e-3 THEN printf('Omega_m %.3f', Omega_m) END], lambda x: x IS NOT NULL)"""
+PARTS = f"""list_filter([CASE WHEN abs(A_s-2.1e-9)/2.1e-9 > 0.03e0 THEN CASE WHEN A_s > 2.1e-9 THEN 'High A_s' ELSE 'Low A_s' END END, CASE WHEN abs(n_s-0.965e0) > 0.01e0 THEN CASE WHEN n_s > 0.965e0 THEN 'Blue Tilt' ELSE 'Red Tilt' END END,
+  CASE WHEN enable_ede THEN printf('EDE f%.2f zc%d', f_EDE, CAST(round(pow(10e0, -log10_a_c)-1e0) AS BIGINT)) END, CASE WHEN abs(Omega_m-{o.d(params.DEFAULTS['Omega_m'])}) > 0.015e0 THEN printf('Omega_m %.3f', Omega_m) END], lambda x: x IS NOT NULL)"""
 
 
 @query(o.on("fx_dirty", f"SELECT run_id, printf('Run %03d — ', run_id) || CASE WHEN len(p) = 0 THEN 'Baseline LCDM' WHEN len(p) <= 2 THEN list_aggregate(p, 'string_agg', ' + ') ELSE 'Custom Cosmology' END AS name FROM (SELECT run_id, {PARTS} AS p FROM m) q").replace(")\nSELECT", f"), {DIRTY}\nSELECT", 1))
@@ -789,7 +776,7 @@ def modes(s, d):
 
 
 WRAP = lambda q: f"(CASE WHEN ((p_partkey // {q}) % 8) >= 4 THEN ((p_partkey // {q}) % 8)-8e0 ELSE ((p_partkey // {q}) % 8)*1e0 END)"
-MODES = f"md AS (SELECT p_partkey AS mode_id, 2e0*pi()/200e0*sqrt({WRAP(64)}*{WRAP(64)}+{WRAP(8)}*{WRAP(8)}+{WRAP(1)}*{WRAP(1)}) AS kk, (p_partkey*37 % 101)/50e0-1e0 AS re, (p_partkey*53 % 97)/48e0-1e0 AS im FROM part WHERE p_partkey < 512), p0 AS (SELECT run_id, k, p, lead(k) OVER w AS k1, lead(p) OVER w AS p1 FROM fx_power WHERE z = 0 WINDOW w AS (PARTITION BY run_id ORDER BY k)), am AS (SELECT mode_id, run_id, pow(8e0/200e0, 15e-1)*sqrt(exp(ln(p)+(ln(p1)-ln(p))*(ln(kk)-ln(k))/(ln(k1)-ln(k))))*exp(-5e-1*pow(kk*4e0, 2)) AS a FROM md JOIN p0 ON kk > 0 AND kk >= k AND kk < k1)"
+MODES = f"md AS (SELECT p_partkey AS mode_id, 2e0*pi()/200e0*sqrt({WRAP(64)}*{WRAP(64)}+{WRAP(8)}*{WRAP(8)}+{WRAP(1)}*{WRAP(1)}) AS kk, (p_partkey*37 % 101)/50e0-1e0 AS re, (p_partkey*53 % 97)/48e0-1e0 AS im FROM part WHERE p_partkey < 512), p0 AS (SELECT run_id, k, p, lead(k) OVER w AS k1, lead(p) OVER w AS p1 FROM fx_power WHERE z = 0 WINDOW w AS (PARTITION BY run_id ORDER BY k)), am AS (SELECT mode_id, run_id, pow(8e0/200e0, 1.5e0)*sqrt(exp(ln(p)+(ln(p1)-ln(p))*(ln(kk)-ln(k))/(ln(k1)-ln(k))))*exp(-0.5e0*pow(kk*4e0, 2)) AS a FROM md JOIN p0 ON kk > 0 AND kk >= k AND kk < k1)"
 
 
 @query(o.sql("fx_power", f"SELECT mode_id, r.run_id, {o.r8('re*coalesce(a, 0e0)')} AS re, {o.r8('im*coalesce(a, 0e0)')} AS im FROM md CROSS JOIN (SELECT run_id FROM fx_run) r LEFT JOIN am USING (mode_id, run_id)", MODES))
@@ -818,7 +805,7 @@ def field_stats(s, d):
     return rows.select("run_id", *[r8(x).alias(x) for x in rows.columns[1:]])
 
 
-@query(CELLS + f"SELECT run_id, {o.r8('greatest(quantile_cont(abs(delta/rms), 995e-3), 1e0)')} AS scale_extent, {o.r8('greatest(quantile_cont(abs((delta-bd)/rms), 995e-3), 1e-4)')} AS difference_extent FROM f GROUP BY run_id")
+@query(CELLS + f"SELECT run_id, {o.r8('greatest(quantile_cont(abs(delta/rms), 0.995e0), 1e0)')} AS scale_extent, {o.r8('greatest(quantile_cont(abs((delta-bd)/rms), 0.995e0), 1e-4)')} AS difference_extent FROM f GROUP BY run_id")
 def field_extent(s, d):
     rows = field.field_extent(field.field_normalize(cells(s, d), 1))
     return rows.select("run_id", r8("scale_extent").alias("scale_extent"), r8("difference_extent").alias("difference_extent"))

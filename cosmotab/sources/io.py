@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cosmotab.functions import cosmology as cos
-from cosmotab.operators.params import safe_stem
+from cosmotab.operators.params import plain_number, safe_stem
 from cosmotab.sources.schemas import RUN
 
 #: The products of a run.
 PRODUCTS = ("params.json", "derived.json", "class_settings.json", "power_spectrum.csv", "sigma.csv", "hmf.csv", "run_summary.md")
-#: The two header versions of an exported sigma curve; run folders are named run_id=ID.
+#: The two header versions of an exported sigma curve.
 SIGMA_HEADERS = {
     "new": ("M_h_hinv_Msun", "M_Msun", "R_Mpc", "sigma", "dlnsigma_dlnM"),
     "old": ("M_h_inv_Msun", "M_Msun", "R_Mpc", "sigma", "dlnsigma_dlnM", "window_type"),
 }
+#: The header of an exported mass function.
+HMF_HEADER = ("M_h_inv_Msun", "hmf_press_schechter_z0", "hmf_sheth_tormen_z0", "cumulative_press_schechter_z0", "cumulative_sheth_tormen_z0")
 BUCKETS = 64
 
 
@@ -78,16 +80,22 @@ def export_sigma_wide(sigma: DataFrame, zs: list[float]) -> DataFrame:
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    """A CSV dataset with headers, one folder a run."""
-    table.repartition("run_id").write.mode("overwrite").option("header", True).partitionBy("run_id").csv(path)
+    """A CSV dataset with headers in BUCKETS folders by hashed run_id, a bounded number of files however many runs there are;
+    run_id is the first column."""
+    rows = table.select("run_id", *[x for x in table.columns if x != "run_id"]).withColumn("bucket", F.pmod(F.hash("run_id"), F.lit(BUCKETS)))
+    rows.repartition("bucket").write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A dataset that write_csv() wrote: run_id and the other columns (DDL), in order."""
+    return spark.read.schema(f"run_id bigint, {columns}").option("header", True).csv(path, recursiveFileLookup=True)
 
 
 def import_sigma(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Exported sigma curves of both header versions as one table; run_id comes from the folder. Missing columns are null."""
+    """Exported sigma curves of both header versions as one table. Missing columns are null."""
     parts = []
     for header, path in paths.items():
-        schema = ", ".join(f"`{n}` {'string' if n == 'window_type' else 'double'}" for n in SIGMA_HEADERS[header])
-        rows = spark.read.schema(schema).option("header", True).csv(path, recursiveFileLookup=True).withColumn("run_id", F.regexp_extract(F.input_file_name(), "run_id=([^/]+)", 1).cast("bigint"))
+        rows = read_csv(spark, path, ", ".join(f"`{n}` {'string' if n == 'window_type' else 'double'}" for n in SIGMA_HEADERS[header]))
         renamed = dict(zip(SIGMA_HEADERS[header], ("m_h", "m", "r", "sigma", "dlns", "window_type"), strict=False))
         parts.append(rows.withColumnsRenamed(renamed).withColumn("header", F.lit(header)))
     out = parts[0]
@@ -96,6 +104,11 @@ def import_sigma(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def import_hmf(spark: SparkSession, path: str) -> DataFrame:
+    """Exported mass functions and tails of both analytic fits."""
+    return read_csv(spark, path, ", ".join(f"`{n}` double" for n in HMF_HEADER))
+
+
 def export_completeness(runs: DataFrame, produced: DataFrame) -> DataFrame:
     """run_id, file, present for each run and each of the expected products; produced lists (run_id, file)."""
     expected = runs.select("run_id", F.explode(F.array(*map(F.lit, PRODUCTS))).alias("file"))
@@ -103,13 +116,16 @@ def export_completeness(runs: DataFrame, produced: DataFrame) -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """run_id, stem (for its file) and summary: the reproducibility text of each run, Markdown."""
-    c = F.col
+    """run_id, stem (for its file) and summary: the reproducibility text of each run, Markdown, with its notes' bullets
+    (column bullets, an array of texts; null or missing: none). The sentences are fixed values."""
+    c, n = F.col, plain_number
+    bullets = F.coalesce("bullets", F.array().cast("array<string>")) if "bullets" in runs.columns else F.array().cast("array<string>")
     text = F.concat_ws(
         "\n", F.concat(F.lit("# "), c("name")), F.lit(""), F.trim(F.coalesce("notes", F.lit(""))), F.lit(""), F.lit("## Reproducibility"), F.lit(""),
         F.concat(F.lit("- Backend: "), F.coalesce("class_status", F.lit("UNKNOWN"))),
-        F.format_string("- k range: %.5f to %.1f Mpc^-1", c("k_min"), c("k_max")), F.format_string("- k samples: %d", c("k_points")),
-        F.format_string("- mass range: 10^%.1f to 10^%.1f h^-1 Msun", c("mass_min_exp"), c("mass_max_exp")), F.format_string("- mass samples: %d", c("mass_points")),
-        F.concat(F.lit("- window: "), c("window_type")), F.lit("- integration: log-k Simpson rule on the sampled grid"),
+        F.concat(F.lit("- k range: "), n(c("k_min")), F.lit(" to "), n(c("k_max")), F.lit(" Mpc^-1")), F.format_string("- k samples: %d", c("k_points")),
+        F.concat(F.lit("- mass range: 10^"), n(c("mass_min_exp")), F.lit(" to 10^"), n(c("mass_max_exp")), F.lit(" h^-1 Msun")), F.format_string("- mass samples: %d", c("mass_points")),
+        F.concat(F.lit("- window: "), c("window_type")), F.lit("- integration: log-k Simpson rule on the sampled grid"), F.lit(""), F.lit("## Notes"),
     )
-    return runs.select("run_id", safe_stem(c("name")).alias("stem"), F.concat(text, F.lit("\n")).alias("summary"))
+    listed = F.when(F.size(bullets) > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform(bullets, lambda b: F.concat(F.lit("- "), b)), "\n"))).otherwise("")
+    return runs.select("run_id", safe_stem(c("name")).alias("stem"), F.concat(text, listed, F.lit("\n")).alias("summary"))

@@ -1,6 +1,7 @@
 """Ledger operations, comparison with a baseline, fields, files."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,48 @@ def test_validation(spark):
     assert [r.run_id for r in good.collect()] == [3]
     assert {r.run_id: len(r.violations) for r in rejected.collect()} == {1: 1, 2: 1}
     assert {(r.run_id, r.param) for r in params.range_audit(bad).collect()} == {(1, "Omega_b"), (2, "k_min")}
+
+
+def test_one_name_on_very_many_runs(spark):
+    n = 50_000
+    rows = spark.range(n).select(F.col("id").alias("run_id"), F.lit(" Baseline  LCDM").alias("name"), F.timestamp_seconds(F.col("id") * 600).alias("created_at"))
+    taken = spark.createDataFrame([(f"Baseline LCDM ({k})",) for k in (3, 4, 9, 70_000)] + [("other (2)",)], "name string")
+    names = {r.run_id: r.unique_name for r in ledger.unique_names(rows, taken).collect()}
+    free = (k for k in range(2, n + 10) if k not in (3, 4, 9))
+    assert names == {0: "Baseline LCDM", **{i: f"Baseline LCDM ({next(free)})" for i in range(1, n)}}
+
+
+def test_names_that_others_want_and_odd_rows(spark):
+    rows = [(1, "a", 1), (2, "a", 2), (3, "a (2)", 3), (4, "a", 4), (5, None, None), (6, " ", 5), (7, "a (2)", 6), (8, "a (02)", 7)]
+    df = spark.createDataFrame(rows, "run_id bigint, name string, s bigint").select("run_id", "name", F.timestamp_seconds("s").alias("created_at"))
+    names = {r.run_id: r.unique_name for r in ledger.unique_names(df).collect()}
+    assert names == {1: "a", 2: "a (3)", 3: "a (2)", 4: "a (4)", 5: "Untitled run", 6: "Untitled run (2)", 7: "a (2) (2)", 8: "a (02)"}
+    assert ledger.unique_names(df.limit(0)).count() == 0
+
+
+def test_quantile_equals_percentile(spark):
+    rng = random.Random(1)
+    rows = [(m, rng.choice([0.0, 1.0, rng.random() * 10 ** rng.randrange(-9, 9)]) if rng.random() > 0.1 else None) for m in "aab" for _ in range(rng.randrange(1, 400))] + [("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "m string, v double")
+    for share in (0.5, 0.99):
+        want = {r.m: r.p for r in df.groupBy("m").agg(F.percentile("v", F.lit(share)).alias("p")).collect()}
+        got = {r.m: r.p for r in compare.quantile(df, ["m"], "v", share, "p").collect()}
+        assert got.keys() == {"a", "b", "c"} and all(abs(got[m] - want[m]) <= 1e-12 * abs(want[m]) for m in got)
+    assert {r.metric: r.extent for r in compare.residual_extent(df.select(F.col("m").alias("metric"), F.col("v").alias("value"))).collect()}["d"] == 1e-4
+
+
+@pytest.mark.parametrize("bound", [200_000, 1])
+def test_a_thousand_runs_of_one_curve(spark, monkeypatch, bound):
+    monkeypatch.setattr(compare, "BROADCAST_ROWS", bound)
+    curves = spark.range(1000 * 8).select(
+        F.lit("P(k)").alias("metric"), F.expr("id div 8").alias("run_id"), F.lit("").alias("window_type"), F.lit("").alias("fit"), F.lit(0.0).alias("z"),
+        (F.col("id") % 8 + 1.0).alias("x"), (F.expr("id div 8") + 1.0).alias("y"),
+    )
+    rows = compare.compare(curves, 4, "ratio").collect()
+    assert len(rows) == 8000 and all(abs(r.value - (r.run_id + 1) / 5) < 1e-9 for r in rows)
+
+
+def test_nearest_z_answers_from_the_samples_alone(spark):
+    ask = spark.createDataFrame([(1, 0.4, 99.0)], "run_id bigint, z double, z_used double")
+    samples = spark.createDataFrame([(1, 0.0), (1, 0.5)], "run_id bigint, z double")
+    assert [r.z_used for r in compare.nearest_z(ask, samples).collect()] == [0.5]
