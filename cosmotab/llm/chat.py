@@ -24,10 +24,13 @@ def perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 
     Turns order by number (nulls first), then speaker and text; equal rows are rendered each, one after the other. A null
     text is empty, a null speaker is `unknown`, a null conversation id is one conversation; a conversation of system
-    turns alone has no participant and no row. `<|` in a text or name becomes `< |`, so no text can forge a mark.
+    turns alone has no participant and no row. `<|` in a text or name becomes `< |`, so no text can forge a mark. Texts of
+    any length are kept whole; an empty table gives an empty result; other columns of turns, of any name, aren't read.
 
-    A dialogue never meets in one row or task: places come from running sums inside blocks of turn numbers plus the sums
-    of the blocks before, so one conversation may hold any share of the rows. The text is shuffled once.
+    A dialogue never meets in one row: places come from running sums inside blocks of BLOCK turn numbers plus the sums of
+    the blocks before, so a conversation of numbered turns may hold any share of the rows. Turns of one conversation
+    without a number, or with the same one, are ordered by one task, which sorts them and spills. The text is shuffled
+    twice: to meet the participants, and with each of them for the order inside the blocks.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     t = turns.select(

@@ -1,42 +1,19 @@
-"""Helpers that the corpus operators share: shared-folder tables, batch-wise text functions, row hashes."""
+"""Helpers that the corpus operators share: stored tables, batch-wise text functions, row hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); on a local master without one, a temporary folder."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and (own := sc._jsc.sc().getCheckpointDir()).isDefined():
-        named = own.get()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named := tempfile.mkdtemp(prefix="spark-shared-"))
-    return named.rstrip("/")
-
+from cosmotab.sources.shared import stored as written  # noqa: F401
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read again: it cuts the lineage and outlives lost executors.
-
-    All tables of an application lie in one folder of its id, to be removed after it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SLICE_BYTES = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:

@@ -183,8 +183,9 @@ def decontaminate(
     n_hit counts the words inside any occurrence of a window of `window` consecutive words of an item (a shorter item is
     one window); items are the ids, as text, of items with such windows; spans are the hit stretches as code points of
     the original text, end exclusive. Null and empty texts have no words and no hits; an item with null or wordless text
-    has no window; a null item id counts as the text 'null', and items of one id as one item. Repeated rows are judged
-    one by one.
+    has no window; a null item id counts as the text 'null', and items of one id as one item. Texts of any length are
+    scanned whole; repeated rows are judged one by one, overlapping and equal windows (ties) each count for their items;
+    an empty table gives an empty result, an empty benchmark no hits; carried columns of any name stay apart in the struct.
 
     A benchmark of up to block_bytes of text is broadcast, and this is a narrow map over docs: nothing is shuffled. A
     larger one is written as a table in blocks of about block_bytes (an item is never split). Each block in turn is

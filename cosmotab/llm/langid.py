@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cosmotab.llm.common import map_texts, slices, utf8_view
+from cosmotab.llm.common import map_texts, slices, utf8_view, written
 
 #: Bound of the fit: about this many labelled documents of each language are read for it.
 FIT_DOCS_PER_LANGUAGE = 4000
@@ -20,7 +21,7 @@ PROBES = 3
 #: A language holds an n-gram that it uses at least 1 / RATIO as often as the language that uses it most.
 RATIO = 3.0
 MIN_COUNT = 3
-#: Most n-grams a language may put into its filter: the most frequent ones.
+#: Most n-grams of a language that the fit takes up: its own most frequent ones, whatever other languages have.
 MAX_GRAMS = 200_000
 UNDETERMINED = "und"
 #: Text whose n-grams a task holds at once: they take some fifty times that.
@@ -124,9 +125,11 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(key >> 32, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     used = sample.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    used = written(used)
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    most = used.filter(F.col("n") >= MIN_COUNT).withColumn("place", place).filter(F.col("place") <= MAX_GRAMS).select("gram").distinct()
     by_lang = [F.sum(F.when(F.col("lang") == k, F.col("n"))).alias(f"n{k}") for k in range(len(languages))]
-    wide = used.groupBy("gram").agg(*by_lang).filter(" or ".join(f"n{k} >= {MIN_COUNT}" for k in range(len(languages))))
-    table = wide.orderBy(F.desc(F.greatest(*[f"n{k}" for k in range(len(languages))], F.lit(0))), "gram").limit(MAX_GRAMS * len(languages)).toPandas()
+    table = used.join(most, "gram", "left_semi").groupBy("gram").agg(*by_lang).toPandas()
     gram = table["gram"].to_numpy(np.int64).astype(np.uint32)
     n = np.nan_to_num(table[[f"n{k}" for k in range(len(languages))]].to_numpy(float))
     rate = n / np.maximum(1, n.sum(axis=0))
@@ -147,8 +150,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", carry: li
 
     score is the share of the n-grams, corrected for false positives, that speak for the winner; ties go to the first
     language in order. Null texts and texts without a letter are `und` with score 0; a text with letters but no known
-    n-gram gets the most frequent language with its share of the documents. Repeated rows get the same answer; a model
-    fitted on an empty table calls everything `und`. A narrow map: no shuffle; the filters (bounded by MAX_GRAMS for
+    n-gram gets the most frequent language with its share of the documents. Texts of any length count whole; repeated
+    rows get the same answer; an empty table gives an empty result, and a model fitted on one calls everything `und`;
+    carried columns of any name stay apart in the struct. A narrow map: no shuffle; the filters (bounded by MAX_GRAMS for
     each language) are broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -162,7 +162,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, chunks: int) -> DataFrame:
-    """doc, n (set size), node (key of the whole set), sig (LANES lanes) and keys (of the index) of each row."""
+    """doc, text_hash, n (set size), node (key of the whole set), sig (LANES lanes) and keys (of the index) of each row."""
 
     def make():
         def work(texts: pa.Array) -> list:
@@ -178,8 +178,9 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, k: int, chunks: i
 
         return work
 
-    made = map_texts(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", make, "n bigint, node binary, sig binary, keys array<bigint>", ["doc"], budget=1 << 20)
-    return made.select("row.doc", "n", "node", "sig", "keys")
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    made = map_texts(rows, "text", make, "n bigint, node binary, sig binary, keys array<bigint>", ["doc", "text_hash"], budget=1 << 20)
+    return made.select("row.doc", "row.text_hash", "n", "node", "sig", "keys")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -352,7 +353,8 @@ def _links(t: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc, n_shingles and component (smallest id reachable over links, itself included), one row per row of docs.
+    """doc, text_hash (xxhash64 of the text), n_shingles and component (smallest id reachable over links, itself included),
+    one row per row of docs.
 
     Documents are linked if den * |intersection| >= num * |union| of their sets of distinct k-word shingles (a text with
     fewer words is one shingle). Null, empty and blank texts have empty sets and are linked with nothing; a null id takes
@@ -408,5 +410,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         of_set = of_set.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label"))
     least = of_set.groupBy("label").agg(F.min("doc").alias("component"))
     by_set = of_set.join(least, "label").select("node", "component")
-    out = sigs.filter("n > 0").select("doc", "n", "node").join(by_set, "node", "left").unionByName(sigs.filter("n = 0").select("doc", "n", "node"), allowMissingColumns=True)
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
+    slim = ["doc", "text_hash", "n", "node"]
+    out = sigs.filter("n > 0").select(*slim).join(by_set, "node", "left").unionByName(sigs.filter("n = 0").select(*slim), allowMissingColumns=True)
+    return out.select("doc", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))

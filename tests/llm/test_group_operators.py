@@ -129,21 +129,16 @@ def brute_lines(docs, least):
     """A line goes if it lies in a run of `least` words or more that equals a run further up or in an earlier document."""
     seqs = {d: [(n, tuple(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for d, t in docs if t is not None}
     gone = {d: set() for d, _ in docs}
-    order = sorted(seqs)
-    for d in order:
-        for e in order:
-            if e > d:
-                break
-            a, b = seqs[d], seqs[e]
-            for i in range(len(a)):
-                for j in range(len(b)):
-                    if e == d and j >= i:
-                        continue
-                    n = 0
-                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
-                        n += 1
-                    if n and sum(len(a[i + x][1]) for x in range(n)) >= least:
-                        gone[d] |= {a[i + x][0] for x in range(n)}
+    places = {}  # of each line, in order of documents and lines
+    for d in sorted(seqs):
+        for i, (_, line) in enumerate(seqs[d]):
+            for e, j in places.get(line, []):
+                a, b, n = seqs[d], seqs[e], 0
+                while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                    n += 1
+                if sum(len(a[i + x][1]) for x in range(n)) >= least:
+                    gone[d] |= {a[i + x][0] for x in range(n)}
+            places.setdefault(line, []).append((d, i))
     for d, seq in seqs.items():
         for (p, _), (q, _) in zip(seq, seq[1:], strict=False):
             if p in gone[d] and q in gone[d]:
@@ -162,6 +157,30 @@ def test_line_dedup_equals_brute_force(spark):
         assert all(r.cuts == "x" for r in rows) and len(rows) == len(docs)
 
 
+def test_one_text_of_very_many_lines(spark):
+    rng = random.Random(2)
+    pool = [f"{rng.randrange(10**9)} x" for _ in range(3000)]
+    body = [rng.choice(pool) for _ in range(100_000)]
+    again = [x for k in range(0, 99_000, 1000) for x in [f"only {k}", *body[k : k + 40]]]  # 99 repeated runs of 80 words
+    df = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(again))], "doc_id bigint, text string")
+    rows = {r.row.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert rows[2].new_text == "\n".join(f"only {k}" for k in range(0, 99_000, 1000)) and rows[2].n_removed == 99 * 40
+    assert rows[1].n_removed < 100_000 and rows[1].n_lines == 100_000
+
+
+def test_fingerprints_are_few_and_equal_runs_share_one():
+    rng = np.random.default_rng(4)
+    size, digest = rng.integers(1, 20, 3000), rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    size[2000:2100], digest[2000:2100] = size[500:600], digest[500:600]
+    found = lines.fingerprints(size, digest, 50)
+    at = {line for line, _, _ in found}
+    assert len(at) < 0.6 * len(size) and all(i <= line <= j for line, i, j in found)
+    for begin in range(500, 590):
+        end = begin + int(np.searchsorted(np.cumsum(size[begin:600]), 50))
+        if end < 600:  # every window of the run, and its copy, hold a fingerprint in the same place
+            assert {x - begin for x in at if begin <= x <= end} & {x - begin - 1500 for x in at if begin + 1500 <= x <= end + 1500}
+
+
 def test_line_dedup_edge_rows(spark):
     long = "w " * 60
     rows = [(1, long), (1, long), (2, f"head\n{long}\ntail"), (None, "x"), (3, f"{long}\n{long}"), (4, "short\nshort")]
@@ -219,6 +238,35 @@ def test_perspectives(spark):
         assert place == len(whole)
 
 
+def test_perspectives_of_an_empty_table(spark):
+    assert chat.perspectives(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, one id with several texts, clashing names, very long texts and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["th", "er", "an", "on", "tion"]) for _ in range(rng.randrange(1, 4)))
+    a, b = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(40))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(1, a), (5, f"{a} end"), (5, b), (7, b), (7, b), (None, f"{a} more"), (None, None), (8, None), (8, ""), (9, long)]
+    schema = "doc_id bigint, text string, lang string, row string, node string, component string, cuts string, n_words string, _doc string"
+    df = spark.createDataFrame([(*r, "en", *"abcdef") for r in rows], schema)
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, df, str(tmp_path))
+        found[name] = sorted(((r.doc_id, r.text) if "text" in r else (r.doc_id, r.n_tokens) for r in made.collect()), key=str)
+        assert name == "bpe" or made.columns == df.columns
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    texts = [r for r in rows if r[1]]
+    assert found["language_id"] == sorted(texts, key=str)
+    assert found["line_dedup"] == found["decontamination"] == sorted(rows, key=str)
+    assert found["near_dedup"] == sorted([r for r in rows if r not in ((5, f"{a} end"), (7, b))], key=str)
+    assert len(found["bpe"]) == len(rows) and all(n == 0 for _, n in found["bpe"] if n is not None and n == 0)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
     from cosmotab.llm import stages
