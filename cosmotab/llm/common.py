@@ -83,6 +83,13 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The public splitmix64 finaliser of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def span_of(offsets: np.ndarray) -> np.ndarray:
     """For each byte of a batch, the index of its text."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cosmotab.llm.common import map_texts, slices, utf8_view, written
+from cosmotab.llm.common import map_texts, mix64, slices, utf8_view, written
 
 #: Bound of the fit: about this many labelled documents of each language are read for it.
 FIT_DOCS_PER_LANGUAGE = 4000
@@ -21,7 +21,8 @@ PROBES = 3
 #: A language holds an n-gram that it uses at least 1 / RATIO as often as the language that uses it most.
 RATIO = 3.0
 MIN_COUNT = 3
-#: Most n-grams of a language that the fit takes up: its own most frequent ones, whatever other languages have.
+#: Most n-grams of a language that the fit takes up: its own most frequent ones, whatever other languages have (of a count
+#: that would go beyond it, none).
 MAX_GRAMS = 200_000
 UNDETERMINED = "und"
 #: Text whose n-grams a task holds at once: they take some fifty times that.
@@ -50,10 +51,12 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probes(gram: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """PROBES slots of a filter of 2 ** bits slots for each n-gram (multiply-shift hashing)."""
-    wide = gram.astype(np.uint64)
+    """PROBES slots of a filter of 2 ** bits slots for each n-gram, by double hashing of a well mixed hash: slots that went
+    together would be false together more often than the correction takes off."""
+    first = mix64(gram.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    step = mix64(first) | np.uint64(1)
     for k in range(PROBES):
-        yield (((wide + np.uint64(0x9E37 * (k + 1))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x1234567 * k)) >> np.uint64(64 - bits)).astype(np.int64)
+        yield ((first + np.uint64(k) * step) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
@@ -126,8 +129,17 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     used = sample.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     used = written(used)
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    most = used.filter(F.col("n") >= MIN_COUNT).withColumn("place", place).filter(F.col("place") <= MAX_GRAMS).select("gram").distinct()
+    # each language's own least count, so that at most MAX_GRAMS of its n-grams have it or more: from how many have each count
+    cut = dict.fromkeys(range(len(languages)), MIN_COUNT)
+    taken: Counter = Counter()
+    for lang, n, many in sorted(used.filter(F.col("n") >= MIN_COUNT).groupBy("lang", "n").count().collect(), key=lambda r: (r[0], -r[1])):
+        taken[lang] += many
+        if taken[lang] > MAX_GRAMS and cut[lang] <= n:
+            cut[lang] = n + 1
+    least = F.lit(MIN_COUNT)
+    for lang, n in cut.items():
+        least = F.when(F.col("lang") == lang, n).otherwise(least)
+    most = used.filter(F.col("n") >= least).select("gram").distinct()
     by_lang = [F.sum(F.when(F.col("lang") == k, F.col("n"))).alias(f"n{k}") for k in range(len(languages))]
     table = used.join(most, "gram", "left_semi").groupBy("gram").agg(*by_lang).toPandas()
     gram = table["gram"].to_numpy(np.int64).astype(np.uint32)

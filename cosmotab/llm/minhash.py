@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts, utf8_view, written
+from cosmotab.llm.common import mix64 as _mix
 
 LANES = 64
 CHUNK = 4
@@ -40,13 +41,6 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The public splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _power(name: str, base: int, n: int) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)

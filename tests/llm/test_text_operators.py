@@ -166,6 +166,18 @@ def test_ngram_filters_hold_all_their_languages():
     for slot in langid.probes(gram, 14):
         inside &= table[slot] > 0
     assert inside[:500].all() and inside[500:].mean() < 0.05
+    # of like n-grams, too, as many are false as the correction assumes
+    letters = np.frombuffer(b" etaoinsh", np.uint8).astype(np.uint32)
+    rng = np.random.default_rng(0)
+    like = np.unique(sum(rng.choice(letters, 40_000) << np.uint32(8 * i) for i in range(4)).astype(np.uint32))
+    rng.shuffle(like)
+    for n, bits in ((100, 10), (800, 13)):
+        held, found = np.zeros(1 << bits, bool), np.ones(len(like) - n, bool)
+        for slot in langid.probes(like[:n], bits):
+            held[slot] = True
+        for slot in langid.probes(like[n:], bits):
+            found &= held[slot]
+        assert abs(found.mean() - held.mean() ** langid.PROBES) < 0.006
 
 
 def public_unigram(vocabulary, byte_fallback=True):
