@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter as Counts
+from collections.abc import Callable
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -14,18 +17,21 @@ from pyspark.sql import functions as F
 from cosmotab.llm.common import map_texts
 
 SPACE = "▁"
-#: Words that a worker remembers at most with their counts.
+#: Words that a worker counts at most before it tokenizes them, and that each generation of its memory holds.
 CACHE_WORDS = 400_000
 #: What the public tokenizer takes off the lowest score for a character without a piece.
 UNKNOWN_PENALTY = 10.0
 _UNITS = regex.compile(r"[^\p{White_Space}▁]+|▁[^\p{White_Space}▁]*")
+#: What str.split() takes for white space though it isn't, and the mark.
+_APART = regex.compile(r"[\x1c-\x1f▁]")
 
 
 def units(text: str) -> list[str]:
-    """What is segmented by itself: words between white space, led by a space mark; marks of the text's own split it too."""
-    if SPACE not in text and text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [SPACE + w for w in text.split()]
-    return [u if u[0] == SPACE else SPACE + u for u in _UNITS.findall(text)]
+    """What is segmented by itself, without its leading space mark: words between white space; marks of the text's own
+    split it too."""
+    if not _APART.search(text):
+        return text.split()
+    return [u.removeprefix(SPACE) for u in _UNITS.findall(text)]
 
 
 def read_pieces(model_file: str) -> list[str]:
@@ -56,9 +62,10 @@ def estimate(docs: DataFrame, model_file: str, *, text_col: str = "text") -> lis
         words: Counts = Counts()
 
         def spend() -> None:
-            each = list(words)
-            for n, ids in zip(words.values(), sp.encode(each, num_threads=1), strict=True):
-                np.add.at(total, ids, n)
+            made = sp.encode(list(words), num_threads=1)
+            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, made), np.int64, len(made)))
+            ids = np.fromiter(chain.from_iterable(made), np.int64, len(times))
+            total[:] += np.bincount(ids, times, len(total)).astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -77,6 +84,23 @@ def estimate(docs: DataFrame, model_file: str, *, text_col: str = "text") -> lis
     return list(zip(pieces, np.log(n / n.sum()).tolist(), strict=True))
 
 
+class Memory(dict):
+    """Results of a function of a word. Of the words beyond `limit` those that came up again since the last `limit` new ones stay."""
+
+    def __init__(self, made: Callable[[str], tuple[int, float]], limit: int):
+        self.made, self.limit, self.older = made, limit, {}
+
+    def __missing__(self, word: str) -> tuple[int, float]:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        one = self.older.get(word)
+        if one is None:
+            one = self.made(word)
+        self[word] = one
+        return one
+
+
 class Counter:
     """Best score and piece count of units, by the rules of the public unigram tokenizer with byte fallback.
 
@@ -93,45 +117,46 @@ class Counter:
             self.trie.make_automaton()
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.cache: dict[str, tuple[int, float]] = {}
-        self.cache_words = cache_words
+        self.memory = Memory(self.count, cache_words)
 
     def count(self, unit: str) -> tuple[int, float]:
-        """Piece count and score of one unit. Memory grows with its length, time too: a piece ends where its match does,
-        and no more of them end at one place than the longest piece has letters."""
+        """Piece count and score of one unit, given without its space mark. Memory grows with its length, time too: a piece
+        ends where its match does, and no more of them end at one place than the longest piece has letters."""
+        unit = SPACE + unit
         n = len(unit)
-        best, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        found = self.trie.iter(unit) if len(self.trie) else iter(())
+        # Of the path to each letter, that letter included; the last place, of index -1 too, is the path to nothing.
+        best, pieces = [-math.inf] * n + [0.0], [0] * (n + 1)
+        unknown = [] if self.single.issuperset(unit) else [i for i, c in enumerate(unit) if c not in self.single]
+        if len(self.trie):
+            found = self.trie.iter(unit)
+            if not unknown:  # then a piece ends at each letter
+                for at, (length, score) in found:  # at one end the longest comes first
+                    total = best[at - length] + score
+                    if total > best[at]:
+                        best[at], pieces[at] = total, pieces[at - length] + 1
+                return pieces[n - 1], best[n - 1]
+        else:
+            found = iter(())
         end, match = next(found, (n, None))
+        gaps = set(unknown)
         for at in range(n):
-            top, many = None, 0
-            while end == at:  # at one end the longest comes first
+            while end == at:
                 length, score = match
-                total = best[at + 1 - length] + score
-                if top is None or total > top:
-                    top, many = total, pieces[at + 1 - length] + 1
+                total = best[at - length] + score
+                if total > best[at]:
+                    best[at], pieces[at] = total, pieces[at - length] + 1
                 end, match = next(found, (n, None))
-            if unit[at] not in self.single:
-                total = best[at] + self.unknown
-                if top is None or total > top:
-                    top, many = total, pieces[at] + len(unit[at].encode())
-            best[at + 1], pieces[at + 1] = top, many
-        return pieces[n], best[n]
+            if at in gaps:
+                total = best[at - 1] + self.unknown
+                if total > best[at]:
+                    best[at], pieces[at] = total, pieces[at - 1] + len(unit[at].encode())
+        return pieces[n - 1], best[n - 1]
 
     def of_text(self, text: str) -> tuple[int, int, float]:
         """Units, pieces and score of a text."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         found = units(text)
-        cache = self.cache
-        total, score = 0, 0.0
-        for u in found:
-            one = cache.get(u)
-            if one is None:
-                one = cache[u] = self.count(u)
-            total += one[0]
-            score += one[1]
-        return len(found), total, score
+        each = list(map(self.memory.__getitem__, found))
+        return len(found), sum(n for n, _ in each), sum(s for _, s in each)
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -231,8 +231,17 @@ def test_unigram_score_is_the_best():
     pieces = unigram.read_pieces(tokenizer_path("piece_bpe_32k.model"))
     vocabulary = [(p, -float(np.log(i + 2))) for i, p in enumerate(pieces)]
     counter = unigram.Counter(vocabulary)
-    for unit in ("▁the", "▁Thereupon", "▁éclair", "▁x1y2", "▁日本語"):
-        assert counter.count(unit)[1] == brute_best(counter, vocabulary, unit)
+    for unit in ("the", "Thereupon", "éclair", "x1y2", "日本語", "", "▁"):
+        assert counter.count(unit)[1] == brute_best(counter, vocabulary, "▁" + unit)
+    few = unigram.Counter(vocabulary, cache_words=3)  # forgetting changes no count
+    text = " ".join(["the", "idea", "of", "é日", "the", "thing", "x1y2", "of", "idea"] * 3)
+    assert few.of_text(text) == counter.of_text(text) == few.of_text(text)
+
+
+def test_units_split_where_the_public_rule_does():
+    for code in [*range(0x3100), *range(0xFE00, 0x10000)]:
+        text = f"a{chr(code)}b"
+        assert unigram.units(text) == [u.removeprefix("▁") for u in unigram._UNITS.findall(text)], hex(code)
 
 
 BASE = {
