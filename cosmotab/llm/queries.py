@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmotab.llm import ann, bpe, chat, common, decontam, langid, lines, minhash, pii, toxicity, unigram
+from cosmotab.llm import align, ann, audit, bpe, chat, common, decontam, fingerprints, langid, lines, minhash, pii, toxicity, unigram
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Its pieces are the unigram vocabulary; their log probabilities are those of the documents.
@@ -92,12 +92,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align(docs, tokenizer_path(), tokenizer_path(PIECES), carry=["doc_id"], digests=True)
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cells, letters = audit.mask_cells(docs, table(spark, sf_dir, "labels"))
+    return audit.interactions(common.written(cells), letters)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_perspectives, op2_minhash, op3_line_dedup, op4_token_counts, op5_pii, op6_language_id, op7_nearest_neighbours, op8_bpe, op9_toxicity, op10_decontamination,
+        op11_alignment, op12_fingerprints, op13_filter_audit,
     )
 }
 
 #: The others can't be written as SQL; tests hold them against brute force, public libraries or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op13_filter_audit": audit.SQL}
