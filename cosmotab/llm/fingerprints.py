@@ -26,11 +26,12 @@ LANES = 128
 DIGITS = 3
 #: Longer runs without white space are taken apart into overlapping stretches of SHINGLE code points.
 LONGEST_WORD, SHINGLE = 32, 6
-#: Terms whose lanes are worked out at once, and words that a worker remembers with their hashes.
-BLOCK, CACHE_WORDS = 1024, 400_000
+#: Terms whose lanes are worked out at once, most whose lanes are kept for all texts of a batch (1 KB each; of more, as a very
+#: long text has, they are worked out where they occur), and words that a worker remembers with their hashes.
+BLOCK, MOST_HELD, CACHE_WORDS = 1024, 1 << 16, 400_000
 #: Steps of one in ln a that samples are compared by, and what makes ln a positive.
 STEPS, SHIFT = 1 << 24, 100.0
-SPACE_FOR_NULL = -(1 << 63)
+BEFORE_ALL = -(1 << 63)
 
 _seeds = mix64(np.arange(1, 2 * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -88,14 +89,14 @@ class Sampler:
         doc, of = key // len(own), key % len(own)
         held, row = np.unique(of * (int(weight.max()) + 1) + weight, return_inverse=True)  # each term and weight once
         term, times = own[held // (int(weight.max()) + 1)].astype(np.uint64), held % (int(weight.max()) + 1)
-        ranks = np.empty((len(held), self.lanes), np.uint64)
-        for i in range(0, len(held), BLOCK):
-            ranks[i : i + BLOCK] = sampled(term[i : i + BLOCK], times[i : i + BLOCK], self.lanes)
+        lanes = lambda k: sampled(term[k], times[k], self.lanes)
+        table = np.concatenate([lanes(slice(i, i + BLOCK)) for i in range(0, len(held), BLOCK)]) if len(held) <= MOST_HELD else None
         best = np.full((len(lists), self.lanes), np.iinfo(np.uint64).max)
         for i in range(0, len(row), 4 * BLOCK):
-            d = doc[i : i + 4 * BLOCK]
+            d, r = doc[i : i + 4 * BLOCK], row[i : i + 4 * BLOCK]
             first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            best[d[first]] = np.minimum(best[d[first]], np.minimum.reduceat(ranks[row[i : i + 4 * BLOCK]], first, axis=0))
+            ranks = lanes(r) if table is None else table[r]
+            best[d[first]] = np.minimum(best[d[first]], np.minimum.reduceat(ranks, first, axis=0))
         some = count > 0
         out[some] = (best[some] & np.uint64(0xFFFFFFFF)).astype(np.int64) % (16**DIGITS - 1) + 1
         return out
@@ -108,9 +109,9 @@ def as_text(lanes: np.ndarray) -> list[str]:
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal lanes of two fingerprints of one length: an estimate of the texts' generalised Jaccard similarity,
     within 2 sqrt(s (1 - s) / lanes) of it in 95 of 100 cases. Texts without terms are alike, and unlike all others."""
-    lane = lambda x: F.transform(F.sequence(F.lit(0), F.length(a) / DIGITS - 1), lambda i: F.substring(x, i * DIGITS + 1, F.lit(DIGITS)))
-    same = F.filter(F.arrays_zip(lane(a).alias("a"), lane(b).alias("b")), lambda z: z["a"] == z["b"])
-    return F.size(same) / (F.length(a) / DIGITS)
+    lanes = (F.length(a) / DIGITS).cast("int")
+    equal = F.filter(F.sequence(F.lit(0), lanes - 1), lambda i: F.substring(a, i * DIGITS + 1, F.lit(DIGITS)) == F.substring(b, i * DIGITS + 1, F.lit(DIGITS)))
+    return F.size(equal) / lanes
 
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None, lanes: int = LANES, budget: int = 1 << 20) -> DataFrame:
@@ -138,7 +139,7 @@ def next_in_order(docs: DataFrame, id_col: str, parts: int | None = None) -> tup
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(SPACE_FOR_NULL))
+    order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(BEFORE_ALL))
     ids = docs.select(order.alias("o"))
     cuts = ids.agg(F.percentile_approx("o", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 100 * parts)).alias("q")).first()["q"] or []
     cuts = np.unique(np.array(cuts, np.int64))
