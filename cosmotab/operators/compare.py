@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 
 from cosmotab.functions import cosmology as cos
 from cosmotab.operators.curves import interpolate, nearest
+from cosmotab.operators.pairing import BROADCAST_ROWS, SHARE_RUNS, every_share, is_small, share, shares
 
 CURVE = ["metric", "run_id", "window_type", "fit", "z"]
 #: The metrics in order.
 METRICS = ("P(k)", "Delta2(k)", "Growth", "sigma(M)", "sigma slope", "HMF", "Cumulative HMF")
 #: A baseline value of at most this size divides nothing.
 NOTHING = 1e-300
-#: Samples that a baseline may have to be broadcast (some 100 bytes each); beyond it, its curves are salted.
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
 
 def metric_curves(power: DataFrame, growth: DataFrame, sigma: DataFrame, hmf: DataFrame) -> DataFrame:
@@ -46,11 +44,6 @@ def metric_curves(power: DataFrame, growth: DataFrame, sigma: DataFrame, hmf: Da
     return out
 
 
-def _is_small(baseline: DataFrame) -> bool:
-    """Whether one run's samples may be broadcast: they are counted, up to the bound."""
-    return baseline.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def baseline_match(curves: DataFrame, baseline_id: object, small: bool | None = None) -> DataFrame:
     """One row for each curve: the window and fit of the baseline's curve it is compared with (base_window, base_fit).
 
@@ -59,7 +52,7 @@ def baseline_match(curves: DataFrame, baseline_id: object, small: bool | None =
     baseline's list, of one run, is broadcast if its samples are few enough (small; counted if not given).
     """
     if small is None:
-        small = _is_small(curves.filter(F.col("run_id") == baseline_id))
+        small = is_small(curves.filter(F.col("run_id") == baseline_id))
     sent = F.broadcast if small else lambda df: df
     keys = curves.select(*CURVE).distinct()
     base = keys.filter(F.col("run_id") == baseline_id).select("metric", "z", "window_type", "fit")
@@ -69,24 +62,24 @@ def baseline_match(curves: DataFrame, baseline_id: object, small: bool | None =
     return rows.select(*CURVE, F.coalesce("base_window", "first.window_type").alias("base_window"), F.coalesce("base_fit", "first.fit").alias("base_fit"))
 
 
-def compare(curves: DataFrame, baseline_id: object, mode: str) -> DataFrame:
+def compare(curves: DataFrame, baseline_id: object, mode: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """curves with value: y against the baseline's curve at the same x. Modes: overlay (y), ratio (y / base), fractional
     (y / base - 1), percent (100 times that); null where |base| is at most 1e-300 or there is no baseline curve.
 
     The baseline's samples are dealt to the curves that use them (as many rows as the curves have themselves, if the grids
     are alike), and each curve is interpolated on its own. All runs share a few hundred curve keys, so the samples are
-    broadcast where their counted number allows it, else sent to SALTS shares of the runs.
+    broadcast where their counted number allows it (most), else sent to shares of the runs, one for SHARE_RUNS of them.
     """
     if mode == "overlay":
         return curves.withColumn("value", F.col("y"))
     base = curves.filter(F.col("run_id") == baseline_id).select("metric", "z", F.col("window_type").alias("base_window"), F.col("fit").alias("base_fit"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    small = _is_small(base)
+    small = is_small(base, most)
     matched, on = baseline_match(curves, baseline_id, small), ["metric", "z", "base_window", "base_fit"]
     if small:
         dealt = matched.join(F.broadcast(base), on).select(*CURVE, "bx", "by")
     else:
-        base = base.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = matched.withColumn("_salt", F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).cast("int")).join(base, [*on, "_salt"]).select(*CURVE, "bx", "by")
+        n = shares(matched.select("run_id").distinct().count(), SHARE_RUNS)
+        dealt = matched.withColumn("_share", share(n, "run_id")).join(base.withColumn("_share", every_share(n)), [*on, "_share"]).select(*CURVE, "bx", "by")
     rows = interpolate(curves, dealt, CURVE, "x", "bx", "by", "_base")
     ratio = F.when(F.abs("_base") > NOTHING, F.col("y") / F.col("_base"))
     value = {"ratio": ratio, "fractional": ratio - 1.0, "percent": 100.0 * (ratio - 1.0)}[mode]

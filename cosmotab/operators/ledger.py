@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cosmotab.sources.shared import stored
+
 UNTITLED = "Untitled run"
+#: About so many rows of an order are numbered by one task.
+BLOCK_ROWS = 50_000
+
+
+def in_blocks(rows: DataFrame, order: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows with _block: the number of the stretch of the whole order that a row lies in, so that all rows of a block come
+    before those of the next. Blocks are range partitions, as many as the counted rows ask for (about block_rows each), and
+    split any value but rows that are equal in the whole order. The table is stored, as its ranges are sampled anew each
+    time it is worked out."""
+    blocks = max(1, -(-rows.count() // block_rows))
+    return stored(rows.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id()))
+
+
+def numbered(rows: DataFrame, order: list[str], out: str = "number", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows with out: 1, 2, 3, ... in the whole order, ties in any. Rows are numbered inside blocks; a block begins at the
+    sum of the rows of those before it (a number for each block, some 20,000 for a billion rows, meets on the driver)."""
+    dealt = in_blocks(rows, order, block_rows)
+    sizes = sorted(dealt.groupBy("_block").count().collect())
+    begins = rows.sparkSession.createDataFrame(list(zip([b for b, _ in sizes], accumulate((n for _, n in sizes), initial=0), strict=False)), "_block int, _before bigint")
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(*order))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(begins), "_block").withColumn(out, F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")
 
 
 def running_sum(rows: DataFrame, by: list[str], block: str, order: list, add: str, out: str) -> DataFrame:
@@ -22,14 +47,15 @@ def running_sum(rows: DataFrame, by: list[str], block: str, order: list, add: st
     return rows.join(sums, [*by, block]).withColumn(out, F.col("_before") + F.sum(add).over(inside)).drop("_before")
 
 
-def unique_names(wanted: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+def unique_names(wanted: DataFrame, taken: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """wanted (run_id, name, created_at) with unique_name.
 
     White space collapses, a blank name becomes `Untitled run`. The first of a name (by created_at, run_id) keeps it, the
     others get ` (2)`, ` (3)`, ... in order, passing over names that are in `taken` (name) or wanted by others as they are.
 
     The k-th free number of a base is 1 + k plus as many as its used numbers u1 < u2 < ... have ui - i <= k. Both counts
-    are running sums over blocks, of days and of numbers: no row holds a list, and one name on all runs splits.
+    are running sums over blocks, of ranges of (base, created_at, run_id) and of numbers: no row holds a list, and one name
+    on all runs, made in one second, splits.
     """
     clean = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", " "))
     rows = wanted.withColumn("_base", F.when(clean == "", UNTITLED).otherwise(clean))
@@ -39,24 +65,24 @@ def unique_names(wanted: DataFrame, taken: DataFrame | None = None) -> DataFrame
     # numbers of a base that are names already: `base (n)` splits into base and n
     part = lambda i: F.regexp_extract("name", r"^(.*) \(([1-9]\d{0,8})\)$", i)
     used = fixed.select(part(1).alias("_base"), part(2).try_cast("bigint").alias("n")).filter("n >= 2").distinct().withColumn("_one", F.lit(1))
-    used = running_sum(used.withColumn("_block", F.expr("n div 65536")), ["_base"], "_block", ["n"], "_one", "_i").select("_base", (F.col("n") - F.col("_i")).alias("_k"))
+    used = running_sum(used.withColumn("_block", F.expr(f"n div {block_rows}")), ["_base"], "_block", ["n"], "_one", "_i").select("_base", (F.col("n") - F.col("_i")).alias("_k"))
     held = fixed.filter("given").select(F.col("name").alias("_base"), F.lit(1).alias("_held")).distinct()
-    rows = rows.withColumns({"_one": F.lit(1), "_day": F.coalesce(F.expr("unix_seconds(cast(created_at as timestamp)) div 86400"), F.lit(-(1 << 40)))})
-    rows = running_sum(rows, ["_base"], "_day", ["created_at", "run_id"], "_one", "_place").join(held, "_base", "left")
+    rows = in_blocks(rows.withColumn("_one", F.lit(1)), ["_base", "created_at", "run_id"], block_rows)
+    rows = running_sum(rows, ["_base"], "_block", ["created_at", "run_id"], "_one", "_place").join(held, "_base", "left")
     rows = rows.withColumn("_k", F.col("_place") - F.when(F.col("_held").isNull(), 1).otherwise(0))  # 0 keeps the name
     nothing = F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType)
     events = rows.select("_base", F.col("_k").cast("bigint").alias("_k"), F.struct("*").alias("_row"), F.lit(0).alias("_used"))
     events = events.unionByName(used.select("_base", F.col("_k").cast("bigint").alias("_k"), nothing.alias("_row"), F.lit(1).alias("_used")))
-    counted = running_sum(events.withColumn("_block", F.expr("_k div 65536")), ["_base"], "_block", ["_k", F.desc("_used")], "_used", "_passed").filter("_row is not null")
+    counted = running_sum(events.withColumn("_block", F.expr(f"_k div {block_rows}")), ["_base"], "_block", ["_k", F.desc("_used")], "_used", "_passed").filter("_row is not null")
     number = (F.col("_k") + 1 + F.col("_passed")).cast("string")
     name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit(" ("), number, F.lit(")")))
     return counted.select(*[F.col("_row").getField(x).alias(x) for x in wanted.columns], name.alias("unique_name"))
 
 
-def run_numbering(runs: DataFrame, colors: int = 5) -> DataFrame:
-    """run_id, number (from 1 by created_at, run_id) and color index: over the slim ledger alone."""
-    n = F.row_number().over(W.orderBy("created_at", "run_id"))
-    return runs.select("run_id", "created_at").withColumn("number", n).select("run_id", F.col("number").cast("bigint").alias("number"), F.pmod(F.col("number") - 1, F.lit(colors)).cast("bigint").alias("color"))
+def run_numbering(runs: DataFrame, colors: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """run_id, number (from 1 by created_at, run_id) and color index: over the slim ledger alone, numbered in blocks."""
+    rows = numbered(runs.select("run_id", "created_at"), ["created_at", "run_id"], "number", block_rows)
+    return rows.select("run_id", F.col("number").cast("bigint").alias("number"), F.pmod(F.col("number") - 1, F.lit(colors)).cast("bigint").alias("color"))
 
 
 def assign_baseline(runs: DataFrame, chosen_id: object = None) -> DataFrame:

@@ -190,9 +190,11 @@ def run_label() -> Column:
 
 
 def safe_stem(name: Column, empty: str = "run") -> Column:
-    """The name as part of a file name: spaces and slashes become one underscore, reserved marks go."""
-    joined = F.regexp_replace(F.trim(name), r"[\s/\\]+", "_")
-    clean = F.regexp_replace(F.regexp_replace(joined, r"[:*?\"<>|\p{Cntrl}]", ""), "^_+|_+$", "")
+    """The name as part of a file name: runs of white space and slashes become one underscore; reserved marks and all that
+    isn't printable (controls, format characters such as a zero-width space, unassigned and private ones, other
+    separators) go; then underscores at both ends."""
+    joined = F.regexp_replace(F.regexp_replace(name, r"^(?U)\s+|\s+$", ""), r"(?U)[\s/\\]+", "_")
+    clean = F.regexp_replace(F.regexp_replace(joined, r"[:*?\"<>|\p{C}\p{Z}]", ""), "^_+|_+$", "")
     return F.when(clean == "", empty).otherwise(clean)
 
 

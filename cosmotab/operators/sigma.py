@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cosmotab.functions import cosmology as cos
 from cosmotab.functions.windows import SERIES, SMALL, WINDOWS, window_squared
 from cosmotab.operators.curves import simpson_weights
+from cosmotab.operators.pairing import BROADCAST_ROWS, with_each_run
 
 
 def expand_grid(runs: DataFrame, lo: str = "mass_min_exp", hi: str = "mass_max_exp", points: str = "mass_points", out: str = "m_h") -> DataFrame:
@@ -21,10 +22,11 @@ def expand_grid(runs: DataFrame, lo: str = "mass_min_exp", hi: str = "mass_max_e
     return runs.select("*", F.explode(F.sequence(F.lit(0), F.col(points).cast("int") - 1)).alias("_i")).withColumn(out, F.pow(F.lit(10.0), F.col(lo) + i * step)).drop("_i")
 
 
-def mass_radii(runs: DataFrame, masses: DataFrame) -> DataFrame:
-    """run_id, m_h, m, r: masses in h^-1 units with the run's h and density. masses: (m_h), or (run_id, m_h)."""
+def mass_radii(runs: DataFrame, masses: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """run_id, m_h, m, r: masses in h^-1 units with the run's h and density. masses: (m_h) for all runs, broadcast if their
+    counted number allows it, or (run_id, m_h)."""
     slim = runs.select("run_id", "H0", "Omega_m")
-    rows = slim.join(masses, "run_id") if "run_id" in masses.columns else slim.crossJoin(F.broadcast(masses))
+    rows = slim.join(masses, "run_id") if "run_id" in masses.columns else with_each_run(masses, slim, most)
     m = F.col("m_h") / cos.h(F.col("H0"))
     return rows.select("run_id", "m_h", m.alias("m"), cos.radius_of_mass(m, cos.rho0(F.col("H0"), F.col("Omega_m"))).alias("r"))
 
@@ -38,15 +40,18 @@ def sigma_m(power: DataFrame, radii: DataFrame, windows: tuple[str, ...] = ("Top
     """run_id, window_type, z, m_h, m, r, sigma from power (run_id, z, k, p) and radii (run_id, m_h, m, r).
 
     Weights, join and first aggregation share the partitioning by run_id: power is dealt by run_id once, the rows of the
-    join are summed where they arise and are never shuffled.
+    join are summed where they arise and are never shuffled. The redshifts of a run that have the same k go through the
+    join as one row with an array, so W(kR) is taken once for all of them.
     """
     dealt = power.repartition("run_id")
-    weighted = simpson_weights(dealt, ["run_id", "z"], F.ln("k"), "w").withColumn("a", F.col("w") * cos.delta2(F.col("k"), F.col("p")))
-    pairs = mass_k_join(weighted.select("run_id", "z", "k", "a"), radii)
-    parts = [F.sum(F.col("a") * window_squared(F.col("y"), w)).alias(w) for w in windows]
-    sums = pairs.groupBy("run_id", "z", "m_h", "m", "r").agg(*parts)
-    rows = F.explode(F.array(*[F.struct(F.lit(w).alias("window_type"), F.sqrt(F.greatest(F.col(f"`{w}`"), F.lit(0.0))).alias("sigma")) for w in windows]))
-    return sums.select("run_id", "z", "m_h", "m", "r", rows.alias("_s")).select("run_id", "_s.window_type", "z", "m_h", "m", "r", "_s.sigma")
+    weighted = simpson_weights(dealt, ["run_id", "z"], F.ln("k"), "w").select("run_id", "k", F.struct("z", (F.col("w") * cos.delta2(F.col("k"), F.col("p"))).alias("a")).alias("at"))
+    packed = weighted.groupBy("run_id", "k").agg(F.collect_list("at").alias("at"))
+    squares = [window_squared(F.col("y"), w).alias(f"_w{i}") for i, w in enumerate(windows)]
+    pairs = mass_k_join(packed, radii).select("run_id", "m_h", "m", "r", "at", *squares)
+    rows = pairs.select("run_id", "m_h", "m", "r", *[f"_w{i}" for i in range(len(windows))], F.inline("at"))
+    sums = rows.groupBy("run_id", "z", "m_h", "m", "r").agg(*[F.sum(F.col("a") * F.col(f"_w{i}")).alias(f"_s{i}") for i in range(len(windows))])
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("window_type"), F.sqrt(F.greatest(F.col(f"_s{i}"), F.lit(0.0))).alias("sigma")) for i, w in enumerate(windows)]))
+    return sums.select("run_id", "z", "m_h", "m", "r", each.alias("_s")).select("run_id", "_s.window_type", "z", "m_h", "m", "r", "_s.sigma")
 
 
 def _window_squared(y: np.ndarray, name: str) -> np.ndarray:

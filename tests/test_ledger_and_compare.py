@@ -128,13 +128,12 @@ def test_quantile_equals_percentile(spark):
 
 
 @pytest.mark.parametrize("bound", [200_000, 1])
-def test_a_thousand_runs_of_one_curve(spark, monkeypatch, bound):
-    monkeypatch.setattr(compare, "BROADCAST_ROWS", bound)
+def test_a_thousand_runs_of_one_curve(spark, bound):
     curves = spark.range(1000 * 8).select(
         F.lit("P(k)").alias("metric"), F.expr("id div 8").alias("run_id"), F.lit("").alias("window_type"), F.lit("").alias("fit"), F.lit(0.0).alias("z"),
         (F.col("id") % 8 + 1.0).alias("x"), (F.expr("id div 8") + 1.0).alias("y"),
     )
-    rows = compare.compare(curves, 4, "ratio").collect()
+    rows = compare.compare(curves, 4, "ratio", most=bound).collect()
     assert len(rows) == 8000 and all(abs(r.value - (r.run_id + 1) / 5) < 1e-9 for r in rows)
 
 
@@ -142,3 +141,63 @@ def test_nearest_z_answers_from_the_samples_alone(spark):
     ask = spark.createDataFrame([(1, 0.4, 99.0)], "run_id bigint, z double, z_used double")
     samples = spark.createDataFrame([(1, 0.0), (1, 0.5)], "run_id bigint, z double")
     assert [r.z_used for r in compare.nearest_z(ask, samples).collect()] == [0.5]
+
+
+def test_numbers_of_very_many_runs_with_ties(spark):
+    n = 200_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("run_id"), F.timestamp_seconds(((F.col("id") * 7919) % n) % 5).alias("created_at"))  # five instants hold all runs
+    numbered = ledger.run_numbering(rows, block_rows=20_000)
+    order = sorted(range(n), key=lambda i: (i % 5, i))
+    assert sorted((r.number, r.run_id, r.color) for r in numbered.collect()) == [(k + 1, i, k % 5) for k, i in enumerate(order)]
+    assert ledger.run_numbering(rows.limit(0)).count() == 0
+
+
+def test_blocks_are_bounded(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("run_id"), F.lit("one name").alias("name"), F.timestamp_seconds(F.col("id") % 60).alias("created_at"))
+    sizes = [r["count"] for r in ledger.in_blocks(rows, ["name", "created_at", "run_id"], 20_000).groupBy("_block").count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) >= 9 and max(sizes) < 40_000
+    named = ledger.unique_names(rows, block_rows=20_000)
+    assert named.filter("unique_name = 'one name'").first().run_id == 0
+    by_order = {r.run_id: r.unique_name for r in named.filter("run_id < 121 or run_id > 199990").collect()}
+    place = lambda i: i % 60 * 3333 + min(i % 60, 20) + i // 60  # noqa: E731  200,000 = 3333 * 60 + 20
+    assert by_order == {i: "one name" if not place(i) else f"one name ({place(i) + 1})" for i in by_order}
+    assert named.select("unique_name").distinct().count() == 200_000
+
+
+def test_no_unpartitioned_window_is_left():
+    import re
+    from pathlib import Path
+
+    texts = {p.name: p.read_text() for p in (Path(__file__).resolve().parents[1] / "cosmotab").rglob("*.py")}
+    assert not [n for n, t in texts.items() if re.search(r"(?<![\w)])(W|Window)\.orderBy", t)]
+
+
+def test_every_row_with_every_run_in_shares(spark, monkeypatch):
+    from cosmotab.operators import pairing
+
+    monkeypatch.setattr(pairing, "SHARE_ROWS", 7)
+    monkeypatch.setattr(pairing, "SHARE_RUNS", 5)
+    rows, runs = spark.range(50).select((F.col("id") / 2).alias("x")), spark.range(23).select(F.col("id").alias("run_id"))
+    for most in (10**6, 3):
+        got = [(r.run_id, r.x) for r in pairing.with_each_run(rows, runs, most).collect()]
+        assert sorted(got) == [(i, j / 2) for i in range(23) for j in range(50)]
+    assert pairing.with_each_run(rows.limit(0), runs, 3).count() == 0
+
+
+def test_modes_of_a_crowded_shell(spark):
+    modes = spark.range(300).select(F.col("id").alias("mode_id"), F.when(F.col("id") % 10 == 0, 0.0).when(F.col("id") % 3 > 0, 0.5).otherwise((F.col("id") % 7) / 10.0).alias("kk"), F.lit(2.0).alias("re"), F.lit(-1.0).alias("im"))
+    power = spark.range(40).select(F.expr("id div 4").alias("run_id"), (F.col("id") % 4 + 1.0).alias("i")).select("run_id", (F.col("i") / 5.0).alias("k"), (F.col("run_id") + 1.0).alias("p"))
+    plain = {(r.mode_id, r.run_id): (r.re, r.im) for r in field.mode_filter(modes, power, 8, 100.0, 1.0).collect()}
+    shared = {(r.mode_id, r.run_id): (r.re, r.im) for r in field.mode_filter(modes, power, 8, 100.0, 1.0, share_rows=9, share_runs=3).collect()}
+    assert len(plain) == 3000 and plain == shared
+    want = lambda m, r: 0.0 if m % 10 == 0 or (m % 3 == 0 and not 2 <= m % 7 <= 8) else (8 / 100.0) ** 1.5 * (r + 1) ** 0.5
+    for (m, r), (re, im) in plain.items():
+        kk = 0.0 if m % 10 == 0 else 0.5 if m % 3 else m % 7 / 10
+        assert re == pytest.approx(2 * want(m, r) * 2.718281828459045 ** (-kk * kk / 2)) and im == pytest.approx(-re / 2)
+
+
+def test_fields_of_a_large_baseline_in_shares(spark):
+    cells = spark.createDataFrame([(r, i // 4, i % 4, float((r + 1) * ((i * 7) % 5 - 2))) for r in range(5) for i in range(16)], "run_id bigint, ix bigint, iy bigint, delta double")
+    for f in (field.field_normalize, field.field_stats):
+        one, two = (sorted(tuple(round(x, 9) for x in r) for r in f(cells, 1, most=n).collect()) for n in (100, 3))
+        assert one == two

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables
 
 
 def test_series_error_over_the_whole_range(spark):
-    rows = Q["series_error_whole"](spark, str(DATA)).collect()
+    rows = Q["series_error"](spark, str(DATA)).collect()
     assert len(rows) == spark.read.parquet(f"{DATA}/part.parquet").count()
     small = [r for r in rows if r.log_y < -1]
     assert min(r.log_y for r in rows) < -6.9 and max(r.log_y for r in rows) > 1.8 and len(small) > len(rows) / 2
@@ -21,7 +21,7 @@ def test_series_error_over_the_whole_range(spark):
 
 
 def test_sigma_integrand_at_every_k(spark):
-    rows = Q["sigma_integrand_whole"](spark, str(DATA)).collect()
+    rows = Q["sigma_integrand"](spark, str(DATA)).collect()
     samples = Q["export_power"](spark, str(DATA)).count()  # of P(k) at z = 0
     by_window = {w: [r.ln_i for r in rows if r.window_type == w] for w in ("Top-hat", "Gaussian", "Sharp-k")}
     assert [len(v) for v in by_window.values()] == [samples] * 3
@@ -29,7 +29,7 @@ def test_sigma_integrand_at_every_k(spark):
 
 
 def test_calibration_label_of_every_fit(spark):
-    rows = Q["calibration_label_whole"](spark, str(DATA)).collect()
+    rows = Q["calibration_label"](spark, str(DATA)).collect()
     seen = {}
     for r in rows:
         seen.setdefault(r.fit, set()).add(r.calibrated)
