@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,154 +21,220 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cosmotab.llm.bpe import byte_letters
+from cosmotab.llm.bpe import PATTERN, Vocabulary, byte_letters
 from cosmotab.llm.common import slices, written
 
 #: A shard ends at so many bytes of text or so many documents; documents are numbered in it by 16 bits.
 SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 16
 #: About so many postings of a shard make a piece of its index, which is one row.
 PIECE = 1 << 20
-#: Units that a worker remembers in each of two generations, and bytes of the longest that it remembers.
-CACHE_UNITS, CACHE_BYTES = 250_000, 256
+#: Units, and characters of them, that a worker remembers at most; then it forgets them all and goes on.
+CACHE_UNITS, CACHE_CHARS = 500_000, 16 << 20
 #: Text that the tokenizers get at once.
-CHUNK_BYTES = 1 << 16
+CHUNK = 1 << 16
 
 #: A unit begins with a space after anything but white space, where tokens of both kinds end: the word patterns keep white
 #: space together, and no piece holds a space after another character. So units are tokenized and aligned one by one.
-_UNIT = re.compile(r" (?:[^ ]+|(?<=\s) )*")
+_UNIT = re.compile(r" ((?:[^ ]+|(?<=\s) )*)")
+_APART = re.compile(r"\s ")
 _MARK = "▁"
 INDEX = "shard bigint, piece int, pairs binary, planes binary, lists binary, bitmaps binary"
 FACTS = "shard bigint, place int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 
 
+def units(text: str) -> list[str]:
+    """The units of a space and the text, each without its first space."""
+    spaced = f" {text}"
+    return _UNIT.findall(spaced) if _APART.search(spaced) else text.split(" ")
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, a_spec: str, b_model: bytes):
         import sentencepiece
-        import tokenizers
 
-        data = json.loads(a_spec)
-        data["truncation"] = data["padding"] = None
-        self.a = tokenizers.Tokenizer.from_str(json.dumps(data))
-        self.a.encode_special_tokens = True
+        self.encode_a, self.a_bytes = byte_level(a_spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.lead = len(self.b.encode("a"))
-        letters = byte_letters()
-        n = max(data["model"]["vocab"].values()) + 1
-        self.a_bytes = [b""] * n
-        for token, i in data["model"]["vocab"].items():
-            self.a_bytes[i] = bytes(letters[c] for c in token)
         m = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(m)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         if any(_MARK in p.lstrip(_MARK) for p in pieces):
             raise ValueError("a piece holds a space after another character: units can't be told apart")
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
-        #: Written ids with what may follow them: another id of the same side, the other side, another group.
-        self.a_next, self.a_last = [f"{i}," for i in range(n)], [f"{i}|" for i in range(n)]
-        self.b_next, self.b_last = [f"{i}," for i in range(m)], [f"{i};" for i in range(m)]
-
-    def encode(self, units: list[str]) -> tuple[list[int], list[int]]:
+        #: Written ids with what may follow them: an id of the same side, the other side, another group.
+        n = len(self.a_bytes)
+        texts = [f"{i}{end}".encode() for end, count in ((",", n), ("|", n), (",", m), (";", m)) for i in range(count)]
+        self.text_size = np.array([len(x) for x in texts], np.int64)
+        self.text_at = np.cumsum(self.text_size) - self.text_size
+        self.texts = np.frombuffer(b"".join(texts), np.uint8)
+
+    def encode(self, whole: str) -> tuple[list[int], list[int]]:
         """Ids of both for text that begins with a space. B's library gives an empty text no space: a letter goes before."""
-        whole = "".join(units)
-        return self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(f"a{whole}", num_threads=1)[self.lead :]
+        return self.encode_a(whole), self.b.encode(f"a{whole}", num_threads=1)[self.lead :]
 
     def same_bytes(self, a: list[int], b: list[int], raw: bytes) -> bool:
         return b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
 
 
+def byte_level(spec: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """(encode, bytes of the ids) of a byte-level BPE file; strings of special tokens are plain text.
+
+    Merging by rank is merging by id where ids rise with the merges and every token is what its own bytes merge to; then
+    the faster of the two public libraries does it, else the one whose format the file has.
+    """
+    vocabulary = Vocabulary(spec)
+    data = json.loads(spec)
+    letters = byte_letters()
+    ids = data["model"]["vocab"]
+    raw = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        raw[i] = bytes(letters[c] for c in token)
+    own = sorted(set(ids.values()))
+    flat, ends = vocabulary.encode_words([raw[i] for i in own])
+    merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in data["model"]["merges"]]
+    if merged == sorted(merged) and np.array_equal(flat, own) and len(set(raw)) == len(raw):
+        import tiktoken
+
+        fast = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks={raw[i]: i for i in own}, special_tokens={})
+        return fast.encode_ordinary, raw
+    import tokenizers
+
+    data["truncation"] = data["padding"] = None
+    slow = tokenizers.Tokenizer.from_str(json.dumps(data))
+    slow.encode_special_tokens = True
+    return lambda text: slow.encode(text, add_special_tokens=False).ids, raw
+
+
+def taken(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at `at`, one after the other."""
+    return flat[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 class Aligner:
-    """Aligned units by text, remembered in two generations, and the pairs that they link."""
+    """Remembers aligned units: facts (tokens of A and B, groups, links, whether it can't be aligned), written groups and
+    the pairs of ids that they link, with multiplicities."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.of = tokenizers
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def units(self, wanted: set[str]) -> dict[str, tuple]:
-        """Each unit's (valid, tokens of A, of B, groups, links, written groups, pair codes and their multiplicities as
-        64-bit numbers)."""
-        found, missing = {}, []
-        for u in wanted:
-            if (x := self.new.get(u)) is None and (x := self.old.get(u)) is None:
-                missing.append(u)
-            else:
-                found[u] = self.new[u] = x
-        made = self._align(missing)
-        found |= made
-        self.new |= {u: x for u, x in made.items() if len(u) <= CACHE_BYTES}
-        if len(self.new) > CACHE_UNITS:
-            self.old, self.new = self.new, {}
-        return found
-
-    def _align(self, units: list[str]) -> dict[str, tuple]:
-        out: dict[str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.chars = 0
+        self.written: list[bytes] = []
+        self.facts, self.pair_at, self.pair_n = np.zeros((1024, 5), np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.codes, self.times, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+
+    def numbers(self, wanted: list[str]) -> np.ndarray:
+        """The number of each unit, for facts, written, pair_at and pair_n, until the next call."""
+        if len(self.index) > CACHE_UNITS or self.chars > CACHE_CHARS:
+            self.forget()
+        index = self.index
+        self._learn([u for u in dict.fromkeys(wanted) if u not in index])
+        return np.fromiter(map(index.__getitem__, wanted), np.int64, len(wanted))
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many, pair codes, multiplicities) of the units with these numbers."""
+        n, start = self.pair_n[at], self.pair_at[at]
+        return n, taken(self.codes, start, n), taken(self.times, start, n)
+
+    def _learn(self, new: list[str]) -> None:
         chunk: list[str] = []
         size = 0
-        for u in units:
-            if u[-1].isspace() or _MARK in u or len(u) > CHUNK_BYTES:  # the next one would not begin after a letter; or alone in case of doubt
-                out |= self._chunk([u])
+        for u in new:
+            if not u or u[-1].isspace() or _MARK in u or len(u) > CHUNK:  # it would not end before the next one, or may be none
+                self._add([u])
                 continue
             chunk.append(u)
             size += len(u)
-            if size > CHUNK_BYTES:
-                out |= self._chunk(chunk)
+            if size > CHUNK:
+                self._add(chunk)
                 chunk, size = [], 0
-        return out | self._chunk(chunk) if chunk else out
+        if chunk:
+            self._add(chunk)
 
-    def _chunk(self, units: list[str]) -> dict[str, tuple]:
+    def _add(self, new: list[str]) -> None:
         of = self.of
-        a, b = of.encode(units)
-        raws = [u.encode() for u in units]
-        if not of.same_bytes(a, b, b"".join(raws)):
-            if len(units) == 1:
-                return {units[0]: (False, 0, 0, 0, 0, "", b"", b"")}
-            return {u: x for part in units for u, x in self._chunk([part]).items()}
+        whole = " " + " ".join(new)
+        raw = whole.encode()
+        a, b = of.encode(whole)
+        if not of.same_bytes(a, b, raw):
+            if len(new) > 1:
+                for u in new:
+                    self._add([u])
+            else:
+                self._store(new, [b""], np.array([[0, 0, 0, 0, 1]]), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_end, b_end = np.cumsum(of.a_size[a]), np.cumsum(of.b_size[b])
-        shared = np.intersect1d(a_end, b_end, assume_unique=True) if (of.a_size[a] > 0).all() and (of.b_size[b] > 0).all() else np.intersect1d(a_end, b_end)
-        unit_end = np.cumsum([len(r) for r in raws])
-        last_group = np.searchsorted(shared, unit_end)
-        if not np.array_equal(shared[np.minimum(last_group, len(shared) - 1)], unit_end):
+        shared = np.intersect1d(a_end, b_end)
+        unit_end = np.cumsum([len(u.encode()) + 1 for u in new]) if len(raw) != len(whole) else np.cumsum([len(u) + 1 for u in new])
+        last = np.searchsorted(shared, unit_end)  # each unit's last group
+        if last[-1] >= len(shared) or not np.array_equal(shared[last], unit_end):
             raise ValueError("a token crosses the end of a unit")
         a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
         a_n, b_n = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
         # the written groups: A's ids, then B's, group by group
-        a_more, b_more = np.append(a_group[1:] == a_group[:-1], False).tolist(), np.append(b_group[1:] == b_group[:-1], False).tolist()
-        texts = [(of.a_next if more else of.a_last)[i] for i, more in zip(a.tolist(), a_more, strict=True)] + [(of.b_next if more else of.b_last)[i] for i, more in zip(b.tolist(), b_more, strict=True)]
-        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable").tolist()
-        ordered = [texts[k] for k in order]
-        groups = np.diff(last_group + 1, prepend=0)
-        token_end = np.cumsum(a_n + b_n)[last_group].tolist()
-        a_of, b_of = np.diff(np.cumsum(a_n)[last_group], prepend=0).tolist(), np.diff(np.cumsum(b_n)[last_group], prepend=0).tolist()
-        links = np.diff(np.cumsum(a_n * b_n)[last_group], prepend=0).tolist()
-        unit_of, code, times = self._links(a, b, a_n, b_n, np.repeat(np.arange(len(units)), groups))
-        pair_end = np.searchsorted(unit_of, np.arange(len(units)), side="right").tolist()
-        codes, times = code.tobytes(), times.tobytes()
-        out, t, p = {}, 0, 0
-        for k, (u, g) in enumerate(zip(units, groups.tolist(), strict=True)):
-            out[u] = (True, a_of[k], b_of[k], g, links[k], "".join(ordered[t : token_end[k]]), codes[8 * p : 8 * pair_end[k]], times[8 * p : 8 * pair_end[k]])
-            t, p = token_end[k], pair_end[k]
-        return out
-
-    @staticmethod
-    def _links(a: np.ndarray, b: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, pair code, how often) of all links, in order: every A with every B of a group. Groups with many are
-        counted id by id, so that no list of occurrence pairs arises."""
-        a_at, b_at = np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n
-        many = a_n * b_n > 4096
-        parts = []
-        for g in np.flatnonzero(many):
-            (x, x_n), (y, y_n) = (np.unique(v[s : s + n], return_counts=True) for v, s, n in ((a, a_at[g], a_n[g]), (b, b_at[g], b_n[g])))
-            parts.append((np.full(len(x) * len(y), unit[g]), (x[:, None] << 32 | y[None, :]).ravel(), (x_n[:, None] * y_n[None, :]).ravel()))
-        few = np.flatnonzero(~many)
-        n = (a_n * b_n)[few]
-        g = np.repeat(few, n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        parts.append((unit[g], a[a_at[g] + k // b_n[g]] << 32 | b[b_at[g] + k % b_n[g]], np.ones(len(g), np.int64)))
-        u, code, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return summed(u, code, times)
+        n, m = len(of.a_size), len(of.b_size)
+        a_text = a + n * ~np.append(a_group[1:] == a_group[:-1], False)
+        b_text = b + 2 * n + m * ~np.append(b_group[1:] == b_group[:-1], False)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        text = np.concatenate([a_text, b_text])[order]
+        size = of.text_size[text]
+        letters = taken(of.texts, of.text_at[text], size).tobytes()
+        ends = np.cumsum(size)[np.cumsum(a_n + b_n)[last] - 1].tolist()
+        written_as = [letters[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        per_unit = lambda x: np.diff(np.cumsum(x)[last], prepend=0)
+        groups = np.diff(last + 1, prepend=0)
+        facts = np.stack([per_unit(a_n), per_unit(b_n), groups, per_unit(a_n * b_n), np.zeros_like(groups)], axis=1)
+        unit, codes, times = links(a, b, a_n, b_n, np.repeat(np.arange(len(new)), groups))
+        self._store(new, written_as, facts, np.bincount(unit, minlength=len(new)), codes, times)
+
+    def _store(self, new: list[str], written_as: list[bytes], facts: np.ndarray, pair_n: np.ndarray, codes: np.ndarray, times: np.ndarray) -> None:
+        i, n, k = len(self.index), len(new), len(codes)
+        while i + n > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+            self.pair_at, self.pair_n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pair_at, self.pair_n))
+        while self.used + k > len(self.codes):
+            self.codes, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.codes, self.times))
+        self.index.update(zip(new, range(i, i + n), strict=True))
+        self.chars += sum(map(len, new))
+        self.written += written_as
+        self.facts[i : i + n], self.pair_n[i : i + n] = facts, pair_n
+        self.pair_at[i : i + n] = self.used + np.cumsum(pair_n) - pair_n
+        self.codes[self.used : self.used + k], self.times[self.used : self.used + k] = codes, times
+        self.used += k
+
+
+def links(a: np.ndarray, b: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, pair code, how often) of all links, in order: every A with every B of a group, of a_n and b_n tokens. Groups
+    with many are counted id by id, so that no list of occurrence pairs arises."""
+    a_at, b_at = np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n
+    many = a_n * b_n > 4096
+    parts = []
+    for g in np.flatnonzero(many):
+        (x, x_n), (y, y_n) = (np.unique(v[s : s + n], return_counts=True) for v, s, n in ((a, a_at[g], a_n[g]), (b, b_at[g], b_n[g])))
+        parts.append((np.full(len(x) * len(y), unit[g]), (x[:, None] << 32 | y[None, :]).ravel(), (x_n[:, None] * y_n[None, :]).ravel()))
+    few = np.flatnonzero(~many)
+    n = (a_n * b_n)[few]
+    g = np.repeat(few, n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    parts.append((unit[g], a[a_at[g] + k // b_n[g]] << 32 | b[b_at[g] + k % b_n[g]], np.ones(len(g), np.int64)))
+    return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+#: A worker's aligners by what their vocabularies hash to: they outlive a task.
+_aligners: dict[str, Aligner] = {}
+
+
+def aligner(a_spec: str, b_model: bytes) -> Aligner:
+    key = hashlib.sha256(a_spec.encode() + b_model).hexdigest()
+    if key not in _aligners:
+        _aligners.clear()
+        _aligners[key] = Aligner(Tokenizers(a_spec, b_model))
+    return _aligners[key]
 
 
 def summed(major: np.ndarray, minor: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +349,7 @@ def _indexed(docs: DataFrame, a_spec: str, b_model: bytes, text_col: str, carry:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(out)
-        aligner = Aligner(Tokenizers(*spec.value))
+        own = aligner(*spec.value)
         first = TaskContext.get().partitionId() << 32
         shard = Shard(first)
 
@@ -300,7 +367,7 @@ def _indexed(docs: DataFrame, a_spec: str, b_model: bytes, text_col: str, carry:
                 if shard.docs and (shard.docs + part.num_rows > SHARD_DOCS or shard.bytes > SHARD_BYTES):
                     yield from index(shard)
                     shard = Shard(shard.number + 1)
-                facts, postings = align_texts(aligner, part.column(1).to_pylist(), digests)
+                facts, postings = align_texts(own, part.column(1).to_pylist(), digests)
                 if len(postings[0]):
                     shard.parts.append((postings[0], postings[1] + shard.docs, postings[2]))
                 n = part.num_rows
@@ -313,37 +380,26 @@ def _indexed(docs: DataFrame, a_spec: str, b_model: bytes, text_col: str, carry:
     return source.mapInArrow(run, out)
 
 
-def align_texts(aligner: Aligner, texts: list[str], digests: bool) -> tuple[dict[str, object], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def align_texts(own: Aligner, texts: list[str], digests: bool) -> tuple[dict[str, object], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Facts of each text, and the postings (pair code, text number, multiplicity) of all, each pair and text once."""
-    lists = [_UNIT.findall(f" {t}") if t else [] for t in texts]
-    known = aligner.units({u for x in lists for u in x})
-    names = list(known)
-    number = dict(zip(names, range(len(names)), strict=True))
-    entries = list(known.values())
-    ok = np.array([e[0] for e in entries], bool)
-    numbers = np.array([e[1:5] for e in entries], np.int64).reshape(-1, 4)
-    written_as = [e[5] for e in entries]
-    count = np.fromiter(map(len, lists), np.int64, len(lists))
-    at = np.fromiter((number[u] for x in lists for u in x), np.int64, int(count.sum()))
-    doc = np.repeat(np.arange(len(lists)), count)
-    bad = np.zeros(len(lists), bool)
-    bad[doc[~ok[at]]] = True
+    n_texts = len(texts)
+    lists = [units(t) if t else [] for t in texts]
+    count = np.fromiter(map(len, lists), np.int64, n_texts)
+    at = own.numbers(list(chain.from_iterable(lists)))
     ends = np.concatenate([[0], np.cumsum(count)])
-    facts = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[at], axis=0)])[ends], axis=0)
+    facts = np.diff(np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(own.facts[at], axis=0)])[ends], axis=0)
+    bad = facts[:, 4] > 0
     facts[bad] = 0
+    parts = list(map(own.written.__getitem__, at.tolist()))
     groups = []
     for i, j, wrong in zip(ends[:-1].tolist(), ends[1:].tolist(), bad.tolist(), strict=True):
-        text = "" if wrong else "".join([written_as[k] for k in at[i:j].tolist()])[:-1]
-        groups.append(hashlib.sha256(text.encode()).hexdigest() if digests and text else text)
-    use = ~bad[doc]
-    key, times = np.unique(at[use] * len(lists) + doc[use], return_counts=True)
-    unit, holder = (key // max(1, len(lists)), key % max(1, len(lists)))
-    n_pairs = np.fromiter((len(e[6]) // 8 for e in entries), np.int64, len(entries))
-    starts = np.cumsum(n_pairs) - n_pairs
-    flat_code, flat_times = (np.frombuffer(b"".join([e[k] for e in entries]), np.int64) for k in (6, 7))
-    n = n_pairs[unit]
-    place = np.repeat(starts[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    postings = summed(flat_code[place], np.repeat(holder, n), flat_times[place] * np.repeat(times, n))
+        text = b"" if wrong else b"".join(parts[i:j])[:-1]
+        groups.append(hashlib.sha256(text).hexdigest() if digests and text else text.decode())
+    use = np.repeat(~bad, count)
+    doc = np.repeat(np.arange(n_texts), count)[use]
+    key, times = np.unique(at[use] * n_texts + doc, return_counts=True)
+    n, codes, each = own.pairs(key // max(1, n_texts))
+    postings = summed(codes, np.repeat(key % max(1, n_texts), n), each * np.repeat(times, n))
     return {"n_a": facts[:, 0], "n_b": facts[:, 1], "n_groups": facts[:, 2], "n_links": facts[:, 3], "groups": groups}, postings
 
 

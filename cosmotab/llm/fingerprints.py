@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,10 @@ LANES = 128
 DIGITS = 3
 #: Longer runs without white space are taken apart into overlapping stretches of SHINGLE code points.
 LONGEST_WORD, SHINGLE = 32, 6
-#: Terms whose lanes are worked out at once, most whose lanes are kept for all texts of a batch (1 KB each; of more, as a very
-#: long text has, they are worked out where they occur), and words that a worker remembers with their hashes.
-BLOCK, MOST_HELD, CACHE_WORDS = 1024, 1 << 16, 400_000
-#: Steps of one in ln a that samples are compared by, and what makes ln a positive.
-STEPS, SHIFT = 1 << 24, 100.0
+#: Terms whose lanes are worked out at once (their arrays stay in the processor's cache), most whose lanes are kept for all
+#: texts of a batch (1 KB each; of more, as a very long text has, they are worked out where they occur), and words that a
+#: worker remembers with their hashes.
+BLOCK, MOST_HELD, CACHE_WORDS = 128, 1 << 16, 400_000
 BEFORE_ALL = -(1 << 63)
 
 _seeds = mix64(np.arange(1, 2 * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -47,18 +47,27 @@ def terms(text: str) -> list[str]:
     return out
 
 
-def sampled(term: np.ndarray, weight: np.ndarray, lanes: int = LANES) -> np.ndarray:
-    """[terms, lanes] of unsigned 64-bit numbers: the rank of each term (hash and weight) in the lane, the lowest is
-    sampled, and below it 32 bits that name the term and its level."""
+def samples(term: np.ndarray, weight: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+    """[terms, lanes]: what each term (hash and weight) has in the lane, the least of a text's is sampled, and 32 bits that
+    name the term and its level."""
     x = term[:, None]
     one, two = mix64(x ^ _seeds[:lanes]), mix64(x ^ _seeds[LANES : LANES + lanes])
-    uniform = lambda bits: (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-    r = -np.log(uniform(one >> np.uint64(40))) - np.log(uniform(one >> np.uint64(16) & np.uint64(0xFFFFFF)))
-    c = -np.log(uniform(two >> np.uint64(40))) - np.log(uniform(two >> np.uint64(16) & np.uint64(0xFFFFFF)))
-    b = ((one & np.uint64(0xFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-16)
+    halves = [one.astype(np.uint32), (one >> np.uint64(32)).astype(np.uint32), two.astype(np.uint32), (two >> np.uint64(32)).astype(np.uint32)]
+    u = [((h >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23) for h in halves]  # exact, inside 0 and 1
+    r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
+    low = (halves[0] & np.uint32(511)) << np.uint32(9) | (halves[1] & np.uint32(511))
+    b = (low.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-18)
     level = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
-    rank = np.clip(np.log(c) - r * (level - b + np.float32(1)) + np.float32(SHIFT), 0, 2 * SHIFT).astype(np.float64) * STEPS
-    name = mix64(two + level.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    name = halves[3] ^ level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+    name = (name ^ (name >> np.uint32(16))) * np.uint32(0x85EBCA6B) ^ halves[2]
+    return np.log(c) - r * (level - b + np.float32(1)), name ^ (name >> np.uint32(15))
+
+
+def sampled(term: np.ndarray, weight: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """samples() as one unsigned 64-bit number each, in the same order, with the name in the lower half."""
+    value, name = samples(term, weight, lanes)
+    bits = value.view(np.int32)
+    rank = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32)  # the order of the floats
     return rank.astype(np.uint64) << np.uint64(32) | name
 
 
@@ -76,10 +85,11 @@ class Sampler:
         if len(self.hashes) > CACHE_WORDS:
             self.hashes.clear()
         lists = [terms(t) for t in texts]
-        for w in {w for x in lists for w in x} - self.hashes.keys():
+        words = list(chain.from_iterable(lists))
+        for w in set(words) - self.hashes.keys():
             self.hashes[w] = xxhash.xxh3_64_intdigest(w) >> 1
         count = np.fromiter(map(len, lists), np.int64, len(lists))
-        of = np.fromiter((self.hashes[w] for x in lists for w in x), np.int64, int(count.sum()))
+        of = np.fromiter(map(self.hashes.__getitem__, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(lists)), count)
         out = np.zeros((len(lists), self.lanes), np.int64)
         if not len(of):
@@ -199,14 +209,14 @@ def compare_with_next(docs: DataFrame, *, text_col: str = "text", id_col: str =
             for part in slices(batch, sizes, budget):
                 ids, texts, parts_, ahead = (part.column(k).to_pylist() for k in range(4))
                 rows = held + list(zip(ids, parts_, ahead, texts, strict=True))
-                own = np.concatenate([lanes_held, sampler(texts)])
                 pairs = [k for k in range(len(rows) - 1) if not rows[k][2]]
                 edited = []
                 for k in pairs:
                     text, following = rows[k][3], rows[k + 1][3]
                     q = len(text) // 4
                     edited.append(text[: len(text) - q] + following[:q])
-                after = sampler(edited)
+                both = sampler(texts + edited)  # at once, as they share most terms
+                own, after = np.concatenate([lanes_held, both[: len(texts)]]), both[len(texts) :]
                 at = np.array(pairs, np.int64)
                 made = [
                     [rows[k][0] for k in pairs], [len(rows[k][3]) for k in pairs], [hashlib.sha256(t.encode()).hexdigest() for t in edited], as_text(own[at]), as_text(after),

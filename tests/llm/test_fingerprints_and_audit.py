@@ -53,10 +53,12 @@ def test_lanes_of_a_very_long_text(monkeypatch):
 
 def test_samples_are_gamma_and_consistent():
     term, weights = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.full(4000, 3)
-    ln_a = (fingerprints.sampled(term, weights) >> np.uint64(32)).astype(float) / fingerprints.STEPS - fingerprints.SHIFT
-    assert abs(np.exp(ln_a).mean() * 3 - 1) < 0.02  # the least of all is exponential with the weight as its rate
+    ln_a, name = fingerprints.samples(term, weights)
+    assert abs(np.exp(ln_a).mean() * 3 - 1) < 0.02 and abs(np.exp(ln_a).var() * 9 - 1) < 0.05  # exponential, the weight is its rate
+    packed = fingerprints.sampled(term, weights)
+    assert ((packed & np.uint64(0xFFFFFFFF)) == name).all() and (np.argmin(packed, axis=0) == np.argmin(ln_a, axis=0)).all()
     # a weight between a level and the next samples the same level, so names repeat from weight to weight
-    names = [fingerprints.sampled(term[:200], np.full(200, w)) & np.uint64(0xFFFFFFFF) for w in (100, 101)]
+    names = [fingerprints.samples(term[:200], np.full(200, w))[1] for w in (100, 101)]
     assert 0.97 < (names[0] == names[1]).mean() < 1
 
 
