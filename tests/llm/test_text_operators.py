@@ -421,21 +421,27 @@ def test_toxicity_separates_held_out_rows(spark):
     rows = toxicity.score(frame(spark, fresh), model, carry=["doc_id"]).orderBy("row.doc_id").collect()
     assert np.mean([(r.score >= 0.3) == (r.row.doc_id % 2 == 0) for r in rows]) > 0.95
     scorer = toxicity.Scorer(model)
-    for window in toxicity.windows(toxicity.words_of(docs[0][1]))[:50]:  # lengths are those of plain compression with whole dictionaries
-        whole = toxicity._LEAD + window + toxicity._TAIL
+    for word in toxicity.words_of(docs[0][1])[:50]:  # lengths are those of plain compression with whole dictionaries
+        whole = toxicity._LEAD + b" " + word.encode() + b" " + toxicity._TAIL
         shape = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=4, write_content_size=0, write_dict_id=0, write_checksum=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        for made, before in zip(scorer.lengths(window), (b"#" * len(model.toxic), model.toxic), strict=True):
+        for made, before in zip(scorer.lengths(toxicity.window(word)), (b"#" * len(model.toxic), model.toxic), strict=True):
             held = zstandard.ZstdCompressionDict(before + model.ordinary + toxicity._LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             assert made == len(zstandard.ZstdCompressor(dict_data=held, compression_params=shape).compress(whole))
-    for text in fresh[:20]:  # features by the definition, without the scorer's loop
-        words = toxicity.words_of(text)
-        wide = [words[i : i + toxicity.WIDE] for i in range(0, len(words) - 1, toxicity.WIDE - 1)]
-        shorter = [w for w in wide if np.subtract(*scorer.lengths(b" " + b" ".join(w) + b" ")) > 0]
-        pairs = {b" %b %b " % p for w in shorter for p in zip(w, w[1:], strict=False)}
-        cells = [scorer.lengths(p) for p in pairs]
+    for text in fresh[:20]:  # features by the definition, without the scorer's memory
+        cells = [toxicity.Scorer(model).lengths(toxicity.window(w)) for w in set(toxicity.words_of(text))]
         hit = [c for c in cells if c[1] <= model.thresholds.get(c[0], -1)]
         assert scorer.features(text)[4] == len(hit) and np.isclose(scorer.features(text)[0], sum(model.evidence[c] for c in hit))
+    assert all(w.encode() in model.toxic for w in ("moron", "scum", "idiot"))
+    # a very long text, all of it: only its end is toxic
+    calm = " ".join(plain) + " "
+    long = calm * 3000
+    scored = [r.score for r in toxicity.score(frame(spark, [long, f"{long}moron idiot scum pathetic worthless"]), model).orderBy("row.doc_id").collect()]
+    assert scored[0] == scorer.score(long)[0] < scored[1] and scorer.features(f"{long}moron")[4] == scorer.features(long)[4] + 1
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    # rows that share words, or all but one, are all read; equal texts count once; so do the words of a very long one
+    taken, each = toxicity._sample(d.select("doc_id", "text").unionByName(d.select((F.col("doc_id") + 10_000).alias("doc_id"), "text")), labels.unionByName(d.select((F.col("doc_id") + 10_000).alias("doc_id"), "toxic")), "doc_id", "text", "toxic", 3000)
+    assert taken.count() == len({t for _, t, _ in docs}) and each == {0: 2.0, 1: 2.0}
+    assert len(toxicity.taught(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(60_000)))) == pytest.approx(20_000, rel=0.05)
     nothing = toxicity.fit(d.select("doc_id", "text").limit(0), labels.limit(0))
     assert all(r.score < 0.3 for r in toxicity.score(frame(spark, fresh[:5]), nothing).collect())
