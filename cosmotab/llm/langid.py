@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cosmotab.llm.common import map_texts, mix64, slices, utf8_view, written
@@ -21,9 +20,8 @@ PROBES = 3
 #: A language holds an n-gram that it uses at least 1 / RATIO as often as the language that uses it most.
 RATIO = 3.0
 MIN_COUNT = 3
-#: Most n-grams of a language that the fit takes up: its own most frequent ones, whatever other languages have (of a count
-#: that would go beyond it, none).
-MAX_GRAMS = 200_000
+#: Languages in one mask of an n-gram.
+MASK_BITS = 62
 UNDETERMINED = "und"
 #: Text whose n-grams a task holds at once: they take some fifty times that.
 WORK_BYTES = 1 << 20
@@ -102,8 +100,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Filters of the n-grams of each language, from about docs_per_language labelled documents of each.
 
     Rows with null text or language teach nothing. The sample is the documents whose hashed id falls under a share set
-    by the language's document count. Counting runs in Spark; what comes to the driver is at most MAX_GRAMS n-grams of
-    each language.
+    by the language's document count. Counting and comparing run in Spark; what comes to the driver is a bitmask of languages
+    for each n-gram of the bounded sample that tells languages apart (12 bytes), and the filters are as large as these ask for.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     named = labelled.select(F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")  # counted without reading the texts
@@ -129,28 +127,22 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     used = sample.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     used = written(used)
-    # each language's own least count, so that at most MAX_GRAMS of its n-grams have it or more: from how many have each count
-    cut = dict.fromkeys(range(len(languages)), MIN_COUNT)
-    taken: Counter = Counter()
-    for lang, n, many in sorted(used.filter(F.col("n") >= MIN_COUNT).groupBy("lang", "n").count().collect(), key=lambda r: (r[0], -r[1])):
-        taken[lang] += many
-        if taken[lang] > MAX_GRAMS and cut[lang] <= n:
-            cut[lang] = n + 1
-    least = F.lit(MIN_COUNT)
-    for lang, n in cut.items():
-        least = F.when(F.col("lang") == lang, n).otherwise(least)
-    most = used.filter(F.col("n") >= least).select("gram").distinct()
-    by_lang = [F.sum(F.when(F.col("lang") == k, F.col("n"))).alias(f"n{k}") for k in range(len(languages))]
-    table = used.join(most, "gram", "left_semi").groupBy("gram").agg(*by_lang).toPandas()
-    gram = table["gram"].to_numpy(np.int64).astype(np.uint32)
-    n = np.nan_to_num(table[[f"n{k}" for k in range(len(languages))]].to_numpy(float))
-    rate = n / np.maximum(1, n.sum(axis=0))
-    member = (rate * RATIO >= rate.max(axis=1, keepdims=True)) & (n >= MIN_COUNT) if len(rate) else np.zeros((0, len(languages)), bool)
-    bits = max(10, int(np.ceil(np.log2(max(1, member.sum(axis=0).max(initial=0)) * PROBES * 3))))
+    # n-grams that some language has MIN_COUNT times, and each language's share of theirs
+    some = used.join(used.filter(F.col("n") >= MIN_COUNT).select("gram").distinct(), "gram", "left_semi")
+    totals = some.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = some.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    most = F.max("rate").over(Window.partitionBy("gram"))
+    members = shares.withColumn("most", most).filter((F.col("rate") * RATIO >= F.col("most")) & (F.col("n") >= MIN_COUNT))
+    word = F.floor(F.col("lang") / MASK_BITS).cast("int")
+    masks = members.groupBy("gram", word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, pmod(lang, {MASK_BITS}))")).alias("mask")).toArrow()
+    gram, word, mask = (masks[c].to_numpy().astype(kind) for c, kind in (("gram", np.uint32), ("word", np.int64), ("mask", np.int64)))
+    own = lambda k: gram[(word == k // MASK_BITS) & ((mask >> k % MASK_BITS & 1) == 1)]
+    most_grams = max((len(own(k)) for k in range(len(languages))), default=0)
+    bits = max(10, int(np.ceil(np.log2(max(1, most_grams) * PROBES * 3))))
     tables = [np.zeros(1 << bits, np.uint8) for _ in range(-(-len(languages) // 8))]
     rates = np.zeros(len(languages))
     for k in range(len(languages)):
-        for slot in probes(gram[member[:, k]], bits):
+        for slot in probes(own(k), bits):
             tables[k // 8][slot] |= np.uint8(1 << k % 8)
         rates[k] = np.mean((tables[k // 8] >> (k % 8)) & 1) ** PROBES
     prior = max(range(len(languages)), key=lambda k: (counts[languages[k]], -k))
@@ -164,8 +156,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", carry: li
     language in order. Null texts and texts without a letter are `und` with score 0; a text with letters but no known
     n-gram gets the most frequent language with its share of the documents. Texts of any length count whole; repeated
     rows get the same answer; an empty table gives an empty result, and a model fitted on one calls everything `und`;
-    carried columns of any name stay apart in the struct. A narrow map: no shuffle; the filters (bounded by MAX_GRAMS for
-    each language) are broadcast.
+    carried columns of any name stay apart in the struct. A narrow map: no shuffle; the filters (as large as the
+    bounded sample's n-grams ask for) are broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -379,8 +379,9 @@ def test_language_filters_equal_plain_sets(spark):
         assert ((mask >> (k % 8)) & 1).all()
 
 
-def test_a_small_language_keeps_its_ngrams(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_GRAMS", 40)
+@pytest.mark.parametrize("bits", [62, 1])  # of a mask: with one, every language has a mask of its own
+def test_a_small_language_keeps_its_ngrams(spark, monkeypatch, bits):
+    monkeypatch.setattr(langid, "MASK_BITS", bits)
     rows = [(i, "lorem ipsum dolor sit amet " * 60, "la") for i in range(60)] + [(100 + i, "zxqj kvbw zxqj wqzk " * 2, "zz") for i in range(3)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert model.predict(pa.array(["zxqj kvbw"]))[0] == ["zz"]
