@@ -121,3 +121,14 @@ def test_summary_without_notes_and_bullets(spark):
     assert text.startswith("# a\n\nkept\n\n## Reproducibility\n\n- Backend: UNKNOWN\n- k range: 0.0001 to 200.0 Mpc^-1\n") and text.endswith("\n\n## Notes\n")
     listed = io.run_summary(params.merge_defaults(row).withColumn("bullets", F.array(F.lit("one"), F.lit("two ")))).first().summary
     assert listed.endswith("\n\n## Notes\n\n- one\n- two\n")
+
+
+def test_stored_tables_are_removed(spark):
+    from cosmotab.sources.shared import application_dir, remove_stored, stored
+
+    rows = stored(spark.range(5).toDF("i"))
+    folder = application_dir(spark).removeprefix("file://").removeprefix("file:")
+    assert rows.count() == 5 and os.listdir(folder)
+    remove_stored(spark)
+    assert not os.path.exists(folder)
+    assert stored(spark.range(3).toDF("i")).count() == 3  # and new ones can be stored again
