@@ -84,7 +84,15 @@ _N_BITS = 12
 _LENGTHS = np.array([4, 8, 12, 16, 24])  # word lengths where the next length feature begins
 _TURNS = np.array([1, 2, 4])  # changes between letters and digits where the next feature begins
 _AFTER_EQUALS = 1 << 18
-_N_CODES = 1 << 19
+_LOWER_RUNS, _DIGIT_RUNS = np.array([6, 7]), np.array([9, 12])  # longest runs in a word where the next feature begins
+_LOWER_AT, _DIGIT_AT, _INNER_DOT, _CUE_AT = 19, 21, 1 << 23, 24
+#: What the name or the word before a long mixed word may end in: names of credentials, and of things that have numbers.
+CREDENTIALS = ("password", "passwd", "passwort", "pwd", "secret", "token", "key", "bearer", "auth", "credential", "credentials", "jeton", "clave", "schlüssel")
+REFERENCES = (
+    "commit", "sha", "hash", "checksum", "digest", "build", "version", "release", "order", "invoice", "ticket", "file", "image", "photo", "gene", "chromosome", "model", "serial", "part", "item",
+    "id", "uuid", "guid", "request", "tracking", "iban", "reference", "ref", "function", "class", "method", "revision", "etag", "bestellung", "datei", "commande", "fichier", "pedido", "archivo",
+)
+_LETTERS_ONLY = re.compile(r"[^\W\d_]+")
 
 
 def words_and_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,9 +116,35 @@ def words_and_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     turns = turn[ends] - turn[np.minimum(starts + 1, ends)]
     code |= np.searchsorted(_LENGTHS, ends - starts, side="right").astype(np.int32) << _N_BITS
     code |= np.searchsorted(_TURNS, turns, side="right").astype(np.int32) << (_N_BITS + 3)
+    text = np.searchsorted(at, starts, side="right")
     before = np.zeros(len(code), bool)
-    before[1:] = ((code[:-1] & _BITS["equals"]) > 0) & (np.searchsorted(at, starts[1:], side="right") == np.searchsorted(at, starts[:-1], side="right"))
-    return data, at, starts, ends, code | np.where(before, _AFTER_EQUALS, 0)
+    before[1:] = ((code[:-1] & _BITS["equals"]) > 0) & (text[1:] == text[:-1])
+    code |= np.where(before, _AFTER_EQUALS, 0)
+    place, first = np.arange(len(data)), np.zeros(len(data), np.int64)
+    first[starts] = starts + 1
+    first = np.maximum.accumulate(first) - 1  # where the word of each byte begins
+    for kind, edges, shift in ((_BITS["lower"], _LOWER_RUNS, _LOWER_AT), (_BITS["digit"], _DIGIT_RUNS, _DIGIT_AT)):
+        run = place - np.maximum(np.maximum.accumulate(np.where(classes & kind, -1, place)), first - 1)
+        code |= np.searchsorted(edges, np.maximum.reduceat(run, starts), side="right").astype(np.int32) << shift
+    dots = np.concatenate([[0], np.cumsum(data == 46)])
+    code |= np.where(dots[ends - 1] > dots[starts], _INNER_DOT, 0)
+    mixed = np.flatnonzero(((code & _BITS["digit"]) > 0) & ((code & 3) > 0) & (ends - starts >= 12))
+    raw = data.tobytes() if len(mixed) else b""
+    for i in mixed.tolist():
+        code[i] |= cue(raw, starts, ends, text, i) << _CUE_AT
+    return data, at, starts, ends, code
+
+
+def cue(raw: bytes, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, i: int) -> int:
+    """What the name before a word's equals sign, else the next of three words before it that has letters, says it is: 0
+    nothing, 1 a credential, 2 a reference."""
+    name, _, rest = raw[starts[i] : ends[i]].rpartition(b"=")
+    given = [name] if rest else []
+    given += [raw[starts[j] : ends[j]] for j in range(i - 1, max(-1, i - 4), -1) if text[j] == text[i]]
+    for word in given:
+        if letters := "".join(_LETTERS_ONLY.findall(word[-64:].decode("utf-8", "ignore").lower())):
+            return 1 if letters.endswith(CREDENTIALS) else 2 if letters.endswith(REFERENCES) else 0
+    return 0
 
 
 def features(codes: np.ndarray) -> np.ndarray:
@@ -121,7 +155,9 @@ def features(codes: np.ndarray) -> np.ndarray:
     after = (codes & _AFTER_EQUALS)[:, None] > 0
     mixed = (bits[:, 2:3] > 0) & ((bits[:, 0:1] | bits[:, 1:2]) > 0)
     pure = bits[:, 2:3] * (1 - bits[:, 0:1]) * (1 - bits[:, 1:2])
-    return np.hstack([bits, length, turns, after, mixed & length, mixed & turns, pure * length, np.ones((len(codes), 1))]).astype(float)
+    one_of = lambda shift, n: ((codes >> shift) & 3)[:, None] == np.arange(n)
+    context = np.hstack([one_of(_LOWER_AT, 3), one_of(_DIGIT_AT, 3), (codes & _INNER_DOT)[:, None] > 0, one_of(_CUE_AT, 3)])
+    return np.hstack([bits, length, turns, after, mixed & length, mixed & turns, pure * length, context, mixed & context, np.ones((len(codes), 1))]).astype(float)
 
 
 # --- the conditional random field ------------------------------------------------------------------------------------
@@ -195,8 +231,7 @@ class Decoder:
 
     def __init__(self, model: Model):
         self.model = model
-        self.scores = np.full((_N_CODES, len(STATES)), np.nan)
-        self.plain = np.zeros(_N_CODES, bool)
+        self.known: dict[int, tuple[np.ndarray, bool]] = {}
         into = np.vstack([model.move, model.begin])  # from each state, or at the beginning
         out = np.hstack([model.move, model.finish[:, None]])  # to each state, or at the end
         self.margin = np.array([(into[:, 0] - into[:, s]).min() + (out[0] - out[s]).min() for s in range(len(STATES))])
@@ -204,11 +239,12 @@ class Decoder:
     def decode(self, codes: np.ndarray, text: np.ndarray) -> np.ndarray:
         """States of words with these codes in these texts (equal numbers: one text)."""
         states = np.zeros(len(codes), np.int8)
-        for c in np.unique(codes):
-            if np.isnan(self.scores[c, 0]):
-                self.scores[c] = (features(np.array([c])) @ self.model.emission)[0]
-                self.plain[c] = (self.scores[c, 0] + self.margin[1:] >= self.scores[c, 1:]).all()
-        at = np.flatnonzero(~self.plain[codes])
+        own, code = np.unique(codes, return_inverse=True)
+        new = np.array([c for c in own.tolist() if c not in self.known], np.int64)
+        for c, score in zip(new.tolist(), features(new) @ self.model.emission, strict=True):
+            self.known[c] = score, bool((score[0] + self.margin[1:] >= score[1:]).all())
+        scores = np.array([self.known[c][0] for c in own.tolist()]).reshape(-1, len(STATES))
+        at = np.flatnonzero(~np.array([self.known[c][1] for c in own.tolist()], bool)[code])
         if not len(at):
             return states
         joined = np.concatenate([[False], (np.diff(at) == 1) & (text[at[1:]] == text[at[:-1]])])
@@ -218,13 +254,13 @@ class Decoder:
         begin, size = begin[by], size[by]
         head = at[begin]
         opens = np.where((head == 0) | (text[np.maximum(head - 1, 0)] != text[head]), True, False)
-        score = np.where(opens[:, None], self.model.begin, self.model.move[0]) + self.scores[codes[head]]
+        score = np.where(opens[:, None], self.model.begin, self.model.move[0]) + scores[code[head]]
         links = []
         for t in range(1, int(size[0])):
             live = int(np.searchsorted(-size, -t, side="left"))  # stretches longer than t
             paths = score[:live, :, None] + self.model.move
             links.append(paths.argmax(axis=1))
-            score[:live] = paths.max(axis=1) + self.scores[codes[at[begin[:live] + t]]]
+            score[:live] = paths.max(axis=1) + scores[code[at[begin[:live] + t]]]
         tail = at[begin + size - 1]
         closes = (tail == len(codes) - 1) | (text[np.minimum(tail + 1, len(codes) - 1)] != text[tail])
         state = (score + np.where(closes[:, None], self.model.finish, self.model.move[:, 0])).argmax(axis=1)
@@ -302,8 +338,9 @@ def find(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[s
     kind as listed (secrets last). Positions are code points of the whole text, end exclusive. Null and empty texts have
     none; texts of any length are searched whole, in time linear in it; repeated rows one by one; where rules tie, each
     kind keeps its own spans; an empty table gives an empty result; carried columns of any name stay apart in the struct.
-    A secret is a word that looks like one: a bare hash of 40 hexadecimal digits can't be told from a key of that form,
-    while identifiers with dashes and addresses with such a path are none. A narrow map: no shuffle; the model (some KB)
+    A secret is a word that looks like one: by its shape, its runs of letters and digits, and the name or word before it
+    (a hash after `commit` is none, a bare one can't be told from a key of that form); identifiers with dashes, names in
+    code, file names and addresses with such a path are none. A narrow map: no shuffle; the model (some KB)
     is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -327,15 +364,18 @@ def find(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[s
 
 #: The small labelled table's sentences: {x} is a secret of 16 to 40 letters and digits in one of the usual alphabets,
 #: {p} a base kind, {w} plain words, {g} an identifier with dashes, {l} an address with a hexadecimal path, {n} {u} {d} {c} numbers,
-#: addresses, dates and short codes. What stands for {x} is what is labelled.
+#: addresses, dates and short codes, {k} {r} a credential's or a reference's name, {h} a hash, {i} {f} {v} names in code, files and
+#: builds, {o} long numbers with letters before. What stands for {x} is what is labelled.
 TEMPLATES = (
     "{w} password={x} {w}", "{w} token = \"{x}\" {w}", "{w} {x} {w}", "{w} key: {x}, {w}", "{w} ist password={x} {w}", "api_key={x}",
     "{w} secret {x}. {w}", "{w} {p} {w} {x} {w}", "{w}", "{w} {w}", "{w} {p} {w}", "{p} {w} {p}", "{w} {n} {w}", "{w} {u} {w}", "{w} {d} {w} {n}", "{w} {c} {w}", "{n} {n} {n}",
     "{w} {g} {w}", "{w} id={g} {w}", "{w} {l} {w}", "{w} {x}### {w}", "{w} {l}, {w} {x} {w}",
+    "{w} {k} {x} {w}", "{k}={x}", "{k}: {x}", "{x}", "{w} {r} {h} {w}", "{r} {h}", "{r}={h} {w}", "{w} {i} {w}", "{i}", "{w} {f} {w}", "{f}", "{w} {v} {w}", "{v}", "{w} {o} {w}", "{r} {o}", "{o}",
+    "id={g}", "{g}", "{w} {r} {g}", "{w} {i}, {w} {x} {w}", "{w} {f} {w} {k} {x}", "{r} {i} {w}",
 )
 
 
-def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
+def labelled_rows(n: int = 800, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
     """The small labelled table: n texts made from TEMPLATES by a seeded rule, with the spans of their secrets."""
     rng = np.random.default_rng(seed)
     syllables = ["the", "er", "ung", "que", "ción", "eau", "st", "of", "and", "ó", "ä", "les", "tion", "ich"]
@@ -372,6 +412,19 @@ def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[in
         "g": lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
         "l": lambda: f"https://{pick(lower, 7)}.example.com/{pick(hexes, int(rng.integers(12, 41)))}{['', '/', '.html', '/x'][rng.integers(4)]}",
     }
+    stems = ["handle", "response", "render", "vaccine", "sample", "preview", "config", "parse", "session", "turbo", "protein", "thread", "upload", "screen", "report", "backup"]
+    stem = lambda: stems[rng.integers(len(stems))]
+    number = lambda: ["", "2", "V2", "42", "19", "2024", "20231104", pick(digits, 3), pick(upper, 3) + pick(digits, 3)][rng.integers(9)]
+    identifier = lambda: "".join([stem(), number(), stem().capitalize() if rng.random() < 0.6 else stem(), pick(upper, 3) if rng.random() < 0.3 else "", number(), stem().capitalize(), pick(digits, 2)])
+    fill |= {
+        "k": lambda: CREDENTIALS[rng.integers(len(CREDENTIALS))],
+        "r": lambda: REFERENCES[rng.integers(len(REFERENCES))],
+        "h": lambda: pick(hexes, [16, 20, 32, 40][rng.integers(4)]),
+        "i": identifier,
+        "f": lambda: [f"IMG{pick(digits, 14)}", f"{stem()}_{pick(digits, 8)}_{stem()}", f"{stem()}{pick(digits, 14)}{pick(upper, 3)}", identifier()][rng.integers(4)] + [".jpg", ".tar.gz", ".csv", ".png", ".log"][rng.integers(5)],
+        "v": lambda: f"{['v', 'build-', ''][rng.integers(3)]}{pick(digits, 1)}.{pick(digits, 1)}.{pick(digits, 2)}-{stem()}{pick(digits, 1)}-build{pick(digits, 8)}{pick(lower, 3)}",
+        "o": lambda: pick(upper, int(rng.integers(2, 5))) + ["", "-"][rng.integers(2)] + pick(digits, int(rng.integers(14, 21))),
+    }
     rows = []
     for _ in range(n):
         text, spans = "", []
