@@ -25,11 +25,11 @@ from cosmotab.llm.bpe import PATTERN, Vocabulary, byte_letters
 from cosmotab.llm.common import slices, written
 
 #: A shard ends at so many bytes of text or so many documents; documents are numbered in it by 16 bits.
-SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 #: About so many postings of a shard make a piece of its index, which is one row.
 PIECE = 1 << 20
 #: Units, and characters of them, that a worker remembers at most; then it forgets them all and goes on.
-CACHE_UNITS, CACHE_CHARS = 500_000, 16 << 20
+CACHE_UNITS, CACHE_CHARS = 250_000, 8 << 20
 #: Text that the tokenizers get at once.
 CHUNK = 1 << 16
 
