@@ -27,10 +27,10 @@ LANES = 128
 DIGITS = 3
 #: Longer runs without white space are taken apart into overlapping stretches of SHINGLE code points.
 LONGEST_WORD, SHINGLE = 32, 6
-#: Terms whose lanes are worked out at once (their arrays stay in the processor's cache), most whose lanes are kept for all
-#: texts of a batch (1 KB each; of more, as a very long text has, they are worked out where they occur), and words that a
-#: worker remembers with their hashes.
-BLOCK, MOST_HELD, CACHE_WORDS = 128, 1 << 16, 400_000
+#: Terms whose lanes are worked out at once (their arrays stay in the processor's cache), most whose lanes are held at a time
+#: (1 KB each; a batch with more goes through them in portions, so each is worked out once), and words that a worker
+#: remembers with their hashes.
+BLOCK, MOST_HELD, CACHE_WORDS = 128, 1 << 15, 400_000
 BEFORE_ALL = -(1 << 63)
 
 _seeds = mix64(np.arange(1, 2 * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -99,14 +99,16 @@ class Sampler:
         doc, of = key // len(own), key % len(own)
         held, row = np.unique(of * (int(weight.max()) + 1) + weight, return_inverse=True)  # each term and weight once
         term, times = own[held // (int(weight.max()) + 1)].astype(np.uint64), held % (int(weight.max()) + 1)
-        lanes = lambda k: sampled(term[k], times[k], self.lanes)
-        table = np.concatenate([lanes(slice(i, i + BLOCK)) for i in range(0, len(held), BLOCK)]) if len(held) <= MOST_HELD else None
         best = np.full((len(lists), self.lanes), np.iinfo(np.uint64).max)
-        for i in range(0, len(row), 4 * BLOCK):
-            d, r = doc[i : i + 4 * BLOCK], row[i : i + 4 * BLOCK]
-            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            ranks = lanes(r) if table is None else table[r]
-            best[d[first]] = np.minimum(best[d[first]], np.minimum.reduceat(ranks, first, axis=0))
+        for low in range(0, len(held), MOST_HELD):
+            high = min(low + MOST_HELD, len(held))
+            table = np.concatenate([sampled(term[i : min(i + BLOCK, high)], times[i : min(i + BLOCK, high)], self.lanes) for i in range(low, high, BLOCK)])
+            here = slice(None) if high - low == len(held) else np.flatnonzero((row >= low) & (row < high))
+            docs, rows = doc[here], row[here] - low
+            for i in range(0, len(rows), 4 * BLOCK):
+                d, r = docs[i : i + 4 * BLOCK], rows[i : i + 4 * BLOCK]
+                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                best[d[first]] = np.minimum(best[d[first]], np.minimum.reduceat(table[r], first, axis=0))
         some = count > 0
         out[some] = (best[some] & np.uint64(0xFFFFFFFF)).astype(np.int64) % (16**DIGITS - 1) + 1
         return out

@@ -197,3 +197,13 @@ def test_audit_of_a_third_of_copies(spark):
     docs = [(i, "the same text" if i % 3 == 0 else f"text {i}", f"s{i % 2}") for i in range(3000)]
     got = audited(spark, docs, [(i, 1, 0) for i in range(3000)])
     assert got["s0", "EABCD", 1][1] == 499 and got["s1", "EABCD", 1][1] == 500 and got["s0", "EABCD", 1][4] == 499
+
+
+def test_a_batch_of_many_terms_works_each_out_once(monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j) % 300}" for j in range(100)) for i in range(40)]
+    whole, worked = fingerprints.Sampler()(texts), []
+    monkeypatch.setattr(fingerprints, "MOST_HELD", 50)
+    plain = fingerprints.samples
+    monkeypatch.setattr(fingerprints, "samples", lambda term, *more: worked.append(len(term)) or plain(term, *more))
+    assert (fingerprints.Sampler()(texts) == whole).all()
+    assert sum(worked) == 300
