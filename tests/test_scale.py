@@ -27,3 +27,31 @@ def test_rounding_by_scaling(spark):
     assert rows.filter("a <> b or a is null").count() == 0
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-0.0,)], "x double").select(plans.r8("x").alias("a")).collect()
     assert odd[0].a is None and str(odd[1].a) == "nan" and odd[2].a == float("inf") and str(odd[3].a) == "0.0"
+
+
+def test_power_quality_is_dealt_to_tasks(spark):
+    rows = table(spark, str(DATA), "fx_power_dirty").groupBy(F.spark_partition_id()).agg(F.count_distinct("run_id").alias("n"))
+    assert rows.agg(F.max("n")).first()[0] < 200  # of 1,000 runs
+
+
+def test_hmf_cumulative_shuffles_runs_alone(spark):
+    plan = plans.Q["hmf_cumulative"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "hashpartitioning(run_id" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+
+
+def test_compare_does_not_shuffle_the_curves(spark):
+    from cosmotab.operators import compare
+
+    keys = "'HMF' as metric, {0} as run_id, 'w' as window_type, {1} as fit, 0e0 as z, {2} as x, {3} as y"
+    lines = [keys.format(1, "'a'", x, f"{x}*{x}") for x in ("1e0", "2e0", "4e0", "9e0")]  # y = x^2, exact in logarithms
+    lines += [keys.format(2, "'a'", x, "1e0") for x in ("0.5e0", "1e0", "3e0", "9e0", "20e0")] + [keys.format(3, "'b'", x, "1e0") for x in ("-1e0", "3e0")]
+    curves = spark.sql(" union all ".join(f"select {x}" for x in lines)).localCheckpoint()
+    whole = compare.compare(curves, 1, "ratio")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0] and "_s AS" not in plan
+    got = {(r.run_id, r.x): round(1 / r.value, 6) for r in whole.filter("run_id > 1").collect()}
+    # run 3 has an x below 0, so its curve is linear
+    assert got == {(2, 0.5): 1.0, (2, 1.0): 1.0, (2, 3.0): 9.0, (2, 9.0): 81.0, (2, 20.0): 81.0, (3, -1.0): 1.0, (3, 3.0): 10.0}
+    shuffled = {(r.run_id, r.x): round(1 / r.value, 6) for r in compare.compare(curves, 1, "ratio", most=1).filter("run_id > 1").collect()}
+    assert shuffled == got
