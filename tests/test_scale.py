@@ -55,3 +55,13 @@ def test_compare_does_not_shuffle_the_curves(spark):
     assert got == {(2, 0.5): 1.0, (2, 1.0): 1.0, (2, 3.0): 9.0, (2, 9.0): 81.0, (2, 20.0): 81.0, (3, -1.0): 1.0, (3, 3.0): 10.0}
     shuffled = {(r.run_id, r.x): round(1 / r.value, 6) for r in compare.compare(curves, 1, "ratio", most=1).filter("run_id > 1").collect()}
     assert shuffled == got
+
+
+def test_mode_filter_packs_what_it_shuffles(spark, tmp_path):
+    for n in ("part", "nation"):
+        spark.read.parquet(f"{DATA}/{n}.parquet").limit(2000).write.parquet(f"{tmp_path}/{n}.parquet")
+    spark.read.parquet(f"{DATA}/supplier.parquet").limit(20).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = plans.Q["mode_filter"](spark, str(tmp_path))
+    assert rows.count() == 2000 * 20
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_runs" in plan and "_modes" in plan and "Generate inline" in plan
