@@ -34,6 +34,18 @@ def test_power_quality_is_dealt_to_tasks(spark):
     assert rows.agg(F.max("n")).first()[0] < 200  # of 1,000 runs
 
 
+def test_power_quality_keeps_the_deal_where_the_table_of_k_is_large(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")
+    try:
+        rows = plans.Q["power_quality"](spark, str(DATA))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.agg(F.sum("samples")).first()[0] == table(spark, str(DATA), "fx_power_dirty").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "hashpartitioning(run_id#" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+
+
 def test_hmf_cumulative_shuffles_runs_alone(spark):
     plan = plans.Q["hmf_cumulative"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "hashpartitioning(run_id" in plan
