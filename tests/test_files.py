@@ -66,6 +66,40 @@ def test_folders_that_spark_wrote(spark, tmp_path):
     assert sorted((r.run_id, r.dlns) for r in back.collect()) == [("7", 5.0), ("8", 6.0)] and rejects.count() == 0
 
 
+def test_many_run_folders_are_dealt_to_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("run_id"), *[F.lit(1.0).alias(n) for n in NEW.split(",")])
+    io.write_run_folders(rows, str(tmp_path / "out"))
+    files = glob.glob(f"{tmp_path}/out/run_id=*/*.csv")
+    tasks = [os.path.basename(f).split("-")[1] for f in files]
+    assert len(files) == 300 and max(map(tasks.count, set(tasks))) < 200  # small partitions would be joined into one task's
+    assert sorted(int(r.run_id) for r in io.import_curves(spark, str(tmp_path / "out"))[0].collect()) == list(range(300))
+
+
+def test_many_run_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(150):
+        put(tmp_path / f"run{i}", "sigma.csv", [NEW, f"{i}.0,2.0,3.0,4.0,5.0"])
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, sc = spark.conf.get(name), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        rows, rejects = io.import_curves(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in sc.statusTracker().getJobIdsForGroup("listing") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert stages and max(sc.statusTracker().getStageInfo(s).numTasks for s in stages) <= io.LISTING_TASKS
+    assert spark.conf.get(name) == before
+    assert sorted((r.run_id, r.m_h) for r in rows.collect()) == sorted((f"run{i}", float(i)) for i in range(150)) and rejects.count() == 0
+
+
+def test_odd_bytes_of_exports(spark, tmp_path):
+    put(tmp_path / FIRST, "sigma.csv", ["\ufeff" + OLD, "1,2,3,4,5,Dés 日本"], "\n")
+    (tmp_path / SECOND).mkdir()
+    (tmp_path / SECOND / "sigma.csv").write_bytes(OLD.encode() + b"\r\n1,2,3,4,5,w\xff\r\n")
+    rows, rejects = io.import_curves(spark, str(tmp_path))
+    got = {r[0]: r[1:] for r in rows.select("run_id", "m_h", F.hex(F.col("window_type").cast("binary"))).collect()}
+    assert got == {FIRST: (1.0, "Dés 日本".encode().hex().upper()), SECOND: (1.0, "77EFBFBD")} and rejects.count() == 0
+
+
 def power(spark, runs, samples):
     n = runs * samples
     return spark.range(n).select(F.expr(f"id div {samples}").alias("run_id"), F.lit(0.0).alias("z"), (F.col("id") % samples + 1.0).alias("k"), F.rand(1).alias("p"))

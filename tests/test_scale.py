@@ -52,6 +52,13 @@ def test_hmf_cumulative_shuffles_runs_alone(spark):
     assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
 
 
+def test_tails_of_one_redshift_are_those_of_all(spark):
+    small = "/root/testdata/sf0.001"
+    rounded = lambda df: sorted(map(tuple, df.select("run_id", "fit", "z", plans.rl("m_h"), plans.rl("hmf"), plans.rl("n_gt_m")).collect()))
+    one = rounded(plans.tails(spark, small, where="z = 0"))
+    assert one and one == rounded(plans.tails(spark, small).filter("z = 0"))
+
+
 def test_compare_does_not_shuffle_the_curves(spark):
     from cosmotab.operators import compare
 
