@@ -84,3 +84,28 @@ def test_mode_filter_packs_what_it_shuffles(spark, tmp_path):
     assert rows.count() == 2000 * 20
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "_runs" in plan and "_modes" in plan and "Generate inline" in plan
+
+
+def test_mode_filter_fans_out_a_mode_at_a_time_in_the_tasks_it_is_dealt_to(spark, monkeypatch):
+    from cosmotab.operators import field
+
+    monkeypatch.setattr(field, "ROWS_A_TASK", 1000)
+    modes = spark.range(600).select(F.col("id").alias("mode_id"), (F.col("id") % 50 / 10.0).alias("kk"), (F.col("id") + 1.0).alias("re"), F.lit(-1.0).alias("im"))
+    power = spark.range(160).select(F.expr("id div 4").alias("run_id"), (F.pow(F.lit(10.0), F.col("id") % 4 - 2.0)).alias("k"), (F.expr("id div 4") + 1.0).alias("p"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        rows = field.mode_filter(modes, power, 8, 100.0, 0.0, share_rows=5, share_runs=3)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        moving = rows.filter("re <> 0").groupBy(F.spark_partition_id()).count().collect()
+        got = {(r.mode_id, r.run_id): (r.re, r.im) for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, below = plan.split("SortMergeJoin", 1)
+    assert above.count("Generate ") == 1 and "Generate inline(_runs" in above  # one mode's rows of one packed row of runs at a time
+    assert "ENSURE_REQUIREMENTS" not in below.split("REPARTITION_BY_NUM")[0]  # not shuffled again
+    assert len(moving) > 10 and max(r["count"] for r in moving) < 600 * 40 / 5  # 24 tasks, not spark.sql.shuffle.partitions
+    factor = 0.08**1.5
+    assert len(got) == 600 * 40
+    for (m, r), (re, im) in got.items():
+        a = factor * (r + 1) ** 0.5 if m % 50 else 0.0
+        assert abs(re - (m + 1) * a) < 1e-9 * (m + 1) and abs(im + a) < 1e-9
